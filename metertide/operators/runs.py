@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from metertide.operators.ordering import BLOCK, block_starts, in_blocks
+from metertide.workspace import materialize
 
 
 def _latest_first() -> WindowSpec:
@@ -66,13 +67,14 @@ def consecutive_flow_state(day_flows: DataFrame) -> DataFrame:
 def _device_offsets(days: DataFrame) -> DataFrame:
     """Per device what comes before it: number of runs, last device, state of its last row."""
     order = [F.desc("device_id")]
-    devices = in_blocks(
+    # Written before it is cut into blocks: the sampling for the cut would run the windows again.
+    summary = materialize(
         days.groupBy("device_id").agg(
             F.max("run").alias("runs"), F.max_by("flowing", "position").alias("last_flowing")
         ),
-        order,
         "device-runs",
     )
+    devices = in_blocks(summary, order, "device-blocks")
     # The null id sorts last of all, so no block that follows another block's rows needs it here.
     totals = devices.groupBy(BLOCK).agg(
         F.sum("runs").alias("block_runs"),

@@ -67,8 +67,12 @@ def build_reports(
         "day_flows", lambda: daily_flows_of_messages(clean_messages(filtered, on_error))
     )
     states = keep("consecutive_flow", lambda: consecutive_flow_state(day_flows))
-    leaks = keep("leakage", lambda: order_leaks(find_leaks(states, "consecutive_flow_state")))
-    usage = keep("usage", lambda: order_usage(device_usage(day_flows)))
+    # A global sort samples its input first. The sample should not run the aggregation again.
+    leaks = keep(
+        "leakage",
+        lambda: order_leaks(materialize(find_leaks(states, "consecutive_flow_state"), "leaks")),
+    )
+    usage = keep("usage", lambda: order_usage(materialize(device_usage(day_flows), "usage")))
     dropped = keep("dropped_devices", lambda: dropped_devices(filtered))
     return {
         "filtered_messages": filtered,

@@ -1,5 +1,8 @@
 """JSON documents: decoded messages and lists of organisations."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from metertide.functions.time import timestamp_text
@@ -17,7 +20,8 @@ def flatten_decoded(decoded: DataFrame, on_error: str = "raise") -> DataFrame:
         "ts", "payload", F.from_json("payload", DECODED_PAYLOAD, mode).alias("document")
     )
     if on_error == "raise":
-        parsed = parsed.filter(_has_all_keys())
+        # Not as a filter: that would be pushed below the parsing and parse once per field.
+        parsed = parsed.withColumn("document", _with_all_keys())
     document = F.col("document")
     columns = {
         "DeviceID": document["devicename"],
@@ -33,14 +37,13 @@ def flatten_decoded(decoded: DataFrame, on_error: str = "raise") -> DataFrame:
     )
 
 
-def _has_all_keys() -> Column:
-    """True, or an error. Looks for missing keys only where some field came out null."""
+def _with_all_keys() -> Column:
+    """The document, or an error. Looks for missing keys only where some field came out null."""
     document, decoded = F.col("document"), F.col("document.decoded_data")
     outer = DECODED_PAYLOAD.fieldNames()
     inner = DECODED_PAYLOAD["decoded_data"].dataType.fieldNames()
-    some_null = F.lit(False)
-    for field in [document[name] for name in outer] + [decoded[name] for name in inner]:
-        some_null = some_null | field.isNull()
+    fields = [document[name] for name in outer] + [decoded[name] for name in inner]
+    some_null = reduce(or_, [field.isNull() for field in fields])
 
     def missing(required: list[str], json: Column) -> Column:
         no_keys = F.array().cast("array<string>")
@@ -57,8 +60,8 @@ def _has_all_keys() -> Column:
         some_null & (F.size(absent) > 0),
         F.raise_error(
             F.concat(F.lit("missing keys in decoded message: "), F.array_join(absent, ", "))
-        ).cast("boolean"),
-    ).otherwise(F.lit(True))
+        ),
+    ).otherwise(document)
 
 
 def organisation_names(documents: DataFrame, default_id: int = 0) -> DataFrame:

@@ -1,0 +1,127 @@
+"""Runs and leaks."""
+
+from datetime import date
+
+import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
+
+from metertide.operators.runs import consecutive_flow_state, find_leaks, flow_runs
+from tests.builders import day, days
+
+
+def leaks_of(df):
+    return sorted((tuple(row) for row in find_leaks(flow_runs(df)).collect()), key=str)
+
+
+def january(number):
+    return date(2024, 1, number)
+
+
+def states_of(df):
+    """The whole table in one order: device and date, both descending, the null device last."""
+    rows = [tuple(row) for row in consecutive_flow_state(df).collect()]
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]), reverse=True)
+
+
+def expected_states(rows):
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]), reverse=True)
+    result, number, before = [], 0, None
+    for row in ordered:
+        flowing = None if row[3] is None else row[3] != 0
+        same = before is not None and before[0] == row[0] and None not in (flowing, before[1])
+        number += not (same and flowing == before[1])
+        result.append(
+            (*row, flowing, before and before[1], before and before[0], number)
+        )
+        before = (row[0], flowing)
+    return result
+
+
+def test_one_day_is_no_leak(spark):
+    assert leaks_of(days(spark, day("D1", 1, 0), day("D1", 2, 5), day("D1", 3, 0))) == []
+
+
+def test_unreported_day_does_not_break_a_run(spark):
+    df = days(spark, day("D1", 1, 5), day("D1", 2, 4), day("D1", 9, 6))
+    assert leaks_of(df) == [("D1", january(1), 3, 4, True)]
+
+
+def test_day_without_readings_breaks_a_run_and_is_no_leak(spark):
+    df = days(
+        spark, day("D1", 1, 5), day("D1", 2, 5), day("D1", 3, None), day("D1", 4, None), day("D1", 5, 5),
+        day("D1", 6, 7),
+    )
+    assert leaks_of(df) == [("D1", january(1), 2, 5, True), ("D1", january(5), 2, 5, True)]
+
+
+def test_neighbouring_devices_in_one_state_are_two_runs(spark):
+    df = days(spark, day("D1", 1, 5), day("D1", 2, 5), day("D2", 1, 3), day("D2", 2, 3))
+    assert leaks_of(df) == [("D1", january(1), 2, 5, True), ("D2", january(1), 2, 3, True)]
+
+
+def test_active_is_about_the_latest_day_of_the_device(spark):
+    df = days(
+        spark, day("D1", 1, 5), day("D1", 2, 5), day("D1", 3, 0), day("D1", 4, 9),
+        day("D2", 1, 5), day("D2", 2, 5), day("D2", 3, 0),
+    )
+    assert leaks_of(df) == [("D1", january(1), 2, 5, True), ("D2", january(1), 2, 5, False)]
+
+
+def test_negative_amount_is_not_zero(spark):
+    assert leaks_of(days(spark, day("D1", 1, -1), day("D1", 2, 5))) == [
+        ("D1", january(1), 2, -1, True)
+    ]
+
+
+def test_null_device_has_leaks_too(spark):
+    df = days(spark, day(None, 1, 5), day(None, 2, 5), day("D1", 1, 0))
+    assert leaks_of(df) == [(None, january(1), 2, 5, True)]
+
+
+def test_leaks_from_global_numbering(spark):
+    rows = [day("D1", 1, 5), day("D1", 2, 5), day("D2", 1, 3), day("D2", 2, 3), day(None, 1, 2), day(None, 2, 2)]
+    df = days(spark, *rows)
+    states = consecutive_flow_state(df)
+    numbered = sorted(
+        (tuple(row) for row in find_leaks(states, "consecutive_flow_state").collect()), key=str
+    )
+    assert numbered == leaks_of(df) and len(numbered) == 3
+
+
+def test_global_numbering_with_null_device_and_null_state(spark):
+    rows = [
+        day("D2", 1, 5), day("D2", 2, 5), day("D1", 1, 0), day("D1", 2, None), day(None, 1, 0), day(None, 2, 3)
+    ]
+    assert states_of(days(spark, *rows)) == expected_states(rows)
+
+
+def test_empty_table(spark):
+    df = days(spark)
+    assert consecutive_flow_state(df).count() == 0 and leaks_of(df) == []
+
+
+DAY_ROWS = st.dictionaries(
+    st.tuples(st.sampled_from([None, *(f"D{n}" for n in range(12))]), st.integers(1, 6)),
+    st.sampled_from([0, 0, 1, 2, None]),
+    min_size=1,
+)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(DAY_ROWS, st.integers(1, 6))
+def test_numbering_equals_that_of_one_sorted_table(spark, cells, partitions):
+    rows = [day(device, number, least) for (device, number), least in cells.items()]
+    assert states_of(days(spark, *rows).repartition(partitions)) == expected_states(rows)
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbering_over_several_blocks(spark, adaptive):
+    """Without adaptive execution the blocks of a small table are not merged into one."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        rows = [day(f"D{n:03}", d, (n * d) % 3) for n in range(60) for d in range(1, 5)]
+        rows += [day(None, d, d % 2) for d in range(1, 5)]
+        assert states_of(days(spark, *rows)) == expected_states(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
