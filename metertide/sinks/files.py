@@ -1,4 +1,4 @@
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -35,6 +35,13 @@ def write_once(spark: SparkSession, build: Callable[[], DataFrame], path: str) -
     return spark.read.parquet(path)
 
 
+def write_outputs(
+    spark: SparkSession, outputs: Mapping[str, Callable[[], DataFrame]], root: str
+) -> dict[str, DataFrame]:
+    """Several named tables under one folder, each written once."""
+    return {name: write_once(spark, build, f"{root}/{name}") for name, build in outputs.items()}
+
+
 def write_if_any(df: DataFrame, path: str, mode: str = "errorifexists") -> bool:
     """Write CSV only if there are rows. ``df`` is read twice, so pass a written table."""
     if df.isEmpty():

@@ -78,7 +78,7 @@ def read_history(spark: SparkSession, root: str, namespace: str | None = None) -
 
     Pass it to ``filter_messages``, which skips the folders outside its period.
     """
-    schema = StructType(MESSAGES.fields)
+    schema = StructType(list(MESSAGES.fields))
     for name, kind in (("namespace", "string"), ("run", "string"), (MESSAGE_DATE, "date")):
         schema = schema.add(name, kind)
     history = spark.read.schema(schema).parquet(root)

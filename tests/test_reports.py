@@ -1,0 +1,208 @@
+"""Sinks, history and the report bundle."""
+
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from metertide.operators.messages import filter_messages
+from metertide.plans.reports import (
+    EXPORTED,
+    build_reports,
+    collect_from_exports,
+    export_reports,
+    write_reports,
+)
+from metertide.schemas import CONSECUTIVE_FLOW, DAY_FLOWS, DROPPED_DEVICES, LEAKAGE, MESSAGES, USAGE
+from metertide.sinks.files import (
+    append_history,
+    is_written,
+    write_csv,
+    write_if_any,
+    write_once,
+    write_outputs,
+    write_scalar,
+)
+from metertide.sources.files import read_csv, read_history
+from metertide.workspace import materialize, shared_folder
+from tests.builders import message, messages
+
+START, END = "2024-01-03", "2024-01-28"
+
+
+@pytest.fixture
+def export(spark):
+    leaking = [message("D1", f"2024-01-{d:02}T08:45:00", flows=[3] * 8) for d in range(4, 8)]
+    quiet = [message("D2", f"2024-01-{d:02}T08:45:00", flows=[0, 9, 9, 9, 0, 0, 0, 0]) for d in (4, 5)]
+    reduced = [message("D1", "2024-01-10T08:45:00", readings=4)]
+    lost = [message("D3", "2024-01-10T08:45:00", xtime=1)]
+    outside = [message("D4", "2024-02-10T08:45:00")]
+    return messages(spark, *leaking, *leaking, *quiet, *reduced, *lost, *outside)
+
+
+def rows_of(df):
+    return sorted((tuple(row) for row in df.collect()), key=str)
+
+
+def long(df):
+    return {row[0]: row[1] for row in df.collect()}
+
+
+def test_reports(export):
+    reports = build_reports(export, START, END)
+    assert reports["filtered_messages"].count() == 8
+    assert reports["initial_device_count"].first().num_devices == 3
+    assert [tuple(row)[2:] for row in reports["leakage"].collect()] == [(4, 3, True)]
+    assert long(reports["leakage_stats"])["total_leaks"] == 1.0
+    assert [tuple(row) for row in reports["usage"].collect()] == [
+        ("D2", 27.0, False), ("D1", 24.0, False),
+    ]
+    assert long(reports["usage_stats"])["median_daily_flow"] == 25.5
+    assert {(r.DeviceID, r.dropped) for r in reports["dropped_devices"].collect()} == {
+        ("D1", False), ("D3", True),
+    }
+    assert long(reports["dropped_devices_stats"]) == {
+        "initial_devices": 3,
+        "included_devices": 2,
+        "excluded_devices": 1,
+        "num_devices_dropped": 1,
+        "num_devices_reduced": 1,
+        "very_low_count_excluded_devices": 0,
+    }
+
+
+def test_report_schemas(export):
+    reports = build_reports(export, START, END)
+    for name, schema in {
+        "filtered_messages": MESSAGES,
+        "day_flows": DAY_FLOWS,
+        "consecutive_flow": CONSECUTIVE_FLOW,
+        "leakage": LEAKAGE,
+        "usage": USAGE,
+        "dropped_devices": DROPPED_DEVICES,
+    }.items():
+        assert [(f.name, f.dataType) for f in reports[name].schema] == [
+            (f.name, f.dataType) for f in schema
+        ]
+
+
+def test_reports_of_no_messages(export):
+    reports = build_reports(export, "2023-01-01", "2023-01-31")
+    assert reports["leakage"].count() == 0 and reports["dropped_devices_stats"].count() == 0
+    assert reports["initial_device_count"].first().num_devices == 0
+
+
+def test_written_reports_are_not_built_again(export, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    first = write_reports(export, root, "ns", START, END)
+    folder = tmp_path / f"ns_{START}_{END}"
+    assert {path.name for path in folder.iterdir()} == set(first)
+
+    def never(*_):
+        raise AssertionError("built again")
+
+    for step in ("filter_messages", "daily_flows_of_messages", "consecutive_flow_state", "usage_stats"):
+        monkeypatch.setattr(f"metertide.plans.reports.{step}", never)
+    again = write_reports(export, root, "ns", START, END)
+    assert all(rows_of(again[name]) == rows_of(first[name]) for name in first)
+    with pytest.raises(AssertionError):
+        write_reports(export, root, "ns", START, "2024-01-29")
+
+
+def test_interrupted_write_is_replaced(spark, tmp_path):
+    path = str(tmp_path / "table")
+    spark.range(3).write.parquet(path)
+    Path(path, "_SUCCESS").unlink()
+    assert not is_written(spark, path)
+    assert write_once(spark, lambda: spark.range(5), path).count() == 5
+    assert write_once(spark, lambda: spark.range(9), path).count() == 5
+
+
+def test_exported_files(spark, export, tmp_path):
+    root = str(tmp_path)
+    reports = build_reports(export, START, END)
+    assert export_reports(reports, root) == EXPORTED
+    back = read_csv(spark, f"{root}/leakage.csv", LEAKAGE)
+    assert rows_of(back) == rows_of(reports["leakage"])
+    (count,) = [p.read_text() for p in Path(root, "initial_device_count.txt").glob("part-*") if p.stat().st_size]
+    assert count == "3\n"
+
+
+def test_dropped_stats_are_not_exported_without_dropped_devices(export, tmp_path):
+    healthy = export.filter((F.col("readings") == 8) & (F.col("xtime") == 4))
+    exported = export_reports(build_reports(healthy, START, END), str(tmp_path))
+    assert "dropped_devices_stats" not in exported and len(exported) == len(EXPORTED) - 1
+
+
+def test_small_sinks(spark, tmp_path):
+    two = spark.createDataFrame([(1, "a "), (2, None)], "id int, name string")
+    write_csv(two, str(tmp_path / "bare"), header=False)
+    lines = [line for p in (tmp_path / "bare").glob("part-*") for line in p.read_text().splitlines()]
+    assert sorted(lines) == ["1,a ", "2,"]
+    assert write_if_any(two, str(tmp_path / "some")) and (tmp_path / "some").exists()
+    assert not write_if_any(two.limit(0), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
+    written = write_outputs(spark, {"a": lambda: two, "b": lambda: two.limit(1)}, str(tmp_path / "many"))
+    assert written["a"].count() == 2 and written["b"].count() == 1
+    write_scalar(two.agg(F.count("id")), str(tmp_path / "count"))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        write_csv(two, str(tmp_path / "bare"))
+
+
+def test_history_replaces_a_run_and_skips_folders(spark, export, tmp_path):
+    root = str(tmp_path / "history")
+    append_history(export, root, "ns", "run-1")
+    append_history(export, root, "ns", "run-1")
+    append_history(export.limit(0), root, "ns", "run-2")
+    append_history(export, root, "ns", "run-3")
+    append_history(messages(spark, message("X")), root, "other", "run-1")
+    assert read_history(spark, root).count() == 2 * export.count() + 1
+    assert len(MESSAGES) == 19
+    history = read_history(spark, root, "ns")
+    assert history.count() == 2 * export.count()
+    kept = filter_messages(history, START, END)
+    assert rows_of(kept) == rows_of(filter_messages(export, START, END))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :].split("PushedFilters")[0]
+    assert "namespace" in filters and "message_date" in filters
+
+
+def test_overlapping_exports_are_collected_once(spark, export, tmp_path):
+    paths = [str(tmp_path / name) for name in ("a", "b")]
+    write_csv(export.filter(F.col("Timestamp") < "2024-01-08"), paths[0])
+    write_csv(export.filter(F.col("Timestamp") >= "2024-01-05"), paths[1])
+    assert rows_of(collect_from_exports(spark, paths)) == rows_of(export.distinct())
+
+
+def test_written_intermediate_tables_go_to_the_shared_folder(spark):
+    df = materialize(spark.range(3).withColumn("b", F.lit(1).cast("tinyint")), "kept")
+    assert all(file.startswith(f"file://{shared_folder(spark)}/") for file in df.inputFiles())
+    assert [f.dataType for f in df.schema] == [f.dataType for f in spark.range(1).schema] + [
+        df.schema["b"].dataType
+    ]
+
+
+def test_shared_folder_follows_the_session(spark):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, name, default):
+            assert name == "spark.checkpoint.dir"
+            return self.value
+
+    class Session:
+        sparkContext = Context()
+
+    session = Session()
+    session.conf = Conf("hdfs://shared/checkpoints/")
+    assert shared_folder(session) == "hdfs://shared/checkpoints"
+    session.conf = Conf(None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session)

@@ -1,0 +1,128 @@
+"""Usage, summaries, row index, median."""
+
+from statistics import median
+
+import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from metertide.operators.ordering import exact_median, with_row_index
+from metertide.operators.stats import dropped_device_stats, leak_stats, usage_stats
+from metertide.operators.usage import device_usage
+from metertide.schemas import DROPPED_DEVICES, LEAKAGE, USAGE
+from tests.builders import START_DAY, day, days
+
+
+def test_usage_is_strictly_above_ten(spark):
+    df = days(
+        spark,
+        day("ten", 1, 0, total=5), day("ten", 2, 0, total=15),
+        day("more", 1, 0, total=10), day("more", 2, 0, total=11, clipped=True),
+        day(None, 1, 0, total=30),
+        day("unknown", 1, None, total=None, clipped=None),
+    )
+    usage = device_usage(df)
+    assert usage.schema == USAGE
+    assert {tuple(row) for row in usage.collect()} == {("more", 10.5, True), (None, 30.0, False)}
+
+
+def test_leak_stats(spark):
+    rows = [("D1", START_DAY, 2, 3, True), ("D1", START_DAY, 4, 1, True), (None, START_DAY, 3, 5, False)]
+    df = spark.createDataFrame(rows, LEAKAGE)
+    assert [tuple(row) for row in leak_stats(df).collect()] == [
+        ("total_leaks", 3.0),
+        ("active_leaks", 2.0),
+        ("avg_leak_amount_litres", 3.0),
+        ("max_leak_amount_litres", 5.0),
+        ("avg_leak_length_days", 3.0),
+        ("max_leak_length_days", 4.0),
+    ]
+    none = {row[0]: row[1] for row in leak_stats(df.limit(0)).collect()}
+    assert none["total_leaks"] == 0.0 and none["max_leak_length_days"] is None and len(none) == 6
+
+
+def test_usage_stats(spark):
+    df = spark.createDataFrame(
+        [("D1", 11.0, True), ("D2", 12.0, None), ("D3", 40.0, False), ("D4", 13.0, True)], USAGE
+    )
+    assert [tuple(row) for row in usage_stats(df).collect()] == [
+        ("clipped_devices", 2.0),
+        ("avg_daily_flow", 19.0),
+        ("max_daily_flow", 40.0),
+        ("min_daily_flow", 11.0),
+        ("median_daily_flow", 12.5),
+    ]
+    none = {row[0]: row[1] for row in usage_stats(df.limit(0)).collect()}
+    assert none.pop("clipped_devices") == 0.0 and set(none.values()) == {None} and len(none) == 4
+
+
+def dropped(spark, *flags):
+    rows = [(f"D{n}", True, True, True, True, flag) for n, flag in enumerate(flags)]
+    return spark.createDataFrame(rows, DROPPED_DEVICES)
+
+
+def usage_of(spark, count):
+    return spark.createDataFrame([(f"D{n}", 11.0, False) for n in range(count)], USAGE)
+
+
+def count_of(spark, number):
+    return spark.createDataFrame([(number,)], "num_devices bigint")
+
+
+def test_dropped_stats(spark):
+    stats = dropped_device_stats(dropped(spark, True, True, False), usage_of(spark, 4), count_of(spark, 9))
+    assert [tuple(row) for row in stats.collect()] == [
+        ("initial_devices", 9),
+        ("included_devices", 4),
+        ("excluded_devices", 5),
+        ("num_devices_dropped", 2),
+        ("num_devices_reduced", 1),
+        ("very_low_count_excluded_devices", 3),
+    ]
+
+
+def test_dropped_stats_may_be_negative(spark):
+    stats = dropped_device_stats(dropped(spark, True), usage_of(spark, 1), count_of(spark, 1))
+    values = {row[0]: row[1] for row in stats.collect()}
+    assert values["excluded_devices"] == 0 and values["very_low_count_excluded_devices"] == -1
+
+
+def test_dropped_stats_of_no_device_have_no_rows(spark):
+    assert dropped_device_stats(dropped(spark), usage_of(spark, 2), count_of(spark, 2)).count() == 0
+
+
+@pytest.fixture
+def many_blocks(spark):
+    """Without adaptive execution even a small table is cut into several blocks."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.one_of(st.none(), st.integers(0, 8).map(float), st.floats(-1e6, 1e6)), max_size=40))
+def test_median(spark, many_blocks, values):
+    df = spark.createDataFrame([(value,) for value in values], "v double").repartition(3)
+    known = [value for value in values if value is not None]
+    assert exact_median(df, "v").first().median == (median(known) if known else None)
+
+
+def test_median_with_one_value_in_most_rows(spark, many_blocks):
+    values = [5.0] * 2000 + [float(n) for n in range(100, 1100)] + [1.0, 2.0]
+    df = spark.createDataFrame([(value,) for value in values], "v double")
+    assert exact_median(df, "v").first().median == median(values) == 5.0
+
+
+def test_median_between_two_blocks(spark, many_blocks):
+    for size in (399, 400):
+        df = spark.range(size).select((F.col("id") * 3).cast("double").alias("v"))
+        expected = median(n * 3.0 for n in range(size))
+        assert exact_median(df, "v").first().median == expected
+
+
+def test_row_index(spark, many_blocks):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(5)
+    rows = with_row_index(df, [F.desc("k")], "n").collect()
+    assert sorted(tuple(row) for row in rows) == [(n, 999 - n) for n in range(1000)]
+    assert with_row_index(df.limit(0), [F.col("k")]).columns == ["index", "k"]
