@@ -1,9 +1,9 @@
 """Results that depend on a global order, without passing all rows through one task.
 
-Rows are range-partitioned into blocks and written with their block number. Block totals are one
-row per block, at most ``spark.sql.shuffle.partitions`` rows, so adding them up and broadcasting
-them is safe at any size. The blocks are written because a range partitioning that is computed
-twice may cut the blocks in two ways.
+Rows are sorted, which cuts them into range partitions (blocks), and written with the number of
+their block and their position in it. Block totals are one row per block, at most
+``spark.sql.shuffle.partitions`` rows, so adding them up and broadcasting them is safe at any size.
+The blocks are written because a sort that is computed twice may cut them in two ways.
 """
 
 from collections.abc import Sequence
@@ -12,16 +12,25 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from metertide.workspace import materialize
 
-BLOCK = "_block"
+BLOCK, POSITION = "_block", "_position"
+
+# Fixed value: row ids of Spark hold the row's place within its partition in the lower 33 bits.
+_PLACE_BITS = 33
 
 
 def in_blocks(df: DataFrame, order: Sequence[Column], name: str = "blocks") -> DataFrame:
-    """``df`` with ``_block``: all rows of a lower block come before those of a higher one.
+    """``df`` with ``_block`` and ``_position`` from 0 in it, both ascending in the given order.
 
     Rows equal in ``order`` share a block, so ``order`` should tell rows apart.
     """
-    return materialize(
-        df.repartitionByRange(*order).withColumn(BLOCK, F.spark_partition_id()), name
+    row_id = F.col("_row_id")
+    placed = materialize(
+        df.orderBy(*order).withColumn("_row_id", F.monotonically_increasing_id()), name
+    )
+    return placed.select(
+        *df.columns,
+        F.shiftright(row_id, _PLACE_BITS).alias(BLOCK),
+        row_id.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).alias(POSITION),
     )
 
 
@@ -32,13 +41,12 @@ def block_starts(totals: DataFrame, total: str, start: str) -> DataFrame:
 
 
 def with_row_index(df: DataFrame, order: Sequence[Column], name: str = "index") -> DataFrame:
-    """``df`` with a dense row index from 0 in the given order."""
+    """``df`` with a dense row index from 0 in the given order; one shuffle, that of the sort."""
     blocks = in_blocks(df, order, "row-index")
     starts = block_starts(
         blocks.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("_rows")), "_rows", "_start"
     ).drop("_rows")
-    within = Window.partitionBy(BLOCK).orderBy(*order)
-    index = (F.col("_start") + F.row_number().over(within) - 1).alias(name)
+    index = (F.col("_start") + F.col(POSITION)).alias(name)
     return blocks.join(F.broadcast(starts), BLOCK).select(index, *df.columns)
 
 

@@ -108,16 +108,19 @@ def find_leaks(days: DataFrame, run: str = "run") -> DataFrame:
     Takes ``flow_runs`` or, with ``run="consecutive_flow_state"``, its globally numbered form.
     ``leak_length_days`` counts reported days, ``leak_amount_litres`` is the smallest hourly flow of
     the run, and ``leak_active`` says whether the device flows on its latest day, also for its
-    earlier leaks. All steps use the one partitioning by device.
+    earlier leaks. Days are combined to runs first, so the latest state is looked up among a
+    device's runs and no join is needed.
     """
+    latest_run_first = Window.partitionBy("device_id").orderBy(F.desc("latest"))
     return (
-        days.withColumn("leak_active", F.first("flowing").over(_latest_first()))
-        .groupBy("device_id", run, "leak_active")
+        days.groupBy("device_id", run, "flowing")
         .agg(
             F.min("date").alias("leak_start_date"),
+            F.max("date").alias("latest"),
             F.count(F.lit(1)).alias("leak_length_days"),
             F.min("min_flow").alias("leak_amount_litres"),
         )
+        .withColumn("leak_active", F.first("flowing").over(latest_run_first))
         .filter((F.col("leak_amount_litres") != 0) & (F.col("leak_length_days") > 1))
         .select(
             "device_id", "leak_start_date", "leak_length_days", "leak_amount_litres", "leak_active"
