@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import pytest
+import reports_job
 from pyspark.sql import functions as F
 
 from metertide.operators.messages import filter_messages
@@ -206,3 +207,15 @@ def test_shared_folder_follows_the_session(spark):
     session.conf = Conf(None)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(session)
+
+
+def test_job_collects_and_reports(spark, export, tmp_path):
+    period = ["--start-date", START, "--end-date", END]
+    place = ["--history", str(tmp_path / "history"), "--namespace", "ns", *period]
+    write_csv(export, str(tmp_path / "export"))
+    reports_job.run(spark, reports_job.parse(["collect", "--exports", str(tmp_path / "export"), *place]))
+    for _ in range(2):
+        reports_job.run(spark, reports_job.parse(["report", "--output", str(tmp_path / "out"), *place]))
+    folder = tmp_path / "out" / f"ns_{START}_{END}"
+    leaks = read_csv(spark, str(folder / "csv" / "leakage.csv"), LEAKAGE)
+    assert [tuple(row)[2:] for row in leaks.collect()] == [(4, 3, True)]
