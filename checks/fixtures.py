@@ -55,8 +55,16 @@ def _message_columns() -> dict[str, Column]:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = _message_columns()
-    return table(spark, sf_dir, "events").select(
+    """The events as messages.
+
+    The timestamp text goes through ``explode``, as Spark would otherwise copy its making into
+    every use in a filter; in a real export it is a plain column.
+    """
+    events = table(spark, sf_dir, "events").select(
+        "*", F.explode(F.array(timestamp_text(F.col("ts")))).alias("Timestamp")
+    )
+    columns = _message_columns() | {"Timestamp": F.col("Timestamp")}
+    return events.select(
         [columns[field.name].cast(field.dataType).alias(field.name) for field in MESSAGES]
     )
 

@@ -1,3 +1,4 @@
+import re
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -56,6 +57,9 @@ def append_history(messages: DataFrame, root: str, namespace: str, run: str) ->
     Repeating a run replaces just that run. The rebalance gathers a date's rows into few files and
     splits a date that is larger than the others.
     """
+    for name in (namespace, run):
+        if not re.fullmatch(r"[\w.-]+", name, re.ASCII):
+            raise ValueError(f"not fit for a folder name: {name!r}")
     (
         with_message_date(messages)
         .hint("rebalance", MESSAGE_DATE)

@@ -159,6 +159,8 @@ def test_history_replaces_a_run_and_skips_folders(spark, export, tmp_path):
     append_history(messages(spark, message("X")), root, "other", "run-1")
     assert read_history(spark, root).count() == 2 * export.count() + 1
     assert len(MESSAGES) == 19
+    with pytest.raises(ValueError, match="folder name"):
+        append_history(export, root, "n/s", "run-1")
     history = read_history(spark, root, "ns")
     assert history.count() == 2 * export.count()
     kept = filter_messages(history, START, END)
