@@ -35,8 +35,11 @@ def usage_stats(usage: DataFrame) -> DataFrame:
         F.min("avg_daily_flow").alias("min_daily_flow"),
     )
     median = exact_median(usage, "avg_daily_flow").withColumnRenamed("median", "median_daily_flow")
-    return to_long(row, "usage_stat", "double").unionByName(
-        to_long(median, "usage_stat", "double")
+    # Both sides are one partition of a few rows; together they make one file.
+    return (
+        to_long(row, "usage_stat", "double")
+        .unionByName(to_long(median, "usage_stat", "double"))
+        .coalesce(1)
     )
 
 
