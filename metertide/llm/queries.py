@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from metertide.llm.language import held_out, identify_languages, learn_languages
 from metertide.llm.mixing import mix_to_targets
+from metertide.llm.packing import pack
 from metertide.llm.urls import judge_urls
 
 
@@ -10,6 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    apart = held_out(F.col("doc_id"), 4, 2)
+    langs, model = learn_languages(documents.filter(F.col("doc_id").isNotNull() & ~apart))
+    return identify_languages(documents, langs, model).select(
+        "doc_id", apart.alias("held_out"), "lang_pred", "score", "mixture"
+    )
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -21,6 +36,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_packing": op2_packing,
     "op8_mixing": op8_mixing,
     "op9_url_filter": op9_url_filter,
 }
