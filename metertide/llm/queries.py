@@ -3,8 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from metertide.llm.language import held_out, identify_languages, learn_languages
+from metertide.llm.licenses import scan_licenses
 from metertide.llm.mixing import mix_to_targets
 from metertide.llm.packing import pack
+from metertide.llm.quality import learn_quality, score_quality
+from metertide.llm.topk import top_k
 from metertide.llm.urls import judge_urls
 
 
@@ -25,6 +28,18 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, apart = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
+    model = learn_quality(documents, table(spark, sf_dir, "labels").filter(~apart))
+    return score_quality(documents, model).select(
+        "doc_id", apart.alias("held_out"), "score", "predicted", "saved"
+    )
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -35,9 +50,16 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
+    "op6_quality": op6_quality,
+    "op7_license_scan": op7_license_scan,
     "op8_mixing": op8_mixing,
     "op9_url_filter": op9_url_filter,
+    "op10_top_k": op10_top_k,
 }
