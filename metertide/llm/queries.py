@@ -7,6 +7,7 @@ from metertide.llm.licenses import scan_licenses
 from metertide.llm.mixing import mix_to_targets
 from metertide.llm.packing import pack
 from metertide.llm.quality import learn_quality, score_quality
+from metertide.llm.simhash import near_duplicates
 from metertide.llm.topk import top_k
 from metertide.llm.urls import judge_urls
 
@@ -28,6 +29,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=64, limit=3)
+    digits = F.lpad(F.lower(F.hex("w0")), 16, "0")
+    return found.select(
+        "doc_id", digits.alias("fingerprint"), F.col("component").alias("component_id")
+    )
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, apart = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
     model = learn_quality(documents, table(spark, sf_dir, "labels").filter(~apart))
@@ -57,6 +66,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
+    "op3_simhash": op3_simhash,
     "op6_quality": op6_quality,
     "op7_license_scan": op7_license_scan,
     "op8_mixing": op8_mixing,
