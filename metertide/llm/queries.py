@@ -8,6 +8,7 @@ from metertide.llm.mixing import mix_to_targets
 from metertide.llm.packing import pack
 from metertide.llm.quality import learn_quality, score_quality
 from metertide.llm.simhash import near_duplicates
+from metertide.llm.substrings import repeated_passages
 from metertide.llm.topk import top_k
 from metertide.llm.urls import judge_urls
 
@@ -37,6 +38,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, apart = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
     model = learn_quality(documents, table(spark, sf_dir, "labels").filter(~apart))
@@ -67,6 +74,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality": op6_quality,
     "op7_license_scan": op7_license_scan,
     "op8_mixing": op8_mixing,
