@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from metertide.llm.imatch import edited_fingerprints
 from metertide.llm.language import held_out, identify_languages, learn_languages
 from metertide.llm.licenses import scan_licenses
 from metertide.llm.mixing import mix_to_targets
@@ -38,6 +39,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
@@ -74,6 +79,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op4_document_fingerprints": op4_document_fingerprints,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality": op6_quality,
     "op7_license_scan": op7_license_scan,
