@@ -186,3 +186,16 @@ def identify_languages(
     return documents.select("doc_id", "text").mapInArrow(
         identify, f"doc_id {kind}, lang_pred string, score double, mixture map<string,double>"
     )
+
+
+def of_known_language(
+    documents: DataFrame, langs: list[str], table: np.ndarray, penalty: float = PENALTY
+) -> DataFrame:
+    """The rows of ``documents`` whose text is not ``und``, with all their columns."""
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            shares = infer_mixtures(words_of(part.column("text")), table, penalty)
+            yield part.filter(pa.array((shares > 0).any(axis=1)))
+
+    return documents.mapInArrow(known, documents.schema)

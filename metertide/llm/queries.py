@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from metertide.llm.imatch import edited_fingerprints
 from metertide.llm.language import held_out, identify_languages, learn_languages
 from metertide.llm.licenses import scan_licenses
@@ -76,6 +77,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
