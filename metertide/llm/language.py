@@ -112,6 +112,8 @@ def _fit(likely, begins, counts, among):
 
 def infer_mixtures(words: Words, table: np.ndarray, penalty: float = PENALTY):
     """Per text the proportions of all languages, 0 outside the chosen set; zeros without a letter."""
+    if not table.shape[1]:
+        return np.zeros((len(words.counts), 0), dtype=np.float32)
     buckets, owner, letters = trigrams(words.distinct)
     logs = np.zeros((len(words.distinct), table.shape[1]), dtype=np.float32)
     some = np.flatnonzero(letters)
@@ -126,7 +128,7 @@ def infer_mixtures(words: Words, table: np.ndarray, penalty: float = PENALTY):
     known = np.flatnonzero(np.diff(ends))
     counts = np.diff(ends)[known]
     result = np.zeros((len(words.counts), table.shape[1]), dtype=np.float32)
-    if not len(known) or not table.shape[1]:
+    if not len(known):
         return result
     begins = ends[known]
     single = np.add.reduceat(logs[index], begins, axis=0)

@@ -278,8 +278,8 @@ def links_within(keys: np.ndarray, words: np.ndarray, limit: int):
 def link_fingerprints(
     distinct: DataFrame, bits: int, limit: int, key_rows: int = KEY_ROWS
 ) -> DataFrame:
-    """Links ``a``, ``b`` between the ``rep`` numbers of fingerprints within ``limit`` bits: not all,
-    but as many as connect what all of them connect."""
+    """Pairs ``a``, ``b`` of ``rep`` numbers that connect what all pairs within ``limit`` bits connect:
+    each task gives its fingerprints with the smallest number of their component."""
     names = [f"w{i}" for i in range(bits // 64)]
     count, both = bit_statistics(distinct, bits)
     plan = plan_pigeonhole(count, both, limit)
