@@ -4,10 +4,11 @@ A template and a text are aligned on words that occur exactly once in either; of
 longest run that ascends in both is kept, and the gaps between them are aligned the same way, down
 to gaps without anchors. The share of the template's words that are matched is its coverage.
 
-Texts are aligned in overlapping blocks of three times the template's length, so a notice that
-occurs again and again has its anchors in each block, and a notice up to twice as long as its
-template lies whole in one. Blocks that hold too few of the template's words to reach the wanted
-coverage are left out beforehand, which loses nothing.
+Texts are aligned in overlapping blocks of three times the template's length, so a notice up to twice
+as long as its template lies whole in one. Where a block holds a notice more than once, its words are
+not unique; there the block is cut to the template's length around every occurrence of one of the
+template's words. Blocks that hold too few of the template's words to reach the wanted coverage are
+left out beforehand, which loses nothing.
 
 Words are compared in lower case without punctuation around them. Per template the block with most
 matches counts (ties: the first); per document the template with the greatest coverage, then most
@@ -142,6 +143,26 @@ def _blocks(words: Words, member: np.ndarray, length: int, least: int):
     return zip(text[enough].tolist(), begin[enough].tolist(), end[enough].tolist(), strict=True)
 
 
+def align_within(template: list[str], block: list[str], least: int) -> list[tuple[int, int]]:
+    """Matched places of the template in a block, of one copy if there are several."""
+    best = align(template, block)
+    if len(best) >= least:
+        return best
+    times = Counter(template)
+    middle = len(template) / 2
+    inside = set(block)
+    keys = [i for i, w in enumerate(template) if times[w] == 1 and w in inside]
+    if not keys:
+        return best
+    key = min(keys, key=lambda i: (abs(i - middle), i))
+    for place in [p for p, w in enumerate(block) if w == template[key]]:
+        begin = max(0, place - key)
+        pairs = align(template, block[begin : place - key + len(template)])
+        if len(pairs) > len(best):
+            best = [(i, j + begin) for i, j in pairs]
+    return best
+
+
 def scan_words(words: Words, templates: dict[str, list[str]], coverage: float) -> dict[int, list]:
     """Per text with a match: (name, coverage, matched words, first word, last word), best first."""
     names = normal(words.distinct).to_pylist()
@@ -154,7 +175,7 @@ def scan_words(words: Words, templates: dict[str, list[str]], coverage: float) -
         least = max(1, int(np.ceil(coverage * len(template) - 1e-9)))
         for text, begin, end in _blocks(words, member, len(template), least):
             block = [names[i] for i in words.index[begin:end]]
-            pairs = align(template, block)
+            pairs = align_within(template, block, least)
             if len(pairs) < least:
                 continue
             first, last = pairs[0][1], pairs[-1][1]
