@@ -9,7 +9,7 @@ Windows whose length is a power of two need no padding; they are transitions of
 
 The stream is cut off after ``stream_tokens`` ids, at the end of a document, which bounds memory
 (one longer document is held whole). Near a stream's end every place may be cut, so its rest goes
-into powers of two. Nothing is shuffled: a partition's rows depend on that partition alone.
+into powers of two; elsewhere windows below ``LEAST_POWER`` ids are not tried. Nothing is shuffled: a partition's rows depend on that partition alone.
 
 Edges: a null or empty text is just the id ``last``. Repeated rows are documents of their own. A
 null ``doc_id`` is allowed. Empty partitions give nothing. Other columns are ignored.
@@ -34,35 +34,49 @@ SENTENCE_PENALTY, INSIDE_PENALTY, WINDOW_PENALTY = 2, 16, 4
 #: Sentences longer than this many ids may be cut inside, at multiples of the step.
 LONG_SENTENCE, STEP = 512, 64
 STREAM_TOKENS = 1 << 22
+#: Shorter windows of a power of two are only looked for within ``size`` of a stream's end.
+LEAST_POWER = 1024
 
 
 def padding(length: int, size: int = SIZE) -> int:
     return 0 if length & (length - 1) == 0 else size - length
 
 
+def _distinct(*parts: np.ndarray) -> np.ndarray:
+    """All values, ascending, each once."""
+    values = np.sort(np.concatenate(parts))
+    return values[np.concatenate(([True], values[1:] != values[:-1]))]
+
+
 def possible_cuts(ends: np.ndarray, sentences: np.ndarray, size: int = SIZE):
     """Places that may be cut, ascending from 0, and the penalty of each."""
     total = int(ends[-1])
-    whole = np.union1d(ends, sentences)
+    whole = _distinct(ends, sentences)
     gaps = np.diff(np.concatenate(([0], whole)))
-    long = np.flatnonzero(gaps > LONG_SENTENCE)
-    inside = [np.arange(whole[i] - gaps[i] + STEP, whole[i], STEP) for i in long]
+    long = np.flatnonzero(gaps > min(LONG_SENTENCE, size // 2))
+    step = min(STEP, max(1, size // 8))
+    inside = [np.arange(whole[i] - gaps[i] + step, whole[i], step) for i in long]
     tail = np.arange(max(1, total - size), total)
-    places = np.unique(np.concatenate([[0], whole, tail, *inside])).astype(np.int64)
+    places = _distinct(np.array([0]), whole, tail, *inside)
     penalty = np.full(len(places), INSIDE_PENALTY, dtype=np.int64)
-    penalty[np.isin(places, sentences, assume_unique=False)] = SENTENCE_PENALTY
-    penalty[np.isin(places, ends)] = 0
+    penalty[np.searchsorted(places, sentences)] = SENTENCE_PENALTY
+    penalty[np.searchsorted(places, ends)] = 0
     return places, penalty + WINDOW_PENALTY
 
 
-def best_cuts(places: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> np.ndarray:
+def best_cuts(
+    places: np.ndarray, penalty: np.ndarray, size: int = SIZE, least_power: int = LEAST_POWER
+) -> np.ndarray:
     """The ends of the windows of the cheapest cutting."""
     jumps: dict[int, list[int]] = {}
     power = 1
     while power <= size:
-        before = np.searchsorted(places, places - power)
-        hit = np.flatnonzero(places[before] == places - power)
-        for j, i in zip(hit.tolist(), before[hit].tolist(), strict=True):
+        # Short windows only pay where a stream ends.
+        late = 0 if power >= least_power else int(np.searchsorted(places, places[-1] - size))
+        ends = places[late:]
+        before = np.searchsorted(places, ends - power)
+        hit = np.flatnonzero(places[before] == ends - power)
+        for j, i in zip((hit + late).tolist(), before[hit].tolist(), strict=True):
             jumps.setdefault(j, []).append(i)
         power *= 2
     at, fee = places.tolist(), penalty.tolist()
@@ -97,7 +111,7 @@ def best_cuts(places: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> np.n
 def _pieces(keys, ids, ends, sentences, first: int, size: int):
     """One stream's pieces as columns, and its windows' ends."""
     cuts = best_cuts(*possible_cuts(ends, sentences, size), size)
-    stops = np.union1d(ends, cuts)
+    stops = _distinct(ends, cuts)
     starts = np.concatenate(([0], stops[:-1]))
     doc, window = np.searchsorted(ends, starts, "right"), np.searchsorted(cuts, starts, "right")
     doc_starts, cut_starts = np.concatenate(([0], ends[:-1])), np.concatenate(([0], cuts[:-1]))

@@ -1,7 +1,14 @@
-"""Token ids of texts by a public tokenizer, word by word."""
+"""Token ids of texts by a public tokenizer, word by word.
+
+Most words are plain letters, perhaps with punctuation after them. Such a word's ids are those of its
+letters and those of the punctuation, and letters go to the vocabulary's model directly. All other
+words go through the whole tokenizer. Words that were seen lately are looked up.
+"""
 
 import os
+import re
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -9,9 +16,11 @@ import pyarrow.compute as pc
 
 from metertide.llm.batches import Words, runs, words_of
 
-#: Words whose ids are kept; beyond it they are forgotten and looked up again.
+#: Words whose ids are kept; beyond it they are forgotten and found again.
 KEPT_WORDS = 300_000
 END = r"[.!?][\"')\]]*$"
+#: Letters that lower-casing and normalising treat one by one, then marks that don't join letters.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def default_vocabulary() -> str:
@@ -33,15 +42,68 @@ def _known(path: str) -> dict[str, list[int]]:
     return {}
 
 
+@cache
+def _byte_names() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: visible ones as they are, the others from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+@cache
+def splits_plainly(path: str) -> bool:
+    """Whether the short way gives what the tokenizer gives, on words of every letter and mark."""
+    tokenizer = _tokenizer(path)
+    letters = "".join(chr(c) for c in range(65, 256) if PLAIN.fullmatch(chr(c)))
+    words = [f"{a}{b}{m}" for a in letters for b in "eÉ" for m in ("", ".", "!!", ",\"", "|")]
+    found = tokenizer.encode_batch(words, add_special_tokens=False)
+    return all(_plain_ids(path, w) == x.ids for w, x in zip(words, found, strict=True))
+
+
+def _model_ids(path: str, letters: str) -> list[int]:
+    if not letters.isascii():
+        letters = letters.encode().decode("latin-1").translate(_byte_names())
+    return [token.id for token in _tokenizer(path).model.tokenize(letters)]
+
+
+def _plain_ids(path: str, word: str) -> list[int] | None:
+    """Ids of a plain word, None of any other."""
+    match = PLAIN.fullmatch(word)
+    if match is None:
+        return None
+    known = _known(path)
+    letters, marks = match[1].lower(), match[2]
+    ids = known.get(letters)
+    if ids is None:
+        ids = known[letters] = _model_ids(path, letters)
+    if not marks:
+        return ids
+    after = known.get(marks)
+    if after is None:
+        found = _tokenizer(path).encode(marks, add_special_tokens=False).ids
+        after = known[marks] = found
+    return ids + after
+
+
 def ids_of_words(path: str, words: pa.Array) -> list[list[int]]:
     """Ids of each distinct word. No token crosses white space in a vocabulary that drops it."""
     known, words = _known(path), words.to_pylist()
     if len(known) + len(words) > KEPT_WORDS:
         known.clear()
-    new = [word for word in words if word not in known]
-    found = _tokenizer(path).encode_batch(new, add_special_tokens=False)
-    known.update(zip(new, (x.ids for x in found), strict=True))
-    return [known[word] for word in words]
+    result = list(map(known.get, words))
+    plainly, others = splits_plainly(path), []
+    for place in [i for i, ids in enumerate(result) if ids is None]:
+        ids = _plain_ids(path, words[place]) if plainly else None
+        if ids is None:
+            others.append(place)
+        else:
+            result[place] = known[words[place]] = ids
+    if others:
+        texts = [words[i] for i in others]
+        found = _tokenizer(path).encode_batch(texts, add_special_tokens=False)
+        for place, text, x in zip(others, texts, found, strict=True):
+            result[place] = known[text] = x.ids
+    return result
 
 
 def token_ids(path: str, texts: pa.Array, last: int):
@@ -50,14 +112,17 @@ def token_ids(path: str, texts: pa.Array, last: int):
     words: Words = words_of(texts)
     lists = ids_of_words(path, words.distinct)
     lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    flat = np.fromiter((x for ids in lists for x in ids), dtype=np.uint32, count=lengths.sum())
+    flat = np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(lengths.sum()))
     begins = np.cumsum(lengths) - lengths
     of_word = lengths[words.index]
     after = np.cumsum(of_word)
     text_of_word = np.repeat(np.arange(len(words.counts)), words.counts)
     ends = np.concatenate(([0], after))[words.starts[1:]] + np.arange(1, len(words.counts) + 1)
     ids = np.full(int(ends[-1]) if len(ends) else 0, last, dtype=np.uint32)
-    place = np.repeat(after - of_word + text_of_word, of_word) + runs(of_word)
-    ids[place] = flat[np.repeat(begins[words.index], of_word) + runs(of_word)]
+    step = runs(of_word)
+    place = np.repeat(after - of_word + text_of_word, of_word)
+    place += step
+    step += np.repeat(begins[words.index], of_word)
+    ids[place] = flat[step]
     closing = pc.match_substring_regex(words.distinct, END).to_numpy(zero_copy_only=False)
     return ids, ends, (after + text_of_word)[closing[words.index]]
