@@ -26,18 +26,23 @@ def _message_columns() -> dict[str, Column]:
 
     def flow(number: int) -> Column:
         used = (user % 10 != 9) & ((event + number) % 3 == 0)
-        return F.least(
-            F.lit(255), base + F.when(used, F.floor("value")).otherwise(F.lit(0))
-        ).cast("bigint")
+        reading = F.least(F.lit(255), base + F.when(used, F.floor("value")).otherwise(F.lit(0)))
+        # Some readings are missing, and some devices miss all of them for three days.
+        missing = ((event + number) % 41 == 0) | ((user % 30 == 17) & day.between(11, 13))
+        return F.when(~missing, reading).cast("bigint")
 
     flows = {name: flow(number) for number, name in enumerate(FLOW_COLUMNS, start=1)}
     id_text = F.concat(F.lit("D"), user.cast("string"))
     few_readings = (user % 20 == 3) | ((user % 20 == 7) & (event % 5 == 0))
     short_xtime = (user % 20 == 11) | ((user % 20 == 13) & (event % 7 == 0))
+    device = (
+        F.when(user % 75 == 44, F.lit(None).cast("string"))
+        .when((user % 25 == 0) & (event % 2 == 0), F.concat(id_text, F.lit(" ")))
+        .when((user % 25 == 6) & (event % 3 == 0), F.concat(F.lit("\t"), id_text))
+        .otherwise(id_text)
+    )
     return {
-        "DeviceID": F.when(
-            (user % 25 == 0) & (event % 2 == 0), F.concat(id_text, F.lit(" "))
-        ).otherwise(id_text),
+        "DeviceID": device,
         "Timestamp": timestamp_text(F.col("ts")),
         "Epoch": F.timestamp_diff(
             "SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")

@@ -8,8 +8,9 @@ _FLOW_LIST = ", ".join(_FLOW_NAMES)
 
 def _flow(number: int) -> str:
     return (
-        f"least(255, base + CASE WHEN user_id % 10 <> 9 AND (event_id + {number}) % 3 = 0 "
-        f"THEN CAST(floor(value) AS BIGINT) ELSE 0 END)::BIGINT AS FLOW{number}"
+        f"CASE WHEN (event_id + {number}) % 41 = 0 OR (user_id % 30 = 17 AND day(ts) BETWEEN 11 AND 13) THEN NULL "
+        f"ELSE least(255, base + CASE WHEN user_id % 10 <> 9 AND (event_id + {number}) % 3 = 0 "
+        f"THEN CAST(floor(value) AS BIGINT) ELSE 0 END) END::BIGINT AS FLOW{number}"
     )
 
 
@@ -21,7 +22,10 @@ based AS (
 flowed AS (SELECT *, {", ".join(_flow(i) for i in range(1, 9))} FROM based),
 messages AS (
   SELECT
-    'D' || user_id || CASE WHEN user_id % 25 = 0 AND event_id % 2 = 0 THEN ' ' ELSE '' END AS "DeviceID",
+    CASE WHEN user_id % 75 = 44 THEN NULL
+      WHEN user_id % 25 = 0 AND event_id % 2 = 0 THEN 'D' || user_id || ' '
+      WHEN user_id % 25 = 6 AND event_id % 3 = 0 THEN chr(9) || 'D' || user_id
+      ELSE 'D' || user_id END AS "DeviceID",
     strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "Timestamp",
     CAST(floor(epoch(ts)) AS BIGINT) AS "Epoch",
     props AS "rawData",
@@ -47,7 +51,7 @@ filtered AS (
 
 _CLEAN = f"""{_FILTERED},
 clean AS (
-  SELECT trim("DeviceID") AS device_id, strptime("Timestamp", '%Y-%m-%dT%H:%M:%S') AS "timestamp", {_FLOW_LIST}
+  SELECT trim("DeviceID", ' ' || chr(9)) AS device_id, strptime("Timestamp", '%Y-%m-%dT%H:%M:%S') AS "timestamp", {_FLOW_LIST}
   FROM filtered WHERE readings = 8 AND "msgType" = 1 AND xtime = 4
 )"""
 
@@ -84,7 +88,8 @@ shifted AS (
 ),
 states AS (
   SELECT *,
-    CAST(sum(CASE WHEN flowing = prev_flowing AND device_id = prev_device_id THEN 0 ELSE 1 END)
+    CAST(sum(CASE WHEN flowing = prev_flowing AND device_id IS NOT DISTINCT FROM prev_device_id
+        THEN 0 ELSE 1 END)
       OVER (ORDER BY device_id DESC, date DESC ROWS UNBOUNDED PRECEDING) AS BIGINT)
       AS consecutive_flow_state
   FROM shifted
@@ -96,9 +101,12 @@ runs AS (
     min(min_flow) AS leak_amount_litres
   FROM states GROUP BY consecutive_flow_state
 ),
-latest AS (SELECT device_id, arg_max(flowing, date) AS leak_active FROM states GROUP BY device_id),
+latest AS (
+  SELECT DISTINCT device_id, first_value(flowing) OVER (PARTITION BY device_id ORDER BY date DESC) AS leak_active
+  FROM states
+),
 leaks AS (
-  SELECT runs.*, leak_active FROM runs JOIN latest USING (device_id)
+  SELECT runs.*, leak_active FROM runs JOIN latest ON runs.device_id IS NOT DISTINCT FROM latest.device_id
   WHERE leak_amount_litres <> 0 AND leak_length_days > 1
 )"""
 
@@ -171,24 +179,30 @@ device AS (
   FROM orders
 )"""
 
+# Each report's table, and a whole number per row whose sum shows its contents.
 _REPORTS = {
-    "filtered_messages": "filtered",
-    "initial_device_count": "initial",
-    "day_flows": "day_flows",
-    "consecutive_flow": "states",
-    "leakage": "leaks",
-    "leakage_stats": "leak_stats",
-    "usage": "usage",
-    "usage_stats": "usage_stats",
-    "dropped_devices": "dropped_devices",
-    "dropped_devices_stats": "dropped_stats",
+    "filtered_messages": ("filtered", " + ".join(f"coalesce({name}, 0)" for name in _FLOW_NAMES)),
+    "initial_device_count": ("initial", "num_devices"),
+    "day_flows": ("day_flows", "coalesce(total_flow, 0) + 1000 * coalesce(min_flow, 0) + CAST(coalesce(clipped, false) AS INT)"),
+    "consecutive_flow": ("states", "consecutive_flow_state + coalesce(total_flow, 0)"),
+    "leakage": ("leaks", "leak_amount_litres + 1000 * leak_length_days + CAST(coalesce(leak_active, false) AS INT)"),
+    "leakage_stats": ("leak_stats", "CAST(round(1000 * value) AS BIGINT)"),
+    "usage": ("usage", "CAST(round(1000 * avg_daily_flow) AS BIGINT) + CAST(coalesce(clipped, false) AS INT)"),
+    "usage_stats": ("usage_stats", "CAST(round(1000 * value) AS BIGINT)"),
+    "dropped_devices": (
+        "dropped_devices",
+        "CAST(has_8_readings AS INT) + 2 * CAST(has_no_non_8_readings AS INT) + 4 * CAST(has_4_xtime AS INT)"
+        " + 8 * CAST(has_no_non_4_xtime AS INT) + 16 * CAST(dropped AS INT)",
+    ),
+    "dropped_devices_stats": ("dropped_stats", "value"),
 }
 _COUNTS = " UNION ALL ".join(
-    f"SELECT '{report}' AS report, count(*) AS row_count FROM {name}"
-    for report, name in _REPORTS.items()
+    f"SELECT '{report}' AS report, count(*) AS row_count, CAST(sum({content}) AS BIGINT) AS content FROM {name}"
+    for report, (name, content) in _REPORTS.items()
 )
+REPORT_CONTENTS = {report: content for report, (_, content) in _REPORTS.items()}
 
-_DAY_FLOWS = f"WITH {_DAYS} SELECT * FROM day_flows ORDER BY date DESC, device_id"
+_DAY_FLOWS = f"WITH {_DAYS} SELECT * FROM day_flows"
 
 ORACLE: dict[str, str] = {
     "messages_scan": f"WITH {_MESSAGES} SELECT * FROM messages",
@@ -206,10 +220,10 @@ ORACLE: dict[str, str] = {
         SELECT device_id, date, total_flow, min_flow, clipped, flowing, prev_flowing, prev_device_id,
           consecutive_flow_state FROM states""",
     "leaks": f"""WITH {_LEAKS} SELECT device_id, leak_start_date, leak_length_days, leak_amount_litres,
-        leak_active FROM leaks ORDER BY leak_amount_litres DESC, device_id, leak_start_date""",
+        leak_active FROM leaks""",
     "leak_stats": f"WITH {_LEAK_STATS} SELECT leakage_stat, round(value, 6) AS value FROM leak_stats",
     "usage": f"""WITH {_USAGE} SELECT device_id, round(avg_daily_flow, 6) AS avg_daily_flow, clipped
-        FROM usage ORDER BY avg_daily_flow DESC, device_id""",
+        FROM usage""",
     "usage_stats": f"""WITH {_USAGE}, {_USAGE_STATS_ONLY}
         SELECT usage_stat, round(value, 6) AS value FROM usage_stats""",
     "dropped_devices": f"WITH {_FILTERED}, {_DROPPED_ONLY} SELECT * FROM dropped_devices",

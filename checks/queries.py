@@ -17,6 +17,7 @@ from checks.fixtures import (
     organisation_documents,
     table,
 )
+from checks.oracle import REPORT_CONTENTS
 from metertide.functions.time import compact_midnight, run_name
 from metertide.operators.flows import daily_flows, daily_flows_of_messages, unpack_flows
 from metertide.operators.messages import (
@@ -39,15 +40,11 @@ from metertide.operators.tables import (
 from metertide.operators.usage import device_usage
 from metertide.plans.reports import (
     build_reports,
-    collect_from_documents,
     collect_from_exports,
-    order_day_flows,
-    order_leaks,
-    order_usage,
 )
-from metertide.schemas import DEVICE
+from metertide.schemas import DEVICE, FLOW_COLUMNS
 from metertide.sinks.files import write_csv
-from metertide.sources.documents import organisation_names
+from metertide.sources.documents import flatten_decoded, organisation_names
 from metertide.sources.files import read_messages, read_with_repeated_headers
 from metertide.workspace import materialize, new_path
 
@@ -112,19 +109,23 @@ def usage_summary(spark, sf_dir):
 
 
 def dropped_summary(spark, sf_dir):
-    kept = materialize(filtered(spark, sf_dir), "filtered-messages")
+    columns = ["DeviceID", "Timestamp", "msgType", "readings", "xtime", *FLOW_COLUMNS]
+    kept = materialize(filtered(spark, sf_dir).select(columns), "filtered-messages")
     used = device_usage(daily_flows_of_messages(clean_messages(kept)))
     return dropped_device_stats(dropped_devices(kept), used, initial_device_count(kept))
 
 
 def reports_all(spark, sf_dir):
-    """How many rows each report has."""
+    """How many rows each report has, and a sum over its contents."""
     reports = build_reports(messages(spark, sf_dir), START, END)
-    counts = [
-        df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("report"), "row_count")
+    sums = [
+        df.agg(
+            F.count(F.lit(1)).alias("row_count"),
+            F.sum(F.expr(REPORT_CONTENTS[name])).cast("bigint").alias("content"),
+        ).select(F.lit(name).alias("report"), "row_count", "content")
         for name, df in reports.items()
     ]
-    return reduce(DataFrame.unionByName, counts)
+    return reduce(DataFrame.unionByName, sums)
 
 
 def device_select(spark, sf_dir):
@@ -178,20 +179,18 @@ def run_dates(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     "messages_scan": messages_scan,
     "messages_union_distinct": messages_union_distinct,
-    "decoded_json_flatten": lambda s, d: collect_from_documents(decoded_messages(s, d)),
+    "decoded_json_flatten": lambda s, d: flatten_decoded(decoded_messages(s, d)),
     "organisations_explode": lambda s, d: organisation_names(organisation_documents(s, d)),
     "filter_dates": filtered,
     "initial_device_count": lambda s, d: initial_device_count(filtered(s, d)),
     "clean_messages": lambda s, d: clean_messages(filtered(s, d)),
     "flow_rows": lambda s, d: unpack_flows(clean_messages(filtered(s, d))),
-    "day_flows": lambda s, d: order_day_flows(
-        daily_flows(unpack_flows(clean_messages(filtered(s, d))))
-    ),
-    "day_flows_of_messages": lambda s, d: order_day_flows(days(s, d)),
+    "day_flows": lambda s, d: daily_flows(unpack_flows(clean_messages(filtered(s, d)))),
+    "day_flows_of_messages": days,
     "consecutive_flow_state": consecutive_flow,
-    "leaks": lambda s, d: order_leaks(leaks(s, d)),
+    "leaks": leaks,
     "leak_stats": lambda s, d: rounded(leak_stats(leaks(s, d)), "value"),
-    "usage": lambda s, d: rounded(order_usage(usage(s, d)), "avg_daily_flow"),
+    "usage": lambda s, d: rounded(usage(s, d), "avg_daily_flow"),
     "usage_stats": usage_summary,
     "dropped_devices": lambda s, d: dropped_devices(filtered(s, d)),
     "dropped_device_stats": dropped_summary,

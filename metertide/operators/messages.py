@@ -10,6 +10,15 @@ from metertide.schemas import FLOW_COLUMNS, MESSAGES
 
 # Partition column of the message history; lets a period skip whole folders.
 MESSAGE_DATE = "message_date"
+# The time of a message as a timestamp, beside its text. Where a frame has it nothing is parsed.
+SENT = "sent"
+
+
+def with_sent(messages: DataFrame, on_error: str = "raise") -> DataFrame:
+    """Messages with their time as ``sent``, parsed unless it is there already."""
+    if SENT in messages.columns:
+        return messages
+    return messages.withColumn(SENT, parse_timestamp(F.col("Timestamp"), on_error))
 
 
 def in_period(
@@ -25,17 +34,19 @@ def in_period(
         messages = messages.filter(
             F.col(MESSAGE_DATE).between(first.cast("date"), last.cast("date"))
         ).drop(MESSAGE_DATE)
-    sent = parse_timestamp(F.col("Timestamp"), on_error)
-    return messages.filter((sent >= first) & (sent <= last))
+    kept = with_sent(messages, on_error).filter((F.col(SENT) >= first) & (F.col(SENT) <= last))
+    return kept.select(messages.columns)
 
 
 def distinct_messages(messages: DataFrame) -> DataFrame:
     """Drop whole-row duplicates.
 
-    All 19 columns count: messages that differ only in ``msgSeq`` both stay. Copies are combined
+    All 19 columns count: messages that differ only in ``msgSeq`` both stay. ``sent`` stays too, where
+    there is one; it follows from the others. Copies are combined
     within each input partition first, so a heavily repeated row is not sent around.
     """
-    return messages.select(MESSAGES.fieldNames()).distinct()
+    sent = [SENT] if SENT in messages.columns else []
+    return messages.select(*MESSAGES.fieldNames(), *sent).distinct()
 
 
 def filter_messages(
@@ -58,9 +69,9 @@ def clean_messages(messages: DataFrame, on_error: str = "raise") -> DataFrame:
             name
         )
 
-    return messages.filter(hourly).select(
+    return with_sent(messages.filter(hourly), on_error).select(
         strip_whitespace(F.col("DeviceID")).alias("device_id"),
-        parse_timestamp(F.col("Timestamp"), on_error).alias("timestamp"),
+        F.col(SENT).alias("timestamp"),
         *[whole_number(name) for name in FLOW_COLUMNS],
     )
 

@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from metertide.operators.ordering import BLOCK, block_starts, in_blocks
-from metertide.workspace import materialize
+from metertide.schemas import DAY_FLOWS
+from metertide.workspace import materialize_by_key
 
 
 def _latest_first() -> WindowSpec:
@@ -31,16 +32,29 @@ def flow_runs(day_flows: DataFrame) -> DataFrame:
     )
 
 
+def stored_runs(day_flows: DataFrame) -> DataFrame:
+    """``flow_runs`` with ``position`` and ``last_day``, written in buckets by device.
+
+    The one shuffle and window of the days; what follows by device starts from here without another.
+    """
+    position = F.row_number().over(_latest_first())
+    last = F.lead("date").over(_latest_first()).isNull()
+    days = flow_runs(day_flows).withColumn("position", position).withColumn("last_day", last)
+    return materialize_by_key(days, "device_id", "position", "device-days")
+
+
 def consecutive_flow_state(day_flows: DataFrame) -> DataFrame:
     """Device-days with a run number that goes on from device to device.
 
     The numbering, ``prev_flowing`` and ``prev_device_id`` are those of one table sorted by device
-    and date, both descending. Only one row per device takes part in the global order; the days
-    themselves are shuffled once, by device, for windows and join alike.
-
-    ``day_flows`` is read twice, so pass a written table.
+    and date, both descending. Only one row per device takes part in the global order. The days are
+    shuffled and windowed once, and written in buckets by device, where the join finds them.
     """
-    days = flow_runs(day_flows).withColumn("position", F.row_number().over(_latest_first()))
+    return number_runs(stored_runs(day_flows))
+
+
+def number_runs(days: DataFrame) -> DataFrame:
+    """``consecutive_flow_state`` of ``stored_runs``."""
     offsets = _device_offsets(days)
     # A plain equality join would lose the device without an id, a null-safe one would shuffle the
     # days again. There is at most one such device, so its row comes from a scalar subquery.
@@ -51,7 +65,7 @@ def consecutive_flow_state(day_flows: DataFrame) -> DataFrame:
         days.join(offsets, "device_id", "left")
         .withColumn("before", before)
         .select(
-            *day_flows.columns,
+            *DAY_FLOWS.fieldNames(),
             "flowing",
             F.when(first_of_device, F.col("before.flowing"))
             .otherwise(F.col("prev_flowing"))
@@ -67,12 +81,8 @@ def consecutive_flow_state(day_flows: DataFrame) -> DataFrame:
 def _device_offsets(days: DataFrame) -> DataFrame:
     """Per device what comes before it: number of runs, last device, state of its last row."""
     order = [F.desc("device_id")]
-    # Written before it is cut into blocks: the sampling for the cut would run the windows again.
-    summary = materialize(
-        days.groupBy("device_id").agg(
-            F.max("run").alias("runs"), F.max_by("flowing", "position").alias("last_flowing")
-        ),
-        "device-runs",
+    summary = days.filter("last_day").select(
+        "device_id", F.col("run").alias("runs"), F.col("flowing").alias("last_flowing")
     )
     devices = in_blocks(summary, order, "device-blocks")
     # The null id sorts last of all, so no block that follows another block's rows needs it here.

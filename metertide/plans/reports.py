@@ -1,8 +1,11 @@
 """Usage, leakage and dropped-device reports over one period."""
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Sequence
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from metertide.operators.flows import daily_flows_of_messages
 from metertide.operators.messages import (
@@ -11,21 +14,37 @@ from metertide.operators.messages import (
     dropped_devices,
     filter_messages,
     initial_device_count,
+    with_sent,
 )
-from metertide.operators.runs import consecutive_flow_state, find_leaks
+from metertide.operators.runs import find_leaks, number_runs, stored_runs
 from metertide.operators.stats import dropped_device_stats, leak_stats, usage_stats
 from metertide.operators.usage import device_usage
-from metertide.sinks.files import write_csv, write_once, write_scalar
+from metertide.schemas import MESSAGES
+from metertide.sinks.files import write_csv, write_if_any, write_once, write_scalar
+from metertide.sinks.jdbc import append_to_table
 from metertide.sources.documents import flatten_decoded
-from metertide.sources.files import read_messages
-from metertide.workspace import materialize
+from metertide.sources.files import read_messages, read_with_repeated_headers
+from metertide.sources.jdbc import Connection, day_predicates, read_table
+from metertide.workspace import materialize, temporary_tables
 
 Keep = Callable[[str, Callable[[], DataFrame]], DataFrame]
 
 
-def collect_from_documents(decoded: DataFrame, on_error: str = "raise") -> DataFrame:
-    """Messages from the table of decoded JSON documents."""
-    return flatten_decoded(decoded, on_error)
+def collect_from_database(
+    spark: SparkSession,
+    connection: Connection,
+    table: str,
+    time_column: str,
+    start: str,
+    end: str,
+    on_error: str = "raise",
+) -> DataFrame:
+    """Messages of a period from a database table of decoded JSON documents, one day per connection.
+
+    ``table`` holds ``payload`` and the time, which is called ``ts`` from here on.
+    """
+    rows = read_table(spark, connection, table, day_predicates(time_column, start, end))
+    return flatten_decoded(rows.withColumnRenamed(time_column, "ts"), on_error)
 
 
 def collect_from_exports(spark: SparkSession, paths, on_error: str = "raise") -> DataFrame:
@@ -33,18 +52,36 @@ def collect_from_exports(spark: SparkSession, paths, on_error: str = "raise") ->
     return distinct_messages(read_messages(spark, paths, on_error))
 
 
-# Final order of the reports. Later keys keep rows with the same first key apart, so that many
-# equal values do not end up in one range partition.
-def order_day_flows(day_flows: DataFrame) -> DataFrame:
-    return day_flows.orderBy(F.desc("date"), "device_id")
+def load_table_from_files(
+    spark: SparkSession,
+    paths,
+    schema: StructType,
+    connection: Connection,
+    table: str,
+    columns: Sequence[str] | None = None,
+    on_error: str = "raise",
+) -> None:
+    """Append files in which the header may come again between rows to a database table."""
+    rows = read_with_repeated_headers(spark, paths, schema, on_error)
+    append_to_table(rows, connection, table, columns)
 
 
-def order_leaks(leaks: DataFrame) -> DataFrame:
-    return leaks.orderBy(F.desc("leak_amount_litres"), "device_id", "leak_start_date")
-
+# Final order of the reports. Later keys keep rows with the same first key apart, so that many
+# equal values do not end up in one range partition.
+def in_final_order(name: str, report: DataFrame) -> DataFrame:
+    """A report as its files list it: sorted, or as it is if its rows have no order.
 
-def order_usage(usage: DataFrame) -> DataFrame:
-    return usage.orderBy(F.desc("avg_daily_flow"), "device_id")
+    A table that is written and read again has lost its order, so this comes right before the files.
+    """
+    if name == "day_flows":
+        return report.orderBy(F.desc("date"), "device_id")
+    if name == "consecutive_flow":
+        return report.orderBy(F.desc("device_id"), F.desc("date"))
+    if name == "leakage":
+        return report.orderBy(F.desc("leak_amount_litres"), "device_id", "leak_start_date")
+    if name == "usage":
+        return report.orderBy(F.desc("avg_daily_flow"), "device_id")
+    return report
 
 
 def _materialize(name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -54,28 +91,27 @@ def _materialize(name: str, build: Callable[[], DataFrame]) -> DataFrame:
 def build_reports(
     messages: DataFrame, start: str, end: str, keep: Keep = _materialize, on_error: str = "raise"
 ) -> dict[str, DataFrame]:
-    """All tables of the reports, by name.
+    """All tables of the reports, by name, in no order.
 
     Each table goes through ``keep``, which writes it and returns the written table: the export is
-    read once, and later tables start from the small ones before them.
+    read once, its times are parsed once, and later tables start from the small ones before them.
+    Numbering and leaks both start from the days in buckets by device.
     """
     filtered = keep(
-        "filtered_messages", lambda: filter_messages(messages, start, end, on_error)
+        "filtered_messages",
+        lambda: filter_messages(with_sent(messages, on_error), start, end, on_error),
     )
     initial = keep("initial_device_count", lambda: initial_device_count(filtered))
     day_flows = keep(
         "day_flows", lambda: daily_flows_of_messages(clean_messages(filtered, on_error))
     )
-    states = keep("consecutive_flow", lambda: consecutive_flow_state(day_flows))
-    # A global sort samples its input first. The sample should not run the aggregation again.
-    leaks = keep(
-        "leakage",
-        lambda: order_leaks(materialize(find_leaks(states, "consecutive_flow_state"), "leaks")),
-    )
-    usage = keep("usage", lambda: order_usage(materialize(device_usage(day_flows), "usage")))
+    by_device = cache(lambda: stored_runs(day_flows))
+    states = keep("consecutive_flow", lambda: number_runs(by_device()))
+    leaks = keep("leakage", lambda: find_leaks(by_device()))
+    usage = keep("usage", lambda: device_usage(day_flows))
     dropped = keep("dropped_devices", lambda: dropped_devices(filtered))
     return {
-        "filtered_messages": filtered,
+        "filtered_messages": filtered.select(MESSAGES.fieldNames()),
         "initial_device_count": initial,
         "day_flows": day_flows,
         "consecutive_flow": states,
@@ -90,18 +126,42 @@ def build_reports(
     }
 
 
+def input_identity(messages: DataFrame) -> str:
+    """What a frame of the history is made of: its runs in their versions, one row each."""
+    runs = messages.select("namespace", "run", "version").distinct().collect()
+    text = "\n".join(sorted("|".join(map(str, run)) for run in runs))
+    return hashlib.sha256(text.encode()).hexdigest()[:16]
+
+
 def write_reports(
-    messages: DataFrame, root: str, namespace: str, start: str, end: str, on_error: str = "raise"
+    messages: DataFrame,
+    root: str,
+    namespace: str,
+    start: str,
+    end: str,
+    on_error: str = "raise",
+    identity: str | None = None,
+    rebuild: bool = False,
 ) -> dict[str, DataFrame]:
     """Write all tables of a period under ``root`` and return them.
 
-    Finished tables are not computed again, so a run that was cut short goes on where it stopped.
-    The path names namespace and period; another period is another folder.
+    The folder names the namespace, the period, ``on_error`` and what the input is made of, so tables of
+    different inputs never meet. Finished tables of the same input are not computed again, unless
+    ``rebuild`` asks for it, and a run that was cut short goes on where it stopped. For a frame that is
+    not from ``read_history``, ``identity`` says what it is made of.
     """
-    spark, folder = messages.sparkSession, f"{root}/{namespace}_{start}_{end}"
-    return build_reports(
-        messages, start, end, lambda name, build: write_once(spark, build, f"{folder}/{name}"), on_error
-    )
+    spark = messages.sparkSession
+    if identity is None:
+        if "version" not in messages.columns:
+            raise ValueError("say by identity what messages from outside the history are made of")
+        identity = input_identity(messages)
+    folder = f"{root}/{namespace}_{start}_{end}/{on_error}-{identity}"
+
+    def keep(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return write_once(spark, build, f"{folder}/{name}", rebuild)
+
+    with temporary_tables(spark):
+        return build_reports(messages, start, end, keep, on_error)
 
 
 # The files a report reader gets.
@@ -124,9 +184,12 @@ def export_reports(reports: dict[str, DataFrame], root: str) -> list[str]:
     """
     exported = []
     for name in EXPORTED:
-        if name == "dropped_devices_stats" and reports[name].isEmpty():
-            continue
-        write_csv(reports[name], f"{root}/{name}.csv", mode="overwrite")
+        files = f"{root}/{name}.csv"
+        if name == "dropped_devices_stats":
+            if not write_if_any(reports[name], files, mode="overwrite"):
+                continue
+        else:
+            write_csv(in_final_order(name, reports[name]), files, mode="overwrite")
         exported.append(name)
     write_scalar(
         reports["initial_device_count"], f"{root}/initial_device_count.txt", mode="overwrite"

@@ -1,10 +1,12 @@
 import re
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from metertide.operators.messages import MESSAGE_DATE
-from metertide.sources.files import CSV_FORMAT, with_message_date
+from metertide.operators.messages import MESSAGE_DATE, SENT, with_sent
+from metertide.schemas import MESSAGES
+from metertide.sources.files import CSV_FORMAT
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "errorifexists") -> None:
@@ -25,13 +27,15 @@ def is_written(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
 
-def write_once(spark: SparkSession, build: Callable[[], DataFrame], path: str) -> DataFrame:
+def write_once(
+    spark: SparkSession, build: Callable[[], DataFrame], path: str, rebuild: bool = False
+) -> DataFrame:
     """Write what ``build`` returns as Parquet and return the written table.
 
-    If ``path`` is complete already, nothing is built. An earlier attempt that did not finish is
-    replaced. The path must name everything the result depends on, such as the period.
+    If ``path`` is complete already, nothing is built, unless ``rebuild`` asks for it. An earlier
+    attempt that did not finish is replaced. The path must name everything the result depends on.
     """
-    if not is_written(spark, path):
+    if rebuild or not is_written(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -51,19 +55,25 @@ def write_if_any(df: DataFrame, path: str, mode: str = "errorifexists") -> bool:
     return True
 
 
-def append_history(messages: DataFrame, root: str, namespace: str, run: str) -> None:
-    """Add one collection run to the history, in folders by namespace, run and message date.
+def append_history(
+    messages: DataFrame, root: str, namespace: str, run: str, on_error: str = "raise"
+) -> None:
+    """Add one collection run to the history, in folders by namespace, run, version and message date.
 
-    Repeating a run replaces just that run. The rebalance gathers a date's rows into few files and
-    splits a date that is larger than the others.
+    Times are parsed here, once: a malformed one raises, or is null with ``on_error="null"`` and belongs
+    to no period. Repeating a run replaces just that run, under a new version, by which results tell
+    what they were made from. The rebalance gathers a date's rows into few files and splits a date that
+    is larger than the others.
     """
     for name in (namespace, run):
         if not re.fullmatch(r"[\w.-]+", name, re.ASCII):
             raise ValueError(f"not fit for a folder name: {name!r}")
     (
-        with_message_date(messages)
+        with_sent(messages, on_error)
+        .select(*MESSAGES.fieldNames(), SENT, F.col(SENT).cast("date").alias(MESSAGE_DATE))
+        .withColumn("version", F.lit(uuid.uuid4().hex))
         .hint("rebalance", MESSAGE_DATE)
         .write.mode("overwrite")
-        .partitionBy(MESSAGE_DATE)
+        .partitionBy("version", MESSAGE_DATE)
         .parquet(f"{root}/namespace={namespace}/run={run}")
     )

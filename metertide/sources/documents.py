@@ -5,6 +5,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from metertide.functions.strict import read_every_column
 from metertide.functions.time import timestamp_text
 from metertide.schemas import DECODED_PAYLOAD, MESSAGES, ORGANISATIONS
 
@@ -20,8 +21,8 @@ def flatten_decoded(decoded: DataFrame, on_error: str = "raise") -> DataFrame:
         "ts", "payload", F.from_json("payload", DECODED_PAYLOAD, mode).alias("document")
     )
     if on_error == "raise":
-        # Not as a filter: that would be pushed below the parsing and parse once per field.
-        parsed = parsed.withColumn("document", _with_all_keys())
+        # By way of a generator: a filter would be pushed below the parsing, once per field.
+        parsed = parsed.select("ts", F.explode(F.array(_with_all_keys())).alias("document"))
     document = F.col("document")
     columns = {
         "DeviceID": document["devicename"],
@@ -29,12 +30,13 @@ def flatten_decoded(decoded: DataFrame, on_error: str = "raise") -> DataFrame:
         "Epoch": document["timestamp"],
         "rawData": document["data"],
     }
-    return parsed.select(
+    messages = parsed.select(
         [
             columns.get(name, document["decoded_data"][name]).alias(name)
             for name in MESSAGES.fieldNames()
         ]
     )
+    return read_every_column(messages) if on_error == "raise" else messages
 
 
 def _with_all_keys() -> Column:

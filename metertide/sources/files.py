@@ -7,8 +7,8 @@ from operator import and_
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from metertide.functions.time import parse_timestamp
-from metertide.operators.messages import MESSAGE_DATE
+from metertide.functions.strict import read_every_column
+from metertide.operators.messages import MESSAGE_DATE, SENT
 from metertide.schemas import MESSAGES
 
 # Quotes inside quoted fields are doubled, and spaces belong to the value: an id with a trailing
@@ -31,15 +31,17 @@ def read_csv(
     """CSV files with a header line each, read as one table.
 
     Columns are taken by position, whatever the header says, unless ``check_header`` asks that the
-    names agree. A malformed field raises, or becomes null with ``on_error="null"``.
+    names agree. A malformed field raises, whatever columns are used later, or becomes null with
+    ``on_error="null"``.
     """
-    return spark.read.options(**CSV_FORMAT).csv(
+    rows = spark.read.options(**CSV_FORMAT).csv(
         paths if isinstance(paths, str) else list(paths),
         schema=schema,
         header=True,
         enforceSchema=not check_header,
         mode="FAILFAST" if on_error == "raise" else "PERMISSIVE",
     )
+    return read_every_column(rows) if on_error == "raise" else rows
 
 
 def read_messages(
@@ -53,12 +55,16 @@ def read_messages(
 
 
 def read_with_repeated_headers(
-    spark: SparkSession, paths: str | Sequence[str], schema: StructType
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    schema: StructType,
+    on_error: str = "raise",
 ) -> DataFrame:
     """CSV files, possibly glued together, in which the header line occurs again between rows.
 
-    Columns are found by the names in the header; rows that repeat it are skipped before the
-    strict cast to the types in ``schema``.
+    Columns are found by the names in the header, which must be the same in all files: one that
+    names other columns, or in another order, raises. Rows that repeat the header are skipped before
+    the cast to the types in ``schema``, which raises, or gives null with ``on_error="null"``.
     """
     paths = paths if isinstance(paths, str) else list(paths)
     # One file's first line names the columns, so Spark reads no more than that here.
@@ -66,27 +72,33 @@ def read_with_repeated_headers(
     text = StructType()
     for name in names:
         text = text.add(name, "string")
-    rows = spark.read.options(**CSV_FORMAT).csv(paths, schema=text, header=True, mode="FAILFAST")
+    rows = spark.read.options(**CSV_FORMAT).csv(
+        paths,
+        schema=text,
+        header=True,
+        enforceSchema=False,
+        mode="FAILFAST" if on_error == "raise" else "PERMISSIVE",
+    )
     is_header = reduce(and_, [F.col(name).eqNullSafe(F.lit(name)) for name in names])
-    return rows.filter(~is_header).select(
-        [F.col(field.name).cast(field.dataType) for field in schema]
+    strict = on_error == "raise"
+    typed = rows.filter(~is_header).select(
+        [
+            (F.col(f.name).cast(f.dataType) if strict else F.col(f.name).try_cast(f.dataType)).alias(f.name)
+            for f in schema
+        ]
     )
+    return read_every_column(typed) if strict else typed
 
 
 def read_history(spark: SparkSession, root: str, namespace: str | None = None) -> DataFrame:
-    """Accumulated messages with their ``namespace``, ``run`` and ``message_date`` folders.
+    """Accumulated messages with their time as ``sent`` and the ``namespace``, ``run``, ``version`` and
+    ``message_date`` folders they lie in.
 
     Pass it to ``filter_messages``, which skips the folders outside its period.
     """
-    schema = StructType(list(MESSAGES.fields))
-    for name, kind in (("namespace", "string"), ("run", "string"), (MESSAGE_DATE, "date")):
-        schema = schema.add(name, kind)
+    schema = StructType(list(MESSAGES.fields)).add(SENT, "timestamp_ntz")
+    for name in ("namespace", "run", "version"):
+        schema = schema.add(name, "string")
+    schema = schema.add(MESSAGE_DATE, "date")
     history = spark.read.schema(schema).parquet(root)
     return history if namespace is None else history.filter(F.col("namespace") == namespace)
-
-
-def with_message_date(messages: DataFrame, on_error: str = "raise") -> DataFrame:
-    """The date of each message as a column to partition by."""
-    return messages.withColumn(
-        MESSAGE_DATE, parse_timestamp(F.col("Timestamp"), on_error).cast("date")
-    )

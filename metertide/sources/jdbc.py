@@ -43,18 +43,18 @@ def read_table(
     spark: SparkSession,
     connection: Connection,
     table: str,
-    predicates: Sequence[str] | None = None,
+    predicates: Sequence[str],
 ) -> DataFrame:
-    """A table, or ``(SELECT ...) name``.
+    """A table, or ``(SELECT ...) name``, one partition and connection per condition.
 
-    With ``predicates`` every condition becomes a partition with a connection of its own. They must
-    not overlap and must cover the rows wanted.
+    The conditions must not overlap and must cover the rows wanted. For a result that one task can
+    read there is ``read_query``.
     """
-    properties = connection.driver_properties()
-    if predicates is None:
-        return spark.read.jdbc(connection.url, table, properties=properties)
     return spark.read.jdbc(
-        connection.url, table, predicates=list(predicates), properties=properties
+        connection.url,
+        table,
+        predicates=list(predicates),
+        properties=connection.driver_properties(),
     )
 
 

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
+from checks.queries import QUERIES
 from metertide.operators.flows import daily_flows_of_messages, unpack_flows
 from metertide.operators.messages import (
     clean_messages,
@@ -15,9 +15,11 @@ from metertide.operators.messages import (
     initial_device_count,
 )
 from metertide.operators.ordering import exact_median, with_row_index
-from metertide.operators.runs import consecutive_flow_state, find_leaks, flow_runs
+from metertide import workspace
+from metertide.operators.runs import consecutive_flow_state, find_leaks, flow_runs, stored_runs
 from metertide.operators.stats import dropped_device_stats
 from metertide.operators.usage import device_usage
+from metertide.plans.reports import build_reports
 from metertide.workspace import materialize
 from tests.builders import day, days, message, messages
 
@@ -43,9 +45,9 @@ def stored_days(spark):
     return materialize(days(spark, day("D1", 1, 5), day("D1", 2, 5)), "days")
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_query_pairs_all_rows_or_leaves_the_jvm(spark, name):
-    plan = plan_of(queries()[name](spark, SMALL))
+    plan = plan_of(QUERIES[name](spark, SMALL))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython", "MapInPandas"):
         assert node not in plan
 
@@ -87,13 +89,58 @@ def test_leaks_of_days_shuffle_once(stored_days):
     assert exchanges(find_leaks(flow_runs(stored_days))) == ["hashpartitioning"]
 
 
-def test_global_numbering_shuffles_days_once_and_by_device(stored_days):
-    df = consecutive_flow_state(stored_days)
-    plan = plan_of(df)
-    main = plan.split("Subquery")[-1] if "Subquery" in plan else plan
-    days_scan = [line for line in plan.splitlines() if "total_flow" in line and "FileScan" in line]
-    assert len(days_scan) == 1
-    assert re.search(r"Exchange hashpartitioning\(device_id", main)
+@pytest.fixture
+def written_plans(monkeypatch):
+    """Plans of all intermediate tables, by name; the final plan is the test's own."""
+    plans = {}
+
+    def noting(function):
+        def call(df, *rest):
+            plans.setdefault(rest[-1], []).append(plan_of(df))
+            return function(df, *rest)
+
+        return call
+
+    monkeypatch.setattr("metertide.operators.runs.materialize_by_key", noting(workspace.materialize_by_key))
+    monkeypatch.setattr("metertide.operators.ordering.materialize", noting(workspace.materialize))
+    return plans
+
+
+def days_read_or_moved(plan):
+    """Lines of a plan that shuffle or window columns only days have."""
+    return [
+        line
+        for line in plan.splitlines()
+        if re.search(r"\bExchange (hash|range|Single|Round)|\bWindow \[", line) and "BroadcastExchange" not in line
+    ]
+
+
+def test_days_are_shuffled_and_windowed_once_over_all_jobs(spark, stored_days, written_plans):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many devices
+    try:
+        df = consecutive_flow_state(stored_days)
+        final = plan_of(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    (stored,) = written_plans["device-days"]
+    assert stored.count("Exchange hashpartitioning(device_id") == 1 == stored.count("Exchange ")
+    # Everything after starts from the table in buckets; what is shuffled is one row per device.
+    for plan in (final, *written_plans["device-blocks"]):
+        assert "Bucketed: true" in plan or "last_day" in plan
+        for exchange in re.findall(r"Exchange (?:hash|range)partitioning[^\n]*", plan):
+            assert "total_flow" not in exchange
+    left = final[final.rindex("SortMergeJoin [device_id") :]
+    scan = left[: left.index("FileScan parquet")]
+    assert "Exchange" not in scan
+
+
+def test_leaks_of_stored_days_need_no_shuffle(stored_days):
+    assert exchanges(find_leaks(stored_runs(stored_days))) == []
+
+
+def test_no_sort_precedes_a_parquet_write(spark):
+    reports = build_reports(messages(spark, message("D1"), message("D2")), "2024-01-01", "2024-01-31")
+    assert all("rangepartitioning" not in plan_of(df) for df in reports.values())
 
 
 def test_single_partition_only_for_totals_of_blocks(spark, stored_days):

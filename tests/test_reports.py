@@ -25,7 +25,7 @@ from metertide.sinks.files import (
     write_scalar,
 )
 from metertide.sources.files import read_csv, read_history
-from metertide.workspace import materialize, shared_folder
+from metertide.workspace import materialize, shared_folder, temporary_tables
 from tests.builders import message, messages
 
 START, END = "2024-01-03", "2024-01-28"
@@ -55,9 +55,7 @@ def test_reports(export):
     assert reports["initial_device_count"].first().num_devices == 3
     assert [tuple(row)[2:] for row in reports["leakage"].collect()] == [(4, 3, True)]
     assert long(reports["leakage_stats"])["total_leaks"] == 1.0
-    assert [tuple(row) for row in reports["usage"].collect()] == [
-        ("D2", 27.0, False), ("D1", 24.0, False),
-    ]
+    assert rows_of(reports["usage"]) == [("D1", 24.0, False), ("D2", 27.0, False)]
     assert long(reports["usage_stats"])["median_daily_flow"] == 25.5
     assert {(r.DeviceID, r.dropped) for r in reports["dropped_devices"].collect()} == {
         ("D1", False), ("D3", True),
@@ -93,21 +91,144 @@ def test_reports_of_no_messages(export):
     assert reports["initial_device_count"].first().num_devices == 0
 
 
-def test_written_reports_are_not_built_again(export, tmp_path, monkeypatch):
-    root = str(tmp_path)
-    first = write_reports(export, root, "ns", START, END)
-    folder = tmp_path / f"ns_{START}_{END}"
+@pytest.fixture
+def history(spark, export, tmp_path):
+    root = str(tmp_path / "history")
+    append_history(export, root, "ns", "run-1")
+    return root
+
+
+def report_counts(spark, root, output, **options):
+    reports = write_reports(read_history(spark, root, "ns"), output, "ns", START, END, **options)
+    return {name: rows_of(df) for name, df in reports.items()}
+
+
+@pytest.fixture
+def no_building(monkeypatch):
+    def forbid():
+        def never(*_):
+            raise AssertionError("built again")
+
+        for step in ("filter_messages", "daily_flows_of_messages", "stored_runs", "usage_stats"):
+            monkeypatch.setattr(f"metertide.plans.reports.{step}", never)
+
+    yield forbid
+    monkeypatch.undo()
+
+
+def test_reports_of_an_unchanged_input_are_not_built_again(spark, history, tmp_path, no_building):
+    root = str(tmp_path / "out")
+    first = report_counts(spark, history, root)
+    (folder,) = (tmp_path / "out" / f"ns_{START}_{END}").iterdir()
     assert {path.name for path in folder.iterdir()} == set(first)
+    no_building()
+    assert report_counts(spark, history, root) == first
+    with pytest.raises(AssertionError, match="built again"):
+        report_counts(spark, history, root, rebuild=True)
+    with pytest.raises(AssertionError, match="built again"):
+        report_counts(spark, history, root, on_error="null")
+
+
+def test_reports_follow_their_input(spark, export, history, tmp_path):
+    root = str(tmp_path / "out")
+    devices = lambda reports: reports["initial_device_count"][0][0]
+    assert devices(report_counts(spark, history, root)) == 3
+    append_history(messages(spark, message("D9")), history, "ns", "run-2")  # a late run
+    assert devices(report_counts(spark, history, root)) == 4
+    append_history(messages(spark, message("D8"), message("D7")), history, "ns", "run-1")  # replaced
+    assert devices(report_counts(spark, history, root)) == 3
+    append_history(export, history, "other", "run-1")  # of no concern
+    assert len(list((tmp_path / "out" / f"ns_{START}_{END}").iterdir())) == 3
+    report_counts(spark, history, root)
+    assert len(list((tmp_path / "out" / f"ns_{START}_{END}").iterdir())) == 3
+
+
+def test_an_interrupted_run_does_not_mix_with_a_later_input(spark, history, tmp_path, monkeypatch):
+    root = str(tmp_path / "out")
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr("metertide.plans.reports.dropped_devices", broken)
+        with pytest.raises(RuntimeError, match="lost"):
+            report_counts(spark, history, root)
+    append_history(messages(spark, message("D1", readings=4)), history, "ns", "run-1")
+    reports = report_counts(spark, history, root)
+    assert dict(reports["dropped_devices_stats"])["initial_devices"] == 1
+    assert reports["usage"] == []
+
+
+def test_an_interrupted_run_goes_on(spark, history, tmp_path, monkeypatch):
+    root = str(tmp_path / "out")
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    for step in ("dropped_devices", "filter_messages"):
+        with monkeypatch.context() as patch:
+            patch.setattr(f"metertide.plans.reports.{step}", broken)
+            if step == "dropped_devices":
+                with pytest.raises(RuntimeError, match="lost"):
+                    report_counts(spark, history, root)
+            else:  # what was filtered before is there
+                assert len(report_counts(spark, history, root)["usage"]) == 2
+
+
+def test_messages_from_elsewhere_need_an_identity(export, tmp_path):
+    with pytest.raises(ValueError, match="identity"):
+        write_reports(export, str(tmp_path), "ns", START, END)
+    reports = write_reports(export, str(tmp_path), "ns", START, END, identity="export-7")
+    assert reports["usage"].count() == 2
+
+
+def test_malformed_times_of_the_history(spark, export, tmp_path):
+    root = str(tmp_path / "history")
+    bad = export.union(messages(spark, message("D5", "soon")))
+    with pytest.raises(Exception, match="CANNOT_PARSE|DateTime|cannot be parsed|could not be parsed"):
+        append_history(bad, root, "ns", "run-1")
+    append_history(bad, root, "ns", "run-1", on_error="null")
+    history = read_history(spark, root, "ns")
+    assert history.count() == export.count() + 1
+    assert rows_of(filter_messages(history, START, END).select(MESSAGES.fieldNames())) == rows_of(
+        filter_messages(export, START, END)
+    )
 
-    def never(*_):
-        raise AssertionError("built again")
 
-    for step in ("filter_messages", "daily_flows_of_messages", "consecutive_flow_state", "usage_stats"):
-        monkeypatch.setattr(f"metertide.plans.reports.{step}", never)
-    again = write_reports(export, root, "ns", START, END)
-    assert all(rows_of(again[name]) == rows_of(first[name]) for name in first)
-    with pytest.raises(AssertionError):
-        write_reports(export, root, "ns", START, "2024-01-29")
+def test_files_are_in_order_at_any_size(spark, tmp_path):
+    rows = [
+        message(f"D{d}", f"2024-01-{n:02}T08:45:00", flows=[1 + (d * 7) % 5] * 7 + [d % 9])
+        for d in range(40)
+        for n in range(4, 14)
+    ]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        reports = build_reports(messages(spark, *rows).repartition(8), START, END)
+        export_reports(reports, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+    def lines(name, schema):
+        parts = sorted((tmp_path / f"{name}.csv").glob("part-*"))
+        found = [read_csv(spark, str(p), schema).collect() for p in parts]
+        return [row for part in found for row in part], sum(map(bool, found))
+
+    def descending(values):
+        return all(a >= b for a, b in zip(values, values[1:], strict=False))
+
+    keys = {
+        "day_flows": (DAY_FLOWS, lambda r: (r.date.toordinal(), tuple(-ord(c) for c in r.device_id))),
+        "consecutive_flow": (CONSECUTIVE_FLOW, lambda r: (r.device_id, r.date)),
+        "leakage": (LEAKAGE, lambda r: (r.leak_amount_litres, tuple(-ord(c) for c in r.device_id))),
+        "usage": (USAGE, lambda r: (r.avg_daily_flow, tuple(-ord(c) for c in r.device_id))),
+    }
+    for name, (schema, key) in keys.items():
+        found, files = lines(name, schema)
+        assert len(found) == reports[name].count() > 0
+        assert files > 1, name
+        # Ids of one and two digits: a prefix sorts first, so pad it for the reversed comparison.
+        values = [tuple(x + (0,) * (3 - len(x)) if isinstance(x, tuple) else x for x in key(r)) for r in found]
+        assert descending(values), name
 
 
 def test_interrupted_write_is_replaced(spark, tmp_path):
@@ -164,10 +285,13 @@ def test_history_replaces_a_run_and_skips_folders(spark, export, tmp_path):
     history = read_history(spark, root, "ns")
     assert history.count() == 2 * export.count()
     kept = filter_messages(history, START, END)
-    assert rows_of(kept) == rows_of(filter_messages(export, START, END))
+    kept_columns = kept.select(MESSAGES.fieldNames())
+    assert rows_of(kept_columns) == rows_of(filter_messages(export, START, END))
     plan = kept._jdf.queryExecution().executedPlan().toString()
-    filters = plan[plan.index("PartitionFilters") :].split("PushedFilters")[0]
+    filters, pushed = plan[plan.index("PartitionFilters") :].split("PushedFilters")[:2]
     assert "namespace" in filters and "message_date" in filters
+    assert f"GreaterThanOrEqual(sent,{START}" in pushed and f"LessThanOrEqual(sent,{END}" in pushed
+    assert "RLIKE" not in plan and "rlike" not in plan
 
 
 def test_overlapping_exports_are_collected_once(spark, export, tmp_path):
@@ -177,6 +301,18 @@ def test_overlapping_exports_are_collected_once(spark, export, tmp_path):
     assert rows_of(collect_from_exports(spark, paths)) == rows_of(export.distinct())
 
 
+def test_temporary_tables_are_removed(spark, history, tmp_path):
+    kept = materialize(spark.range(3), "kept")
+    with pytest.raises(RuntimeError), temporary_tables(spark):
+        gone = materialize(spark.range(3), "gone").inputFiles()
+        raise RuntimeError
+    there = lambda files: [Path(f.removeprefix("file://")).exists() for f in files]
+    assert not any(there(gone)) and all(there(kept.inputFiles()))
+    before = set(Path(shared_folder(spark), "metertide").rglob("*.parquet"))
+    report_counts(spark, history, str(tmp_path / "out"))
+    assert set(Path(shared_folder(spark), "metertide").rglob("*.parquet")) == before
+
+
 def test_written_intermediate_tables_go_to_the_shared_folder(spark):
     df = materialize(spark.range(3).withColumn("b", F.lit(1).cast("tinyint")), "kept")
     assert all(file.startswith(f"file://{shared_folder(spark)}/") for file in df.inputFiles())
@@ -207,8 +343,10 @@ def test_shared_folder_follows_the_session(spark):
     session.conf = Conf("hdfs://shared/checkpoints/")
     assert shared_folder(session) == "hdfs://shared/checkpoints"
     session.conf = Conf(None)
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_folder(session)
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]"):
+        session.sparkContext.master = master
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session)
 
 
 def test_job_collects_and_reports(spark, export, tmp_path):
@@ -221,3 +359,25 @@ def test_job_collects_and_reports(spark, export, tmp_path):
     folder = tmp_path / "out" / f"ns_{START}_{END}"
     leaks = read_csv(spark, str(folder / "csv" / "leakage.csv"), LEAKAGE)
     assert [tuple(row)[2:] for row in leaks.collect()] == [(4, 3, True)]
+
+
+def test_job_collects_from_a_database(spark, export, tmp_path, monkeypatch):
+    asked = []
+
+    def collect(session, connection, *rest):
+        asked.append((connection.url, connection.user, connection.password, *rest))
+        return export
+
+    monkeypatch.setattr(reports_job, "collect_from_database", collect)
+    monkeypatch.setenv("DATABASE_USER", "reader")
+    monkeypatch.setenv("METER_PASSWORD", "hidden")
+    options = reports_job.parse([
+        "collect", "--jdbc-url", "jdbc:x://host/db", "--table", "decoded", "--password-variable",
+        "METER_PASSWORD", "--history", str(tmp_path), "--namespace", "ns", "--start-date", START,
+        "--end-date", END, "--on-error", "null",
+    ])
+    reports_job.run(spark, options)
+    assert asked == [("jdbc:x://host/db", "reader", "hidden", "decoded", "ts", START, END, "null")]
+    assert read_history(spark, str(tmp_path), "ns").count() == export.count()
+    with pytest.raises(SystemExit):
+        reports_job.parse(["collect", "--jdbc-url", "x", "--history", "h", "--namespace", "n"])

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from metertide.schemas import DECODED_PAYLOAD, MESSAGES
+from metertide.operators.messages import dropped_devices, filter_messages, initial_device_count
+from metertide.plans.reports import collect_from_database, load_table_from_files
 from metertide.sinks.files import write_csv
 from metertide.sources.documents import flatten_decoded, organisation_names
 from metertide.sources.files import read_csv, read_messages, read_with_repeated_headers
@@ -55,6 +57,57 @@ def test_malformed_field_raises_or_becomes_null(spark, tmp_path):
     assert row.msgType is None and row.DeviceID == "D1"
 
 
+@pytest.mark.parametrize("on_error", ["raise", "null"])
+def test_strictness_does_not_depend_on_what_is_asked(spark, tmp_path, on_error):
+    bad = LINE.format(device="D2").replace(",3,4,5", ",3,oops,5")
+    (tmp_path / "a.csv").write_text(f"{HEADER}\n{LINE.format(device='D1')}\n{bad}\n")
+    rows = read_messages(spark, str(tmp_path), on_error)
+    questions = [
+        lambda: rows.count(),
+        lambda: rows.distinct().count(),
+        lambda: initial_device_count(rows).first().num_devices,
+        lambda: 2 - dropped_devices(rows).count(),
+        lambda: filter_messages(rows, "2024-01-01", "2024-01-31", on_error).count(),
+        lambda: rows.select("DeviceID").distinct().count(),
+    ]
+    for ask in questions:
+        if on_error == "null":
+            assert ask() == 2
+        else:
+            with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
+                ask()
+
+
+def test_documents_are_strict_whatever_is_asked(spark):
+    df = decoded(spark, document(), document(FLOW1="many"))
+    for ask in (lambda m: m.count(), initial_device_count, lambda m: m.select("DeviceID")):
+        with pytest.raises(Exception):
+            found = ask(flatten_decoded(df))
+            found if isinstance(found, int) else found.collect()
+        found = ask(flatten_decoded(df, "null"))
+        assert found == 2 if isinstance(found, int) else found.count() in (1, 2)
+
+
+def test_headers_in_another_order_raise(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,a,b\n1,x,y\n")
+    (tmp_path / "b.csv").write_text("id,b,a\n2,y,x\n")
+    schema = spark.createDataFrame([], "id bigint, a string, b string").schema
+    with pytest.raises(Exception, match="header|CSV"):
+        read_with_repeated_headers(spark, str(tmp_path), schema).collect()
+    assert read_with_repeated_headers(spark, str(tmp_path / "a.csv"), schema).first().b == "y"
+
+
+def test_malformed_rows_between_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,a\n1,x\nid,a\ntwo,y\n")
+    schema = spark.createDataFrame([], "id bigint, a string").schema
+    strict = read_with_repeated_headers(spark, str(tmp_path), schema)
+    for ask in (strict.count, strict.select("a").collect):
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+            ask()
+    lenient = read_with_repeated_headers(spark, str(tmp_path), schema, "null")
+    assert rows_of(lenient) == [(1, "x"), (None, "y")]
+
+
 def test_repeated_headers_are_skipped(spark, tmp_path):
     (tmp_path / "a.csv").write_text('name,id\n"x, y",1\nname,id\nname,2\n,3\nname,id\n')
     (tmp_path / "b.csv").write_text("name,id\nz,4\n")
@@ -173,11 +226,9 @@ def test_query_options():
 def test_table_options():
     session = Session()
     properties = CONNECTION.driver_properties()
-    read_table(session, CONNECTION, "device")
     read_table(session, CONNECTION, "device", ["id < 5", "id >= 5"])
     read_table_by_range(session, CONNECTION, "device", "id", 0, 100, 4)
     assert [call[2] for call in session.read.calls] == [
-        {"properties": properties},
         {"predicates": ["id < 5", "id >= 5"], "properties": properties},
         {"column": "id", "lowerBound": 0, "upperBound": 100, "numPartitions": 4, "properties": properties},
     ]
@@ -195,22 +246,48 @@ def test_day_predicates_cover_the_period_once(spark):
     assert total.filter(f"hits <> CAST({inside} AS INT)").count() == 0
 
 
-def test_append_to_table_options():
-    writer = Recorder()
+@pytest.fixture
+def written(monkeypatch):
+    """Frames that would be written to a database, with the call; none is opened."""
+    from pyspark.sql.readwriter import DataFrameWriter
 
-    class Frame:
-        write = writer
+    calls = []
 
-        def select(self, columns):
-            assert columns == ["id", "devicename"]
-            return self
+    def jdbc(writer, url, table, mode=None, properties=None):
+        calls.append((writer._df, (url, table, mode, properties)))
 
-    append_to_table(Frame(), CONNECTION, "device", ["id", "devicename"], connections=3)
-    assert writer.calls == [
-        ("option", ("numPartitions", 3), {}),
-        (
-            "jdbc",
-            (CONNECTION.url, "device"),
-            {"mode": "append", "properties": CONNECTION.driver_properties()},
-        ),
-    ]
+    monkeypatch.setattr(DataFrameWriter, "jdbc", jdbc)
+    return calls
+
+
+def test_append_to_table_shuffles_to_its_connections(spark, written):
+    grouped = spark.range(100).groupBy((F.col("id") % 7).alias("id")).count()
+    append_to_table(grouped, CONNECTION, "device", ["id"], connections=3)
+    ((frame, call),) = written
+    assert call == (CONNECTION.url, "device", "append", CONNECTION.driver_properties())
+    assert frame.columns == ["id"] and frame.rdd.getNumPartitions() == 3
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Repartition 3, true")
+
+
+def test_files_with_repeated_headers_go_to_a_table(spark, tmp_path, written):
+    (tmp_path / "a.csv").write_text("a,id\nx,1\na,id\ny,2\n")
+    schema = spark.createDataFrame([], "id bigint, a string").schema
+    load_table_from_files(spark, str(tmp_path), schema, CONNECTION, "device", ["id"])
+    ((frame, _),) = written
+    assert rows_of(frame) == [(1,), (2,)]
+
+
+def test_a_period_of_a_database_table_becomes_messages(spark, monkeypatch):
+    asked = []
+
+    def jdbc(reader, url, table, predicates=None, properties=None, **_):
+        asked.append((url, table, predicates, properties))
+        return decoded(spark, document()).withColumnRenamed("ts", "at")
+
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameReader.jdbc", jdbc)
+    found = collect_from_database(spark, CONNECTION, "decoded", "at", "2024-01-04", "2024-01-06")
+    assert found.schema == MESSAGES and found.first().Timestamp == "2024-01-05T10:00:00"
+    ((url, table, predicates, _),) = asked
+    assert (url, table) == (CONNECTION.url, "decoded")
+    assert predicates == day_predicates("at", "2024-01-04", "2024-01-06") and len(predicates) == 3
