@@ -41,8 +41,12 @@ def block_starts(totals: DataFrame, total: str, start: str) -> DataFrame:
 
 
 def with_row_index(df: DataFrame, order: Sequence[Column], name: str = "index") -> DataFrame:
-    """``df`` with a dense row index from 0 in the given order; one shuffle, that of the sort."""
-    blocks = in_blocks(df, order, "row-index")
+    """``df`` with a dense row index from 0 in the given order; one shuffle, that of the sort.
+
+    Rows equal in ``order`` follow each other by a hash of all columns, so they are spread over blocks
+    and come in the same order in every run.
+    """
+    blocks = in_blocks(df, [*order, F.xxhash64(*df.columns)], "row-index")
     starts = block_starts(
         blocks.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("_rows")), "_rows", "_start"
     ).drop("_rows")
