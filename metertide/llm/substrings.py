@@ -206,10 +206,17 @@ class Chunk:
 
 
 def segments(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> pa.Array:
-    """Cuts of ``data`` as an Arrow column."""
+    """Cuts of ``data`` as an Arrow column; gathered bit by bit, as a place takes eight bytes."""
     offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int64)
-    picked = data[np.repeat(begin, length) + runs(length)]
-    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(picked))]
+    picked = np.empty(int(offsets[-1]), dtype=np.uint8)
+    step = 1 << 14
+    for i in range(0, len(begin), step):
+        part = slice(i, i + step)
+        low, high = int(offsets[i]), int(offsets[min(i + step, len(begin))])
+        places = np.repeat(begin[part] - offsets[:-1][part], length[part])
+        places += np.arange(low, high)
+        picked[low:high] = data[places]
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(picked)]
     return pa.Array.from_buffers(pa.large_binary(), len(begin), buffers)
 
 
@@ -218,7 +225,7 @@ def by_range(tokens: np.ndarray, splitters: np.ndarray):
     range_ = np.searchsorted(splitters, tokens, "right")
     order = np.argsort(range_, kind="stable")
     names, begins = np.unique(range_[order], return_index=True)
-    stops = np.append(begins[1:], len(order))
+    stops = np.append(begins[1:], len(order))[: len(names)]
     return order, list(zip(names.tolist(), begins.tolist(), stops.tolist(), strict=True))
 
 
@@ -416,10 +423,10 @@ def repeated_passages(
             nth = runs(count)
             hit = (np.repeat(mask, count) >> nth.astype(np.uint32)) & np.uint32(1) == 1
             places = (np.repeat(chunk.runs.begin[wanted], count) + nth)[hit]
-            edge = np.zeros(len(removed) + 1, dtype=np.int32)
-            np.add.at(edge, places, 1)
-            np.add.at(edge, places + MATCH, -1)
-            removed = np.cumsum(edge[:-1]) > 0
+            removed[places] = True
+            begun = np.cumsum(removed, dtype=np.int32)  # strings that start up to here
+            begun[MATCH:] -= begun[:-MATCH].copy()
+            removed = begun > 0
         return _result(chunk, removed)
 
     masks = (
