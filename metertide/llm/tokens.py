@@ -7,8 +7,8 @@ words go through the whole tokenizer. Words that were seen lately are looked up.
 
 import os
 import re
+from array import array
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,11 @@ import pyarrow.compute as pc
 
 from metertide.llm.batches import Words, runs, words_of
 
-#: Words whose ids are kept; beyond it they are forgotten and found again.
-KEPT_WORDS = 300_000
+#: Words whose ids are kept, at about 200 bytes each; beyond it they are forgotten and found again.
+KEPT_WORDS = 500_000
+#: Ids are kept as unsigned 32-bit numbers in a row.
+ID = "I"
+ID_BYTES = array(ID).itemsize
 END = r"[.!?][\"')\]]*$"
 #: Letters that lower-casing and normalising treat one by one, then marks that don't join letters.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -34,11 +37,13 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+    return tokenizer
 
 
 @cache
-def _known(path: str) -> dict[str, list[int]]:
+def _known(path: str) -> dict[str, bytes]:
     return {}
 
 
@@ -57,16 +62,20 @@ def splits_plainly(path: str) -> bool:
     letters = "".join(chr(c) for c in range(65, 256) if PLAIN.fullmatch(chr(c)))
     words = [f"{a}{b}{m}" for a in letters for b in "eÉ" for m in ("", ".", "!!", ",\"", "|")]
     found = tokenizer.encode_batch(words, add_special_tokens=False)
-    return all(_plain_ids(path, w) == x.ids for w, x in zip(words, found, strict=True))
+    return all(_plain_ids(path, w) == _packed(x.ids) for w, x in zip(words, found, strict=True))
 
 
-def _model_ids(path: str, letters: str) -> list[int]:
+def _packed(ids: list[int]) -> bytes:
+    return array(ID, ids).tobytes()
+
+
+def _model_ids(path: str, letters: str) -> bytes:
     if not letters.isascii():
         letters = letters.encode().decode("latin-1").translate(_byte_names())
-    return [token.id for token in _tokenizer(path).model.tokenize(letters)]
+    return _packed([token.id for token in _tokenizer(path).model.tokenize(letters)])
 
 
-def _plain_ids(path: str, word: str) -> list[int] | None:
+def _plain_ids(path: str, word: str) -> bytes | None:
     """Ids of a plain word, None of any other."""
     match = PLAIN.fullmatch(word)
     if match is None:
@@ -81,11 +90,11 @@ def _plain_ids(path: str, word: str) -> list[int] | None:
     after = known.get(marks)
     if after is None:
         found = _tokenizer(path).encode(marks, add_special_tokens=False).ids
-        after = known[marks] = found
+        after = known[marks] = _packed(found)
     return ids + after
 
 
-def ids_of_words(path: str, words: pa.Array) -> list[list[int]]:
+def ids_of_words(path: str, words: pa.Array) -> list[bytes]:
     """Ids of each distinct word. No token crosses white space in a vocabulary that drops it."""
     known, words = _known(path), words.to_pylist()
     if len(known) + len(words) > KEPT_WORDS:
@@ -102,7 +111,7 @@ def ids_of_words(path: str, words: pa.Array) -> list[list[int]]:
         texts = [words[i] for i in others]
         found = _tokenizer(path).encode_batch(texts, add_special_tokens=False)
         for place, text, x in zip(others, texts, found, strict=True):
-            result[place] = known[text] = x.ids
+            result[place] = known[text] = _packed(x.ids)
     return result
 
 
@@ -111,8 +120,8 @@ def token_ids(path: str, texts: pa.Array, last: int):
     after a word that ends a sentence."""
     words: Words = words_of(texts)
     lists = ids_of_words(path, words.distinct)
-    lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    flat = np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(lengths.sum()))
+    lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)) // ID_BYTES
+    flat = np.frombuffer(b"".join(lists), dtype=np.uint32)
     begins = np.cumsum(lengths) - lengths
     of_word = lengths[words.index]
     after = np.cumsum(of_word)

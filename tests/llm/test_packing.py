@@ -42,6 +42,7 @@ def expected_ids(text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(default_vocabulary())
+    tokenizer.encode_special_tokens = True
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -105,12 +106,16 @@ def test_plain_words_get_the_ids_of_the_whole_tokenizer():
 
     path = default_vocabulary()
     tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
     words = [
         "The", "THE!!", "don't", "'s", "Überß,", "naïve.", "x'", "it's.", "e\u0301te", "ΑΣ", "İx", "a|b",
         "3rd", "<|endoftext|>", "word<|endoftext|>", "|", "日本語", "ﬁx", "µm", "ªº", "a\u00ad", "Ÿ", "a\u0301.",
         *samples.prose(__import__("random").Random(1), "es", 300).split(),
     ]
+    assert 49407 not in tokenizer.encode("<|endoftext|>", add_special_tokens=False).ids
     assert splits_plainly(path)
     assert _plain_ids(path, "don't") is None
     found = ids_of_words(path, pa.array(words))
-    assert found == [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in found] == [
+        tokenizer.encode(w, add_special_tokens=False).ids for w in words
+    ]

@@ -127,3 +127,12 @@ def test_smallest_id_of_equal_strings():
         least[s] = min(least.get(s, i), i)
     expected = [least[data[p : p + MATCH].tobytes()] for p in places.tolist()]
     assert smallest_ids(data, places, ids).tolist() == expected
+
+
+def test_chunks_without_a_shared_token(spark):
+    import string
+
+    rng = random.Random(11)
+    rows = [(i, "".join(rng.choices(string.ascii_letters, k=200))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r["n_removed"] == 0 for r in repeated_passages(docs).collect())
