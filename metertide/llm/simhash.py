@@ -22,7 +22,7 @@ when linking. A null ``doc_id`` gets a fingerprint but no component, and is alwa
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations, pairwise
 from math import acos, comb, pi
 
 import numpy as np
@@ -30,13 +30,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from metertide.llm.batches import slices
+from metertide.llm.batches import runs, slices
 from metertide.llm.components import LINK, components, forest_of_batches
 from metertide.workspace import materialize
 
 SEED = 42
 #: Fingerprints of one key that a task holds at most.
 KEY_ROWS = 1 << 18
+#: Texts of one component whose shingles a task holds at most, twice.
+BLOCK_ROWS = 1024
 #: Groups of at most this many fingerprints are compared pair by pair.
 SMALL_GROUP = 64
 #: Rows read before the groups among them are worked on.
@@ -275,6 +277,42 @@ def links_within(keys: np.ndarray, words: np.ndarray, limit: int):
             yield a + begin, b + begin
 
 
+def whole_groups(
+    batches: Iterator[pa.RecordBatch], key: str, pair: str, rows: int
+) -> Iterator[pa.Table]:
+    """Sorted batches as tables of about ``rows`` rows that hold every group (key, pair) whole."""
+    held, count = [], 0
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        count += len(batch)
+        if count < rows:
+            continue
+        table = pa.concat_tables(held).combine_chunks()
+        keys, pairs = (table[c].to_numpy() for c in (key, pair))
+        # The last group may go on in the next batch.
+        ends = np.flatnonzero((keys != keys[-1]) | (pairs != pairs[-1]))
+        cut = int(ends[-1]) + 1 if len(ends) else 0
+        if cut:
+            yield table.slice(0, cut)
+        held, count = [table.slice(cut)], len(table) - cut
+    if count:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def in_pairs_of_blocks(rows: DataFrame, key: str, large: DataFrame, block_rows: int) -> DataFrame:
+    """``rows`` of the keys in ``large`` (key, count), each in every pair of blocks with its own:
+    ``pair`` names it. Any two rows of a key meet in some pair, and no pair has many rows."""
+    blocks = F.ceil(F.col("count") / block_rows).cast("int")
+    return (
+        rows.join(large, key)
+        .withColumn("blocks", blocks)
+        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("pair", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
+        .select(*rows.columns, "pair")
+    )
+
+
 def link_fingerprints(
     distinct: DataFrame, bits: int, limit: int, key_rows: int = KEY_ROWS
 ) -> DataFrame:
@@ -299,51 +337,23 @@ def link_fingerprints(
 
     row = "rep long, " + ", ".join(f"{n} long" for n in names)
     probes = distinct.select("rep", *names).mapInArrow(probe, f"key long, {row}")
-    probes = probes.withColumn("pair", F.lit(0))
     if count > key_rows:
         large = materialize(
             probes.groupBy("key").count().filter(F.col("count") > key_rows), "large-keys"
         )
-        blocks = F.ceil(F.col("count") / key_rows).cast("int")
-        own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-        other = F.explode(F.sequence(F.lit(0), blocks - 1))
-        in_blocks = (
-            probes.join(large, "key")
-            .withColumn("blocks", blocks)
-            .withColumn("own", own)
-            .withColumn("other", other)
-            .withColumn("pair", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
-        )
-        probes = probes.join(large, "key", "left_anti").unionByName(
-            in_blocks.select("key", "rep", *names, "pair")
-        )
+        small = probes.join(large, "key", "left_anti").withColumn("pair", F.lit(0))
+        probes = small.unionByName(in_pairs_of_blocks(probes, "key", large, key_rows))
+    else:
+        probes = probes.withColumn("pair", F.lit(0))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links():
-            held, rows = [], 0
-            for batch in batches:
-                held.append(pa.Table.from_batches([batch]))
-                rows += len(batch)
-                if rows < STREAM_ROWS:
-                    continue
-                table = pa.concat_tables(held).combine_chunks()
-                keys, pairs = (table[c].to_numpy() for c in ("key", "pair"))
-                # The last group may go on in the next batch.
-                ends = np.flatnonzero((keys != keys[-1]) | (pairs != pairs[-1]))
-                cut = int(ends[-1]) + 1 if len(ends) else 0
-                yield from found(table.slice(0, cut))
-                held, rows = [table.slice(cut)], len(table) - cut
-            if held:
-                yield from found(pa.concat_tables(held))
-
-        def found(table: pa.Table):
-            if not len(table):
-                return
-            keys = table["key"].to_numpy() + (table["pair"].to_numpy().astype(np.int64) << 46)
-            words = np.column_stack([table[n].to_numpy() for n in names]).view(np.uint64)
-            reps = table["rep"].to_numpy()
-            for a, b in links_within(keys, words, limit):
-                yield reps[a], reps[b]
+            for table in whole_groups(batches, "key", "pair", STREAM_ROWS):
+                keys = table["key"].to_numpy() + (table["pair"].to_numpy().astype(np.int64) << 46)
+                words = np.column_stack([table[n].to_numpy() for n in names]).view(np.uint64)
+                reps = table["rep"].to_numpy()
+                for a, b in links_within(keys, words, limit):
+                    yield reps[a], reps[b]
 
         yield from forest_of_batches(links())
 
@@ -352,11 +362,8 @@ def link_fingerprints(
     )
 
 
-def near_duplicates(
-    documents: DataFrame, words: int = 3, bits: int = 64, limit: int = 3, distinct: bool = False
-) -> DataFrame:
-    """``doc_id``, its fingerprint's words ``w0``..., and ``component``, the smallest ``doc_id`` that
-    can be reached over links, itself included."""
+def _candidate_classes(documents: DataFrame, words: int, bits: int, limit: int, distinct: bool):
+    """Fingerprints of all rows; and ``rep`` of every distinct one with its ``component``."""
     names = [f"w{i}" for i in range(bits // 64)]
     found = materialize(fingerprints(documents, words, bits, distinct), "fingerprints")
     unique = materialize(
@@ -372,15 +379,25 @@ def near_duplicates(
         )
         first = of_id.groupBy("doc_id").agg(F.min("rep").alias("b"))
         links = links.unionByName(of_id.join(first, "doc_id").select(F.col("rep").alias("a"), "b"))
-    joined = components(links)
-    reached = materialize(
-        unique.join(joined, F.col("rep") == F.col("node"), "left").select(
-            *names, F.coalesce("component", "rep").alias("component")
-        ),
-        "components",
-    )
+    return found, with_components(unique, components(links))
+
+
+def with_components(unique: DataFrame, joined: DataFrame) -> DataFrame:
+    """``unique`` with the ``component`` of its ``rep``, which is the ``rep`` itself if it has no link."""
+    component = F.coalesce("component", "rep").alias("component")
+    classes = unique.join(joined, F.col("rep") == F.col("node"), "left")
+    return materialize(classes.select(*unique.columns, component), "components")
+
+
+def near_duplicates(
+    documents: DataFrame, words: int = 3, bits: int = 64, limit: int = 3, distinct: bool = False
+) -> DataFrame:
+    """``doc_id``, its fingerprint's words ``w0``..., and ``component``, the smallest ``doc_id`` that
+    can be reached over links, itself included."""
+    names = [f"w{i}" for i in range(bits // 64)]
+    found, classes = _candidate_classes(documents, words, bits, limit, distinct)
     known = F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component")
-    return found.join(reached, names, "left").select("doc_id", *names, known)
+    return found.join(classes.drop("rep"), names, "left").select("doc_id", *names, known)
 
 
 def similarity_limit(similarity: float, bits: int, slack: float = 1.0) -> int:
@@ -393,17 +410,118 @@ def similarity_limit(similarity: float, bits: int, slack: float = 1.0) -> int:
     return int(bits * share + slack * (bits * share * (1 - share)) ** 0.5)
 
 
+def similar_within(sets: list[np.ndarray], similarity: float):
+    """Links that connect the sets (of distinct values) with at least that Jaccard similarity, as
+    places. From each set on the queue the values' postings count what it shares with all others."""
+    sizes = np.array([len(x) for x in sets])
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    _, values = np.unique(np.concatenate(sets), return_inverse=True)
+    postings = np.repeat(np.arange(len(sets)), sizes)[np.argsort(values, kind="stable")]
+    times = np.bincount(values, minlength=1)
+    first = np.cumsum(times) - times
+    unseen = np.ones(len(sets), dtype=bool)
+    for start in range(len(sets)):
+        if not unseen[start]:
+            continue
+        unseen[start], queue = False, [start]
+        while queue and unseen.any():
+            member = queue.pop()
+            own = values[starts[member] : starts[member + 1]]
+            places = np.repeat(first[own], times[own]) + runs(times[own])
+            shared = np.bincount(postings[places], minlength=len(sets))
+            union = sizes + sizes[member] - shared
+            reached = np.flatnonzero(unseen & (shared >= similarity * union - 1e-9))
+            if len(reached):
+                yield np.full(len(reached), member), reached
+                queue.extend(reached.tolist())
+                unseen[reached] = False
+
+
+def verify_similarity(
+    documents: DataFrame,
+    classes: DataFrame,
+    words: int,
+    similarity: float,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Pairs ``a``, ``b`` of ``rep`` numbers that connect all texts of a component whose sets of
+    shingles have that Jaccard similarity; exact, from whole texts.
+
+    Only components of several fingerprints take part. One with more than ``block_rows`` of them is
+    dealt out in pairs of blocks.
+    """
+    sizes = classes.groupBy("component").count().filter("count > 1")
+    sizes = materialize(sizes, "component-sizes")
+    members = classes.join(sizes.drop("count"), "component").select("rep", "component")
+    texts = documents.select("doc_id", "text").join(
+        materialize(members, "members"), F.col("doc_id") == F.col("rep")
+    )
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sets = [
+                np.unique(shingle_hashes(t, words)).tobytes() for t in part.column("text").to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("component"), part.column("rep"), pa.array(sets, pa.binary())],
+                ["component", "rep", "shingles"],
+            )
+
+    rows = texts.select("component", "rep", "text").mapInArrow(
+        shingle, "component long, rep long, shingles binary"
+    )
+    large = sizes.filter(F.col("count") > block_rows)
+    if large.isEmpty():
+        dealt = rows.withColumn("pair", F.lit(0))
+    else:
+        rows = materialize(rows, "shingles")
+        small = rows.join(large, "component", "left_anti").withColumn("pair", F.lit(0))
+        dealt = small.unionByName(in_pairs_of_blocks(rows, "component", large, block_rows))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links():
+            for table in whole_groups(batches, "component", "pair", block_rows):
+                groups, pairs = (table[c].to_numpy() for c in ("component", "pair"))
+                fresh = (groups[1:] != groups[:-1]) | (pairs[1:] != pairs[:-1])
+                cuts = [0, *(np.flatnonzero(fresh) + 1).tolist(), len(table)]
+                reps = table["rep"].to_numpy()
+                for begin, end in pairwise(cuts):
+                    if end - begin > 1:
+                        blobs = table["shingles"].slice(begin, end - begin).to_pylist()
+                        sets = [np.frombuffer(x, dtype=np.uint64) for x in blobs]
+                        for a, b in similar_within(sets, similarity):
+                            yield reps[a + begin], reps[b + begin]
+
+        yield from forest_of_batches(links())
+
+    return (
+        dealt.repartition("component", "pair")
+        .sortWithinPartitions("component", "pair", "rep")
+        .mapInArrow(verify, LINK)
+    )
+
+
 def without_near_duplicates(
     documents: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 128
 ) -> DataFrame:
     """``documents`` with one row of each group of near-duplicates, that of the smallest ``doc_id``.
 
-    Rows with a null ``doc_id`` stay. Of rows that share a kept ``doc_id``, one stays.
+    Fingerprints within the bits that the similarity stands for (and one standard deviation more) are
+    candidates; those whose sets of shingles have at least that Jaccard similarity are linked. Texts
+    with equal fingerprints count as one text. Rows with a null ``doc_id`` stay. Of rows that share a
+    kept ``doc_id``, one stays.
     """
+    names = [f"w{i}" for i in range(bits // 64)]
     limit = similarity_limit(similarity, bits)
-    found = near_duplicates(documents, words, bits, limit, distinct=True)
+    found, classes = _candidate_classes(documents, words, bits, limit, distinct=True)
+    joined = components(verify_similarity(documents, classes, words, similarity))
+    verified = with_components(classes.drop("component"), joined)
     kept = materialize(
-        found.filter("doc_id = component").select(F.col("doc_id").alias("_kept")).distinct(), "kept"
+        found.join(verified, [*names])
+        .filter("doc_id = component")
+        .select(F.col("doc_id").alias("_kept"))
+        .distinct(),
+        "kept",
     )
     named = documents.filter("doc_id IS NOT NULL")
     return (

@@ -57,18 +57,22 @@ def test_texts_without_a_letter_go(steps):
     assert 0 < len(expected) < steps[0].count()
 
 
+def spread(linked):
+    """The smallest number that each of n numbers reaches over a matrix of links."""
+    group = np.arange(len(linked))
+    for _ in linked:
+        group = np.array([group[np.append(np.flatnonzero(row), i)].min() for i, row in enumerate(linked)])
+    return group
+
+
 def test_one_document_of_each_group_stays(steps):
-    limit = similarity_limit(0.8, 128)
     named = [r for r in pairs(steps[1]) if r[0] is not None]
-    prints = [fingerprint(shingle_hashes(t, 5), 128, distinct=True) for _, t in named]
-    words = np.array(prints, dtype=np.uint64)
-    group = list(range(len(named)))
-    for _ in named:  # the smallest number spreads over links until all have it
-        for i in range(len(named)):
-            near = np.flatnonzero(np.bitwise_count(words ^ words[i]).sum(axis=1) <= limit)
-            least = min(group[j] for j in near)
-            for j in near:
-                group[j] = least
+    sets = [set(shingle_hashes(t, 5).tolist()) for _, t in named]
+    words = np.array([fingerprint(shingle_hashes(t, 5), 128, distinct=True) for _, t in named], np.uint64)
+    bits = np.array([np.bitwise_count(words ^ w).sum(axis=1) for w in words])
+    candidates = spread(bits <= similarity_limit(0.8, 128))
+    similar = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    group = spread((bits == 0) | similar & (candidates[:, None] == candidates))
     kept = sorted({named[g][0] for g in group})
     assert [r[0] for r in pairs(steps[2]) if r[0] is not None] == kept
     assert 0 < len(kept) < len({r[0] for r in named})

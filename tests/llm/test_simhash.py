@@ -13,7 +13,9 @@ from metertide.llm.simhash import (
     near_duplicates,
     plan_pigeonhole,
     shingle_hashes,
+    similar_within,
     similarity_limit,
+    verify_similarity,
     without_near_duplicates,
 )
 from tests.llm import samples
@@ -190,6 +192,55 @@ def test_near_copies_go_and_others_stay(spark):
     assert len(ids - set(range(60))) <= 1
 
 
+def random_sets(seed, count=80):
+    rng = np.random.default_rng(seed)
+    result = []
+    for i in range(count):
+        if i % 3 and result:
+            base = result[rng.integers(len(result))]
+            kept = base[rng.random(len(base)) > rng.choice([0.02, 0.1, 0.25])]
+            result.append(np.union1d(kept, rng.integers(0, 2**60, rng.integers(0, 6)).astype(np.uint64)))
+        else:
+            result.append(np.unique(rng.integers(0, 2**60, rng.integers(0, 60)).astype(np.uint64)))
+    return result
+
+
+def similar_groups(sets, similarity):
+    links = [
+        (i, j)
+        for i, a in enumerate(sets)
+        for j, b in enumerate(sets[:i])
+        if len(np.intersect1d(a, b)) >= similarity * len(np.union1d(a, b))
+    ]
+    a, b = (np.array(x, dtype=np.int64) for x in zip(*links, strict=True))
+    return {tuple(x) for x in zip(*(z.tolist() for z in forest(a, b)), strict=True)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sets_are_connected_as_by_all_pairs(seed):
+    sets = random_sets(seed)
+    a, b = (np.concatenate(x) for x in zip(*similar_within(sets, 0.8), strict=True))
+    found = {tuple(x) for x in zip(*(z.tolist() for z in forest(a, b)), strict=True)}
+    assert found == similar_groups(sets, 0.8)
+
+
+@pytest.mark.parametrize("block_rows", [1024, 7])
+def test_components_are_verified_by_whole_texts(spark, block_rows):
+    texts = [t for t in samples.texts(90) if t]
+    sets = [np.unique(shingle_hashes(t, 5)) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [(i, 0 if i < 70 else i // 2) for i in range(len(texts))]
+    classes = spark.createDataFrame(rows, "rep long, component long")
+    links = verify_similarity(docs, classes, 5, 0.8, block_rows).collect()
+    a, b = (np.array(x, dtype=np.int64) for x in zip(*links, strict=True))
+    found = {tuple(x) for x in zip(*(z.tolist() for z in forest(a, b)), strict=True)}
+    own = similar_groups(sets[:70], 0.8)
+    for i in range(70, len(texts) - 1, 2):
+        if len(np.intersect1d(sets[i], sets[i + 1])) >= 0.8 * len(np.union1d(sets[i], sets[i + 1])):
+            own.add((i + 1, i))
+    assert found == own
+
+
 def test_similarity_as_bits():
     assert similarity_limit(1.0, 64) == 0
     assert similarity_limit(0.8, 128, slack=0) == 19
