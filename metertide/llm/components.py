@@ -58,8 +58,9 @@ def _smallest(links: DataFrame, whole: bool) -> DataFrame:
         around = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
             links.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
+    # Written, so that the join shuffles by itself and can split a number with very many links.
     least = around.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
+    least = materialize(least.select("u", F.least("u", "m").alias("m")), "smallest")
     moved = around.join(least, "u")
     if whole:
         links = moved.select(F.col("v").alias("a"), F.col("m").alias("b")).union(
