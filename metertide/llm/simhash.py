@@ -35,6 +35,10 @@ from metertide.llm.components import LINK, components, forest_of_batches
 from metertide.workspace import materialize
 
 SEED = 42
+#: Counters of shingles (by their hash's highest bits), and texts they are counted in, about.
+COUNTERS, COUNTED_TEXTS = 1 << 18, 1 << 16
+#: Texts that share a shingle and that a task holds at most.
+SHARED_ROWS = 1 << 14
 #: Fingerprints of one key that a task holds at most.
 KEY_ROWS = 1 << 18
 #: Texts of one component whose shingles a task holds at most, twice.
@@ -89,20 +93,29 @@ def fingerprint(hashes: np.ndarray, bits: int = 64, distinct: bool = False) -> l
 
 
 def fingerprints(
-    documents: DataFrame, words: int = 3, bits: int = 64, distinct: bool = False
+    documents: DataFrame,
+    words: int = 3,
+    bits: int = 64,
+    distinct: bool = False,
+    digest: bool = False,
 ) -> DataFrame:
     """``doc_id`` and the words ``w0``, ``w1``... of its fingerprint, as signed numbers.
 
     ``distinct`` counts each shingle once, so the fingerprint stands for the set of shingles.
+    ``digest`` adds a column of that name, a hash of that set.
     """
-    names = [f"w{i}" for i in range(bits // 64)]
+    names = [f"w{i}" for i in range(bits // 64)] + ["digest"] * digest
+
+    def of_text(text: str | None) -> list[int]:
+        hashes = shingle_hashes(text, words)
+        if distinct or digest:
+            own = np.unique(hashes)
+        found = fingerprint(own if distinct else hashes, bits)
+        return [*found, xxhash.xxh64_intdigest(own.tobytes(), SEED)] if digest else found
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = [
-                fingerprint(shingle_hashes(t, words), bits, distinct)
-                for t in part.column("text").to_pylist()
-            ]
+            found = [of_text(t) for t in part.column("text").to_pylist()]
             table = np.array(found, dtype=np.uint64).reshape(len(found), len(names)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").cast(pa.int64()), *(pa.array(c) for c in table.T.copy())],
@@ -244,23 +257,23 @@ def keys_of(ones: np.ndarray, plan: Pigeonhole) -> np.ndarray:
     return np.column_stack(columns)
 
 
-def _explore(words: np.ndarray, limit: int):
-    """Links that connect one group of fingerprints (rows of ``words``), as places in it."""
-    unseen = np.arange(len(words))
+def _explore(begin: int, size: int, near):
+    """Links that connect one group, ``size`` places from ``begin`` on."""
+    unseen = np.arange(begin, begin + size)
     while len(unseen) > 1:
         queue, unseen = [unseen[0]], unseen[1:]
         while queue and len(unseen):
             member = queue.pop()
-            near = np.bitwise_count(words[unseen] ^ words[member]).sum(axis=1) <= limit
-            reached = unseen[near]
+            close = near(member, unseen)
+            reached = unseen[close]
             if len(reached):
                 yield np.full(len(reached), member), reached
                 queue.extend(reached.tolist())
-                unseen = unseen[~near]
+                unseen = unseen[~close]
 
 
-def links_within(keys: np.ndarray, words: np.ndarray, limit: int):
-    """Links that connect the fingerprints of equal (adjacent) keys, as places."""
+def links_of_groups(keys: np.ndarray, near):
+    """Links that connect, among places of equal (adjacent) keys, those that are ``near(a, b)``."""
     begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.append(begins, len(keys)))
     after = np.repeat(sizes, sizes) - (np.arange(len(keys)) - np.repeat(begins, sizes)) - 1
@@ -268,13 +281,19 @@ def links_within(keys: np.ndarray, words: np.ndarray, limit: int):
     open_ = np.flatnonzero(after)
     step = 1
     while len(open_):
-        near = np.bitwise_count(words[open_] ^ words[open_ + step]).sum(axis=1) <= limit
-        yield open_[near], open_[near] + step
+        close = near(open_, open_ + step)
+        yield open_[close], open_[close] + step
         step += 1
         open_ = open_[after[open_] >= step]
     for begin, size in zip(begins[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP], strict=True):
-        for a, b in _explore(words[begin : begin + size], limit):
-            yield a + begin, b + begin
+        yield from _explore(begin, size, near)
+
+
+def links_within(keys: np.ndarray, words: np.ndarray, limit: int):
+    """Links that connect the fingerprints of equal (adjacent) keys, as places."""
+    return links_of_groups(
+        keys, lambda a, b: np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= limit
+    )
 
 
 def whole_groups(
@@ -362,24 +381,24 @@ def link_fingerprints(
     )
 
 
-def _candidate_classes(documents: DataFrame, words: int, bits: int, limit: int, distinct: bool):
-    """Fingerprints of all rows; and ``rep`` of every distinct one with its ``component``."""
-    names = [f"w{i}" for i in range(bits // 64)]
-    found = materialize(fingerprints(documents, words, bits, distinct), "fingerprints")
+def _classes(documents: DataFrame, words: int, bits: int, distinct: bool, digest: bool):
+    """Fingerprints of all rows; every distinct one (with its ``digest``) and its ``rep``, the smallest
+    ``doc_id``; and links between those of one ``doc_id``, or None."""
+    names = [f"w{i}" for i in range(bits // 64)] + ["digest"] * digest
+    found = materialize(fingerprints(documents, words, bits, distinct, digest), "fingerprints")
     unique = materialize(
         found.filter("doc_id IS NOT NULL").groupBy(*names).agg(F.min("doc_id").alias("rep")),
         "distinct-fingerprints",
     )
-    links = link_fingerprints(unique, bits, limit)
     repeated = found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL")
     repeated = materialize(repeated.select("doc_id"), "repeated-ids")
-    if not repeated.isEmpty():
-        of_id = materialize(
-            found.join(repeated, "doc_id").join(unique, names).select("doc_id", "rep"), "same-id"
-        )
-        first = of_id.groupBy("doc_id").agg(F.min("rep").alias("b"))
-        links = links.unionByName(of_id.join(first, "doc_id").select(F.col("rep").alias("a"), "b"))
-    return found, with_components(unique, components(links))
+    if repeated.isEmpty():
+        return found, unique, None
+    of_id = materialize(
+        found.join(repeated, "doc_id").join(unique, names).select("doc_id", "rep"), "same-id"
+    )
+    first = of_id.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    return found, unique, of_id.join(first, "doc_id").select(F.col("rep").alias("a"), "b")
 
 
 def with_components(unique: DataFrame, joined: DataFrame) -> DataFrame:
@@ -395,7 +414,9 @@ def near_duplicates(
     """``doc_id``, its fingerprint's words ``w0``..., and ``component``, the smallest ``doc_id`` that
     can be reached over links, itself included."""
     names = [f"w{i}" for i in range(bits // 64)]
-    found, classes = _candidate_classes(documents, words, bits, limit, distinct)
+    found, unique, same = _classes(documents, words, bits, distinct, digest=False)
+    links = link_fingerprints(unique, bits, limit)
+    classes = with_components(unique, components(links if same is None else links.unionByName(same)))
     known = F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component")
     return found.join(classes.drop("rep"), names, "left").select("doc_id", *names, known)
 
@@ -437,6 +458,149 @@ def similar_within(sets: list[np.ndarray], similarity: float):
                 unseen[reached] = False
 
 
+def rare_first(hashes: np.ndarray, times: np.ndarray, similarity: float) -> np.ndarray:
+    """The prefix of a set in the order of ``times`` (by counter, ties by the hash) that holds the first
+    common value of any two sets with at least that Jaccard similarity: they share at least that
+    share of either, so it has only the others before it."""
+    order = np.lexsort((hashes, times[counter_of(hashes)]))
+    least = int(np.ceil(similarity * len(hashes) - 1e-9))
+    return hashes[order[: len(hashes) - least + 1]]
+
+
+def counter_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(65 - COUNTERS.bit_length())).astype(np.int64)
+
+
+def shingle_times(texts: DataFrame, words: int, count: int, most: int = COUNTED_TEXTS) -> np.ndarray:
+    """How often shingles of each counter occur, among about ``most`` of the ``count`` texts. It only
+    gives an order: any order finds the same pairs, but one with rare shingles first meets fewer others."""
+    of = max(1, count // most)
+    texts = texts.filter(F.pmod(F.xxhash64("rep"), F.lit(of)) == 0).select("text").repartition(16)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = np.zeros(COUNTERS, dtype=np.int64)
+        for part in slices(batches):
+            for text in part.column("text").to_pylist():
+                times += np.bincount(
+                    counter_of(np.unique(shingle_hashes(text, words))), minlength=COUNTERS
+                )
+        place = np.flatnonzero(times)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(times[place])], ["place", "n"])
+
+    sums = texts.mapInArrow(add_up, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    sums = sums.toPandas()
+    times = np.zeros(COUNTERS, dtype=np.int64)
+    times[sums["place"].to_numpy(dtype=np.int64)] = sums["n"].to_numpy(dtype=np.int64)
+    return times
+
+
+def maybe_similar(sizes, places, counts, a, b, similarity: float) -> np.ndarray:
+    """Which sets ``a`` and ``b`` may have that similarity if their first common value is at ``places``.
+    No pair that has it is left out: sets differ in at least as many values as their ``counts`` by the
+    hashes' lowest six bits do."""
+    both = sizes[a] + sizes[b]
+    shared = similarity / (1 + similarity) * both - 1e-6
+    rest = np.minimum(sizes[a] - places[a], sizes[b] - places[b])
+    differ = np.abs(counts[a] - counts[b]).sum(axis=1, dtype=np.int64)
+    return (rest >= shared) & (both - differ >= 2 * shared)
+
+
+def link_by_rare_shingles(
+    texts: DataFrame, words: int, similarity: float, key_rows: int = SHARED_ROWS
+) -> DataFrame:
+    """Pairs ``a``, ``b`` of ``rep`` numbers that connect all ``texts`` whose sets of shingles have that
+    Jaccard similarity, and some that have not.
+
+    Texts go to the shingles of their prefix (``rare_first``), and those alone at each drop out. The
+    others meet at the shingle with the sizes and counts of their sets.
+    """
+    texts = materialize(texts.select("rep", "text"), "distinct-texts")
+    times = shingle_times(texts, words, texts.count())
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            reps, keys = part.column("rep").to_numpy(), []
+            for text in part.column("text").to_pylist():
+                keys.append(rare_first(np.unique(shingle_hashes(text, words)), times, similarity))
+            counts = [len(x) for x in keys]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(keys).view(np.int64)),
+                    pa.array(np.repeat(reps, counts)),
+                    pa.array(runs(np.array(counts)).astype(np.int32)),
+                ],
+                ["key", "rep", "place"],
+            )
+
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last row is held back for the next batch; ``met``: it has the key of the row before it.
+        held, met = [], False
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
+            keys = table["key"].to_numpy()
+            same = keys[1:] == keys[:-1]
+            shared = np.append(same, False) | np.append(met, same)
+            yield from table.slice(0, len(keys) - 1).filter(pa.array(shared[:-1])).to_batches()
+            held, met = table.slice(len(keys) - 1).to_batches(), bool(shared[-1])
+        if met:
+            yield from held
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sizes, counts = [], []
+            for text in part.column("text").to_pylist():
+                own = np.unique(shingle_hashes(text, words))
+                sizes.append(len(own))
+                low = np.bincount((own & np.uint64(63)).astype(np.int64), minlength=64)
+                counts.append(np.minimum(low, 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("rep"), pa.array(sizes, pa.int32()), pa.array(counts, pa.binary())],
+                ["rep", "size", "counts"],
+            )
+
+    probes = texts.mapInArrow(prefixes, "key long, rep long, place int")
+    shared = materialize(
+        probes.repartition("key")
+        .sortWithinPartitions("key")
+        .mapInArrow(meeting, "key long, rep long, place int"),
+        "shared-shingles",
+    )
+    sets = texts.join(shared.select("rep").distinct(), "rep", "left_semi").mapInArrow(
+        describe, "rep long, size int, counts binary"
+    )
+    rows = shared.join(materialize(sets, "sizes-of-sets"), "rep")
+    large = materialize(
+        shared.groupBy("key").count().filter(F.col("count") > key_rows), "large-shingles"
+    )
+    if large.isEmpty():
+        dealt = rows.withColumn("pair", F.lit(0))
+    else:
+        small = rows.join(large, "key", "left_anti").withColumn("pair", F.lit(0))
+        dealt = small.unionByName(in_pairs_of_blocks(rows, "key", large, key_rows))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links():
+            for table in whole_groups(batches, "key", "pair", STREAM_ROWS // 8):
+                keys, pair, reps, sizes, places = (
+                    table[c].to_numpy() for c in ("key", "pair", "rep", "size", "place")
+                )
+                fresh = np.append(True, (keys[1:] != keys[:-1]) | (pair[1:] != pair[:-1]))
+                blobs = b"".join(table["counts"].to_pylist())
+                counts = np.frombuffer(blobs, dtype=np.uint8).reshape(-1, 64).astype(np.int16)
+
+                def near(a, b, sizes=sizes, places=places, counts=counts):
+                    return maybe_similar(sizes, places, counts, a, b, similarity)
+
+                for a, b in links_of_groups(np.cumsum(fresh), near):
+                    yield reps[a], reps[b]
+
+        yield from forest_of_batches(links())
+
+    return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(compare, LINK)
+
+
 def verify_similarity(
     documents: DataFrame,
     classes: DataFrame,
@@ -506,18 +670,25 @@ def without_near_duplicates(
 ) -> DataFrame:
     """``documents`` with one row of each group of near-duplicates, that of the smallest ``doc_id``.
 
-    Fingerprints within the bits that the similarity stands for (and one standard deviation more) are
-    candidates; those whose sets of shingles have at least that Jaccard similarity are linked. Texts
-    with equal fingerprints count as one text. Rows with a null ``doc_id`` stay. Of rows that share a
-    kept ``doc_id``, one stays.
+    Texts whose fingerprints differ in the bits that the similarity stands for (and one standard
+    deviation more) are candidates, and so are all that may be so similar by their shingles, as
+    fingerprints scatter (``link_by_rare_shingles``); those whose sets of shingles have at least that
+    Jaccard similarity are linked. Texts with equal sets count as one text. Rows with a null ``doc_id``
+    stay. Of rows that share a kept ``doc_id``, one stays.
     """
     names = [f"w{i}" for i in range(bits // 64)]
-    limit = similarity_limit(similarity, bits)
-    found, classes = _candidate_classes(documents, words, bits, limit, distinct=True)
+    found, unique, same = _classes(documents, words, bits, distinct=True, digest=True)
+    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").join(
+        unique.select("rep").distinct(), "rep", "left_semi"
+    )
+    links = link_fingerprints(unique, bits, similarity_limit(similarity, bits))
+    links = links.unionByName(link_by_rare_shingles(texts, words, similarity))
+    links = links if same is None else links.unionByName(same)
+    classes = with_components(unique, components(links))
     joined = components(verify_similarity(documents, classes, words, similarity))
     verified = with_components(classes.drop("component"), joined)
     kept = materialize(
-        found.join(verified, [*names])
+        found.join(verified, [*names, "digest"])
         .filter("doc_id = component")
         .select(F.col("doc_id").alias("_kept"))
         .distinct(),

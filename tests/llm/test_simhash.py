@@ -9,6 +9,7 @@ from metertide.llm.simhash import (
     fingerprint,
     group_correlated,
     keys_of,
+    link_by_rare_shingles,
     link_fingerprints,
     near_duplicates,
     plan_pigeonhole,
@@ -251,3 +252,43 @@ def test_empty_table(spark):
     empty = samples.empty(spark)
     assert near_duplicates(empty).count() == 0
     assert without_near_duplicates(empty).count() == 0
+
+
+def similar_texts(seed=5):
+    """Texts of 8 to 300 words, and copies at about the similarity 0.8, by an added word or changes."""
+    import random
+
+    rng = random.Random(seed)
+    texts = []
+    for i in range(120):
+        words = [f"w{rng.randrange(10**9)}" for _ in range([8, 9, 10, 40, 120, 300][i % 6])]
+        texts.append(" ".join(words))
+        if i % 6 < 3:
+            texts.append(" ".join([*words, "more"]))
+        else:
+            for place in range(0, len(words), 46):
+                words[place + rng.randrange(min(40, len(words) - place))] = "changed"
+            texts.append(" ".join(words))
+    return texts
+
+
+def test_all_pairs_of_the_similarity_are_linked(spark):
+    texts = similar_texts()
+    texts += ["one common line that many texts have in them " * 2 + t for t in texts[:20]]
+    sets = [np.unique(shingle_hashes(t, 5)) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    ids = {r["doc_id"] for r in without_near_duplicates(docs).collect()}
+    expected = set(range(len(texts))) - {a for a, _ in similar_groups(sets, 0.8)}
+    assert ids == expected
+    assert 100 < len(expected) < len(texts) - 40
+
+
+@pytest.mark.parametrize("key_rows", [1 << 14, 8])
+def test_rare_shingles_connect_all_similar_sets(spark, key_rows):
+    texts = similar_texts(6) + similar_texts(7)[:30] * 3
+    sets = [np.unique(shingle_hashes(t, 5)) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "rep long, text string").repartition(3)
+    links = link_by_rare_shingles(rows, 5, 0.8, key_rows).collect()
+    a, b = (np.array(x, dtype=np.int64) for x in zip(*links, strict=True))
+    first = dict(zip(*(z.tolist() for z in forest(a, b)), strict=True))
+    assert all(first.get(i, i) == first.get(j, j) for i, j in similar_groups(sets, 0.8))
