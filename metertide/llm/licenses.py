@@ -10,7 +10,11 @@ not unique; there the block is cut to the template's length around every occurre
 template's words. Blocks that hold too few of the template's words to reach the wanted coverage are
 left out beforehand, which loses nothing.
 
-Words are compared in lower case without punctuation around them. Per template the block with most
+A license is only reported if the words that name it are matched and no word that names another one
+stands within the notice, or soon after it where the other license only adds to its text.
+
+Words are compared in lower case without punctuation around them, versions without ``v`` before and
+``.0`` behind them. Per template the block with most
 matches counts (ties: the first); per document the template with the greatest coverage, then most
 words, then first by name.
 
@@ -20,7 +24,8 @@ of the input are ignored.
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,21 @@ from pyspark.sql import DataFrame
 from metertide.llm.batches import Words, slices, words_of
 
 # Notices as their licenses word them.
+_GNU = (
+    "you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free "
+    "Software Foundation, either version {} of the License, or (at your option) any later version."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted "
+    "provided that the following conditions are met: Redistributions of source code must retain the "
+    "above copyright notice, this list of conditions and the following disclaimer. Redistributions "
+    "in binary form must reproduce the above copyright notice, this list of conditions and the "
+    "following disclaimer in the documentation and/or other materials provided with the distribution."
+)
 TEMPLATES = {
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0-notice": "This program is free software: "
+    + _GNU.format("Affero General Public License", "3"),
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": (
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file "
@@ -40,26 +59,42 @@ TEMPLATES = {
         "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License "
         "for the specific language governing permissions and limitations under the License."
     ),
-    "BSD-2-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are "
-        "permitted provided that the following conditions are met: Redistributions of source code "
-        "must retain the above copyright notice, this list of conditions and the following "
-        "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this "
-        "list of conditions and the following disclaimer in the documentation and/or other "
-        "materials provided with the distribution."
+    "BSD": "Released under the BSD License.",
+    "BSD-2-Clause": _BSD,
+    "BSD-3-Clause": (
+        f"{_BSD} Neither the name of the copyright holder nor the names of its contributors may be "
+        "used to endorse or promote products derived from this software without specific prior "
+        "written permission."
     ),
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-notice": (
-        "This program is free software: you can redistribute it and/or modify it under the terms "
-        "of the GNU General Public License as published by the Free Software Foundation, either "
-        "version 3 of the License, or (at your option) any later version."
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC0-1.0": "Licensed under CC0 1.0.",
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the "
+        "Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"
     ),
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-notice": "This program is free software; "
+    + _GNU.format("General Public License", "2"),
+    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0-notice": "This program is free software: "
+    + _GNU.format("General Public License", "3"),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
         "without fee is hereby granted, provided that the above copyright notice and this "
         "permission notice appear in all copies."
     ),
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-2.1-notice": "This library is free software; "
+    + _GNU.format("Lesser General Public License", "2.1"),
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0-notice": "This library is free software: "
+    + _GNU.format("Lesser General Public License", "3"),
     "MIT": "Released under the MIT License.",
     "MIT-notice": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
@@ -70,7 +105,57 @@ TEMPLATES = {
         "copyright notice and this permission notice shall be included in all copies or substantial "
         "portions of the Software."
     ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a "
+        "copy of the MPL was not distributed with this file, You can obtain one at "
+        "http://mozilla.org/MPL/2.0/."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to "
+        "copy, modify, publish, use, compile, sell, or distribute this software, either in source "
+        "code form or as a compiled binary, for any purpose, commercial or non-commercial, and by "
+        "any means."
+    ),
 }
+
+
+@dataclass(frozen=True)
+class Naming:
+    """Words of a template that must be matched, and words that must not stand between the first and
+    the last word matched or among the ``after`` words that follow."""
+
+    words: tuple[str, ...] = ()
+    without: tuple[str, ...] = ()
+    after: int = 0
+
+
+_OTHER_GNU = ("lesser", "affero", "library")
+NAMING = {
+    "AGPL-3.0": Naming(("affero", "general", "public", "3")),
+    "Apache-2.0": Naming(("apache", "2")),
+    "BSD": Naming(("bsd",)),
+    "BSD-2-Clause": Naming(("source", "binary"), ("endorse", "advertising"), 60),
+    "BSD-3-Clause": Naming(("neither", "endorse"), ("advertising",)),
+    "BSL-1.0": Naming(("boost", "1")),
+    "CC-BY-4.0": Naming(("cc", "by", "4")),
+    "CC-BY-NC-4.0": Naming(("cc", "by-nc", "4")),
+    "CC-BY-NC-ND-4.0": Naming(("cc", "by-nc-nd", "4")),
+    "CC-BY-NC-SA-4.0": Naming(("cc", "by-nc-sa", "4")),
+    "CC-BY-ND-4.0": Naming(("cc", "by-nd", "4")),
+    "CC-BY-SA-4.0": Naming(("cc", "by-sa", "4")),
+    "CC0-1.0": Naming(("cc0", "1")),
+    "EPL-2.0": Naming(("eclipse", "2")),
+    "GPL-2.0": Naming(("general", "public", "2"), _OTHER_GNU),
+    "GPL-3.0": Naming(("general", "public", "3"), _OTHER_GNU),
+    "ISC": Naming((), ("documentation",)),
+    "LGPL-2.1": Naming(("lesser", "general", "public", "2.1")),
+    "LGPL-3.0": Naming(("lesser", "general", "public", "3")),
+    "MIT": Naming(("mit",)),
+    "MIT-notice": Naming((), ("redistributions", "evil"), 15),
+    "MPL-2.0": Naming(("mozilla", "2")),
+    "Unlicense": Naming(("unencumbered", "domain")),
+}
+NAMING |= {f"{n}-notice": x for n, x in NAMING.items() if n != "MIT" and f"{n}-notice" in TEMPLATES}
 COVERAGE = 0.8
 #: Matched words among all words from the first to the last one matched, at least.
 DENSITY = 0.5
@@ -79,10 +164,11 @@ BLOCK = 3
 
 
 def normal(words: pa.Array) -> pa.Array:
-    """Lower case, without what is neither letter nor digit around a word."""
-    return pc.replace_substring_regex(
+    """Lower case, without what is neither letter nor digit around a word; versions by their number."""
+    bare = pc.replace_substring_regex(
         pc.utf8_lower(words), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""
     )
+    return pc.replace_substring_regex(bare, r"^v?(\d+)(\.0)?$", r"\1")
 
 
 def longest_ascending(values: list[int]) -> list[int]:
@@ -143,26 +229,35 @@ def _blocks(words: Words, member: np.ndarray, length: int, least: int):
     return zip(text[enough].tolist(), begin[enough].tolist(), end[enough].tolist(), strict=True)
 
 
-def align_within(template: list[str], block: list[str], least: int) -> list[tuple[int, int]]:
-    """Matched places of the template in a block, of one copy if there are several."""
+def align_within(
+    template: list[str], block: list[str], fits: Callable[[list], bool], naming: tuple[str, ...] = ()
+) -> list[tuple[int, int]]:
+    """Matched places of the template in a block, of one copy if there are several; empty if no
+    alignment ``fits``."""
     best = align(template, block)
-    if len(best) >= least:
+    if fits(best):
         return best
     times = Counter(template)
     middle = len(template) / 2
     inside = set(block)
     keys = [i for i, w in enumerate(template) if times[w] == 1 and w in inside]
+    best = []
     if not keys:
         return best
-    key = min(keys, key=lambda i: (abs(i - middle), i))
+    # A word that names the license is rarer than others and is needed anyway.
+    key = min(keys, key=lambda i: (template[i] not in naming, abs(i - middle), i))
     for place in [p for p, w in enumerate(block) if w == template[key]]:
         begin = max(0, place - key)
-        pairs = align(template, block[begin : place - key + len(template)])
-        if len(pairs) > len(best):
-            best = [(i, j + begin) for i, j in pairs]
+        pairs = [(i, j + begin) for i, j in align(template, block[begin : place - key + len(template)])]
+        if len(pairs) > len(best) and fits(pairs):
+            best = pairs
     return best
 
 
+def inside_all(wanted: tuple[str, ...], block: list[str]) -> bool:
+    return all(w in block for w in wanted)
+
+
 def scan_words(words: Words, templates: dict[str, list[str]], coverage: float) -> dict[int, list]:
     """Per text with a match: (name, coverage, matched words, first word, last word), best first."""
     names = normal(words.distinct).to_pylist()
@@ -173,14 +268,29 @@ def scan_words(words: Words, templates: dict[str, list[str]], coverage: float) -
         if not member.any():
             continue
         least = max(1, int(np.ceil(coverage * len(template) - 1e-9)))
+        rule, wanted = NAMING.get(name, Naming()), Counter(template)
+        needed = [{i for i, w in enumerate(template) if w == word} for word in rule.words]
         for text, begin, end in _blocks(words, member, len(template), least):
             block = [names[i] for i in words.index[begin:end]]
-            pairs = align_within(template, block, least)
-            if len(pairs) < least:
+            # No alignment matches a word more often than either side has it.
+            if (wanted & Counter(block)).total() < least or not inside_all(rule.words, block):
                 continue
-            first, last = pairs[0][1], pairs[-1][1]
-            if len(pairs) < DENSITY * (last - first + 1):
+            stop = int(words.starts[text + 1])
+
+            def fits(pairs, begin=begin, stop=stop, least=least, rule=rule, needed=needed):
+                if len(pairs) < least:
+                    return False
+                first, last = pairs[0][1], pairs[-1][1]
+                matched = {i for i, _ in pairs}
+                if len(pairs) < DENSITY * (last - first + 1) or not all(x & matched for x in needed):
+                    return False
+                reach = words.index[begin + first : min(stop, begin + last + 1 + rule.after)]
+                return not rule.without or not any(names[i] in rule.without for i in reach)
+
+            pairs = align_within(template, block, fits, rule.words)
+            if not pairs:
                 continue
+            first, last = pairs[0][1], pairs[-1][1]
             best = found.setdefault(text, {}).get(name)
             if best is None or len(pairs) > best[2]:
                 shift = begin - int(words.starts[text])

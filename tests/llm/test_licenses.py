@@ -1,6 +1,6 @@
 import random
 
-from metertide.llm.licenses import TEMPLATES, align, longest_ascending, scan_licenses
+from metertide.llm.licenses import NAMING, TEMPLATES, align, longest_ascending, scan_licenses
 from tests.llm import samples
 
 
@@ -97,3 +97,38 @@ def test_odd_rows_and_empty_tables(spark):
     assert len(found) == len(samples.rows())
     assert {r["license"] for r in found} == {None}
     assert scan_licenses(samples.empty(spark)).count() == 0
+
+
+def test_licenses_that_are_no_templates_take_no_neighbours_name(spark):
+    gnu = "This work is licensed under the GNU {}General Public License, version {}."
+    bsd = TEMPLATES["BSD-3-Clause"].replace("copyright holder", "University")
+    cases = {
+        "Released under the BSD License.": "BSD",
+        "Released under the GPL License.": None,
+        "Released under the Apache License.": None,
+        "Licensed under CC BY 4.0.": "CC-BY-4.0",
+        "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0",
+        "Licensed under CC BY-NC 3.0.": None,
+        "Licensed under the Apache License, Version 1.1.": None,
+        "Licensed under the Apache License v2": "Apache-2.0",
+        gnu.format("", "2"): "GPL-2.0",
+        gnu.format("", "3.0"): "GPL-3.0",
+        gnu.format("", "1"): None,
+        gnu.format("Lesser ", "3"): "LGPL-3.0",
+        gnu.format("Affero ", "3"): "AGPL-3.0",
+        gnu.format("Affero ", "1"): None,
+        TEMPLATES["GPL-3.0-notice"].replace("General", "Library General"): None,
+        bsd: "BSD-3-Clause",
+        TEMPLATES["MIT-notice"] + " The Software shall be used for Good, not Evil.": None,
+        "Released under the BSD License. Released under MIT License.": "BSD",
+        "Released under the GPL License. Released under MIT License.": "MIT",
+    }
+    found = scanned(spark, list(cases))
+    assert {t: found[i]["license"] for i, t in enumerate(cases)} == cases
+
+
+def test_every_naming_word_is_in_its_template():
+    for name, rule in NAMING.items():
+        text = TEMPLATES[name].lower()
+        assert all(word in text for word in rule.words)
+        assert not any(word in text for word in rule.without)
