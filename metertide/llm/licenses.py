@@ -7,7 +7,8 @@ to gaps without anchors. The share of the template's words that are matched is i
 Texts are aligned in overlapping blocks of three times the template's length, so a notice up to twice
 as long as its template lies whole in one. Where a block holds a notice more than once, its words are
 not unique; there the block is cut to the template's length around every occurrence of one of the
-template's words. Blocks that hold too few of the template's words to reach the wanted coverage are
+template's words, of one word after the other until a cut reaches the coverage. Matches far from the
+others at either end are dropped. Blocks that hold too few of the template's words to reach the wanted coverage are
 left out beforehand, which loses nothing.
 
 A license is only reported if the words that name it are matched and no word that names another one
@@ -229,12 +230,22 @@ def _blocks(words: Words, member: np.ndarray, length: int, least: int):
     return zip(text[enough].tolist(), begin[enough].tolist(), end[enough].tolist(), strict=True)
 
 
+def trimmed(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of matches that are dense enough, the first of several."""
+    places = [j for _, j in pairs]
+    for size in range(len(pairs), 0, -1):
+        for begin in range(len(pairs) - size + 1):
+            if size >= DENSITY * (places[begin + size - 1] - places[begin] + 1):
+                return pairs[begin : begin + size]
+    return pairs
+
+
 def align_within(
     template: list[str], block: list[str], fits: Callable[[list], bool], naming: tuple[str, ...] = ()
 ) -> list[tuple[int, int]]:
     """Matched places of the template in a block, of one copy if there are several; empty if no
     alignment ``fits``."""
-    best = align(template, block)
+    best = trimmed(align(template, block))
     if fits(best):
         return best
     times = Counter(template)
@@ -242,15 +253,16 @@ def align_within(
     inside = set(block)
     keys = [i for i, w in enumerate(template) if times[w] == 1 and w in inside]
     best = []
-    if not keys:
-        return best
     # A word that names the license is rarer than others and is needed anyway.
-    key = min(keys, key=lambda i: (template[i] not in naming, abs(i - middle), i))
-    for place in [p for p, w in enumerate(block) if w == template[key]]:
-        begin = max(0, place - key)
-        pairs = [(i, j + begin) for i, j in align(template, block[begin : place - key + len(template)])]
-        if len(pairs) > len(best) and fits(pairs):
-            best = pairs
+    for key in sorted(keys, key=lambda i: (template[i] not in naming, abs(i - middle), i)):
+        for place in [p for p, w in enumerate(block) if w == template[key]]:
+            begin = max(0, place - key)
+            cut = trimmed(align(template, block[begin : place - key + len(template)]))
+            pairs = [(i, j + begin) for i, j in cut]
+            if len(pairs) > len(best) and fits(pairs):
+                best = pairs
+        if best:
+            break
     return best
 
 

@@ -132,3 +132,19 @@ def test_every_naming_word_is_in_its_template():
         text = TEMPLATES[name].lower()
         assert all(word in text for word in rule.words)
         assert not any(word in text for word in rule.without)
+
+
+def test_edited_notices_that_repeat_or_have_stray_words_are_found(spark):
+    cases = [
+        ("Released under MIT License. Released under MIT License. See the file.", "MIT"),
+        ("Released in 2020 by the well known authors of it, licensed under the MIT License.", "MIT"),
+    ]
+    notice = TEMPLATES["ISC"].split()
+    for i, word in enumerate(notice):
+        if notice.count(word) == 1:
+            edited = " ".join(notice[:i] + notice[i + 1 :])
+            cases.append((f"{edited}\n{edited}\nIt says {word}", "ISC"))
+    # A stray first word, and no room for a block without it.
+    cases.append(("permission " + "x " * 60 + " ".join(notice[2:]), "ISC"))
+    found = scanned(spark, [t for t, _ in cases])
+    assert [found[i]["license"] for i in range(len(cases))] == [name for _, name in cases]
