@@ -6,7 +6,8 @@ and the difference of the two total sizes, by the size of the text, is its featu
 fitted on other labelled texts turns it into the probability of label 1.
 
 Dictionaries and curve come from a bounded sample: of the labelled documents at most ``sample_rows``
-and ``sample_bytes``, those with the smallest hash of their id. Every other document of the
+and ``sample_bytes``, those with the smallest hash of their id; a longer text than one of ``SHARES``
+parts of these bytes teaches by its beginning, so that it leaves room for others. Every other document of the
 sample trains the dictionaries, the rest the curve.
 
 Edges: a null or empty text has feature 0 and the score that goes with it. Without labelled text of
@@ -31,6 +32,7 @@ DICTIONARY_BYTES = 112_640
 #: Added to a text's size, so that a few bytes do not decide.
 SOFTENING = 64
 SAMPLE_ROWS, SAMPLE_BYTES = 10_000, 48 << 20
+SHARES = 64
 #: Pieces of a class that go into its dictionary at most.
 DICTIONARY_PIECES = 12_000
 THRESHOLD = 0.3
@@ -108,11 +110,12 @@ def learn_quality(
         .orderBy("_order", "doc_id", "quality")
         .limit(sample_rows)
     )
+    share = max(1, sample_bytes // SHARES)
     sample = materialize(
         documents.select("doc_id", "text")
         .filter(F.col("text").isNotNull())
         .join(F.broadcast(wanted), "doc_id")  # at most sample_rows rows of three numbers
-        .withColumn("_bytes", F.octet_length("text")),
+        .withColumn("_bytes", F.least(F.octet_length("text"), F.lit(share))),
         "quality-sample",
     )
     order = ("_order", "doc_id", "quality", "_bytes")
@@ -124,9 +127,10 @@ def learn_quality(
         sample.filter(F.col("_order") <= int(kept["_order"].iloc[-1]))
         .orderBy(*order, "text")
         .limit(len(kept))
+        .select(F.substring(F.col("text").cast("binary"), 1, share).alias("text"), "quality")
         .toPandas()
     )
-    texts, quality = [t.encode() for t in rows["text"]], rows["quality"].to_numpy()
+    texts, quality = [bytes(t) for t in rows["text"]], rows["quality"].to_numpy()
     share = (quality.sum() + 0.5) / (len(quality) + 1)
     base = float(np.log(share / (1 - share)))
     halves = [[t for t, q in zip(texts[::2], quality[::2], strict=True) if q == k] for k in (1, 0)]

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from metertide.llm.quality import (
     QualityModel,
@@ -97,3 +98,13 @@ def test_labels_of_one_class_or_none(spark, quality):
     scores = {r["score"] for r in score_quality(documents, model).collect()}
     assert len(scores) == 1
     assert score_quality(samples.empty(spark), model).count() == 0
+
+
+def test_a_text_above_the_bytes_of_the_sample_leaves_room_for_the_others(spark):
+    documents, labels = labelled(spark)
+    first = labels.orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    long = F.when(F.col("doc_id") == first, F.repeat("text", 2000)).otherwise(F.col("text"))
+    model = learn_quality(documents.withColumn("text", long), labels, sample_bytes=1 << 20)
+    assert model.good and model.bad and model.slope > 0
+    found = score_quality(documents, model).join(labels, "doc_id").collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in found]) > 0.95
