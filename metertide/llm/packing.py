@@ -9,7 +9,7 @@ Windows whose length is a power of two need no padding; they are transitions of
 
 The stream is cut off after ``stream_tokens`` ids, at the end of a document, which bounds memory
 (one longer document is held whole). Near a stream's end every place may be cut, so its rest goes
-into powers of two; elsewhere windows below ``LEAST_POWER`` ids are not tried. Nothing is shuffled: a partition's rows depend on that partition alone.
+into powers of two. Nothing is shuffled: a partition's rows depend on that partition alone.
 
 Edges: a null or empty text is just the id ``last``. Repeated rows are documents of their own. A
 null ``doc_id`` is allowed. Empty partitions give nothing. Other columns are ignored.
@@ -34,8 +34,8 @@ SENTENCE_PENALTY, INSIDE_PENALTY, WINDOW_PENALTY = 2, 16, 4
 #: Sentences longer than this many ids may be cut inside, at multiples of the step.
 LONG_SENTENCE, STEP = 512, 64
 STREAM_TOKENS = 1 << 22
-#: Shorter windows of a power of two are only looked for within ``size`` of a stream's end.
-LEAST_POWER = 1024
+#: Shorter windows of a power of two would only be looked for within ``size`` of a stream's end.
+LEAST_POWER = 1
 
 
 def padding(length: int, size: int = SIZE) -> int:
@@ -71,7 +71,6 @@ def best_cuts(
     jumps: dict[int, list[int]] = {}
     power = 1
     while power <= size:
-        # Short windows only pay where a stream ends.
         late = 0 if power >= least_power else int(np.searchsorted(places, places[-1] - size))
         ends = places[late:]
         before = np.searchsorted(places, ends - power)

@@ -119,3 +119,15 @@ def test_plain_words_get_the_ids_of_the_whole_tokenizer():
     assert [np.frombuffer(x, np.uint32).tolist() for x in found] == [
         tokenizer.encode(w, add_special_tokens=False).ids for w in words
     ]
+
+
+def test_short_windows_are_tried_everywhere():
+    size = 64
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        ends = np.unique(rng.integers(1, 900, 40))
+        places, penalty = possible_cuts(ends, np.unique(rng.integers(1, ends[-1] + 1, 40)), size)
+        fee = dict(zip(places.tolist(), penalty.tolist(), strict=True))
+        cuts = best_cuts(places, penalty, size).tolist()
+        paid = sum(padding(b - a, size) + fee[b] for a, b in pairwise([0, *cuts]))
+        assert paid == brute_force(places.tolist(), penalty.tolist(), size)
