@@ -1,0 +1,170 @@
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from metertide.llm import triejoin
+from metertide.llm.triejoin import Trie, jaccard_join, linked_groups, prefix_length, shingle_sets
+from tests.llm import samples
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def shingles(text, words=4):
+    parts = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if len(parts) < words:
+        return {" ".join(parts)} if parts else set()
+    return {" ".join(parts[i : i + words]) for i in range(len(parts) - words + 1)}
+
+
+def roots(sets, linked):
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if linked(sets[i], sets[j]):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(sets))]
+
+
+def alike(percent):
+    return lambda a, b: bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
+
+
+def expected(rows, percent=85):
+    sets = [shingles(text) for _, text in rows]
+    root = roots(sets, alike(percent))
+    smallest = {}
+    for (doc_id, _), r in zip(rows, root, strict=True):
+        if doc_id is not None:
+            smallest[r] = min(doc_id, smallest.get(r, doc_id))
+    return sorted(
+        ((d, len(s), smallest.get(r) if s else d) for (d, _), s, r in zip(rows, sets, root, strict=True)),
+        key=str,
+    )
+
+
+def found(df, **options):
+    result = jaccard_join(df, **options)
+    assert result.columns == ["doc_id", "n_shingles", "component_id"]
+    return sorted((tuple(r) for r in result.collect()), key=str)
+
+
+def test_odd_rows_against_all_pairs(spark):
+    df = samples.documents(spark, 90)
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    assert found(df) == expected(rows)
+    assert found(samples.empty(spark)) == []
+
+
+def near_copies(rng, count, words=120):
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    for _ in range(count):
+        own = list(base)
+        for _ in range(rng.randint(1, 3)):
+            own[rng.randrange(words)] = f"x{rng.randrange(10**6)}"
+        yield " ".join(own)
+
+
+def test_hot_groups_and_frequent_shingles_are_split(spark, monkeypatch):
+    """A third near copies of one text, a third with one passage in common, in blocks of 16."""
+    monkeypatch.setattr(triejoin, "SHARED_ROWS", 16)
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = list(near_copies(rng, 150))
+    texts += [" ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randint(1, 90))) + " " + passage for _ in range(150)]
+    texts += [t for _ in range(3) for t in near_copies(rng, 20, 30)]
+    texts += ["only three words"] * 90
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    rows[5] = (None, rows[5][1])
+    rows += [(7, "another text under an id that is taken"), (7, texts[9])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    links = found(df, group_sets=16)
+    assert links == expected(rows)
+    assert len({c for _, _, c in links}) < len(rows)
+
+
+def test_links_at_the_bound(spark):
+    """Sets of 17 and 20 shingles share 17 of 20: exactly 85 in 100; one more word is too many."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words[:23])), (2, " ".join(words[:20])), (3, " ".join(words[3:24])), (4, " ".join(words[:24]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(df) == expected(rows)
+    assert expected(rows)[0][2] == expected(rows)[1][2]
+
+
+def random_sets(rng):
+    size = rng.choice([10, 40, 200])
+    base = [set(rng.sample(range(size * 10), rng.randint(1, size))) for _ in range(3)]
+    sets = []
+    for _ in range(rng.randint(1, 30)):
+        own = set(rng.choice(base))
+        for _ in range(rng.randint(0, 4)):
+            own.symmetric_difference_update({rng.randrange(size * 10)})
+        sets.append(own or {0})
+    return sets
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_the_walk_finds_exactly_the_linked_sets(seed):
+    rng = random.Random(seed)
+    sets, percent = random_sets(rng), rng.choice([50, 70, 85, 100])
+    arrays = [np.array(sorted(s), dtype=np.uint64) for s in sets]
+    trie = Trie(arrays)
+    everything = np.ones(len(sets), dtype=bool)
+    for place, given in enumerate(trie.order):
+        linked = {trie.order[p] for p in trie.partners(place, everything, percent)}
+        assert linked == {i for i, s in enumerate(sets) if alike(percent)(sets[given], s)}
+    root, groups = roots(sets, alike(percent)), linked_groups(arrays, percent).tolist()
+    for i in range(len(sets)):
+        for j in range(i):
+            assert (root[i] == root[j]) == (groups[i] == groups[j])
+
+
+def test_subtrees_are_left_unread():
+    """Sets that share nothing with the walking one are left at their first edge."""
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 60, 200, dtype=np.uint64)) for _ in range(50)]
+    sets += [np.append(sets[0][:-5], np.arange(i * 9, i * 9 + 3, dtype=np.uint64)) for i in range(50)]
+    trie = Trie(sets)
+    asked = []
+
+    class Counted(list):
+        def __getitem__(self, node):
+            asked.append(node)
+            return super().__getitem__(node)
+
+    trie.nodes = Counted(trie.nodes)
+    place = trie.order.index(0)
+    assert len(trie.partners(place, np.ones(len(sets), dtype=bool), 85)) == 51
+    everything = len(asked)
+    asked.clear()
+    wanted = np.zeros(len(sets), dtype=bool)
+    wanted[trie.order.index(3)] = True
+    assert trie.partners(place, wanted, 85) == []
+    assert len(asked) < everything
+
+
+@pytest.mark.parametrize("size", range(1, 200))
+def test_prefixes_hold_a_common_shingle(size):
+    """A set shares at least ceil(85 %) of its own with a linked one, so one lies in its prefix."""
+    least = -(-85 * size // 100)
+    assert prefix_length(size, 85) == size - least + 1
+
+
+def test_shingles_of_a_batch_are_those_of_each_text():
+    texts = ["A b c d", "a B c d e", None, "", " a b", "a  b", "É x y z w", "é x y z w", "a b c", "a\tb\nc d"]
+    sets = shingle_sets(pa.array(texts))
+    plain = [shingles(t) for t in texts]
+    assert [len(s) for s in sets] == [len(s) for s in plain]
+    for a, p in zip(sets, plain, strict=True):
+        for b, q in zip(sets, plain, strict=True):
+            assert len(set(a.tolist()) & set(b.tolist())) == len(p & q)
