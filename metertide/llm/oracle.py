@@ -187,4 +187,93 @@ SELECT t.doc_id, CAST(len(t.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remov
 FROM texts t LEFT JOIN kept k USING (doc_id)
 """
 
-ORACLE = {"op5_suffix_dedup": OP5, "op8_mixing": OP8, "op9_url_filter": OP9, "op10_top_k": OP10}
+OP11 = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS id, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS MATERIALIZED (
+  SELECT id, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2),
+           lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3])))) END AS s
+  FROM words
+), classes AS MATERIALIZED (
+  SELECT row_number() OVER () AS class, s, len(s) AS n, min(doc_id) AS first_id
+  FROM sets WHERE len(s) > 0 GROUP BY s
+), items AS MATERIALIZED (
+  SELECT class, n, hash(unnest(s)) AS h FROM classes
+), linked AS MATERIALIZED (
+  SELECT a, b FROM (
+    SELECT x.class AS a, y.class AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS shared
+    FROM items x JOIN items y ON x.h = y.h AND x.class <> y.class AND 100 * x.n >= 85 * y.n
+      AND 100 * y.n >= 85 * x.n
+    GROUP BY x.class, y.class)
+  WHERE 100 * shared >= 85 * (n + m - shared)
+), reached AS (
+  WITH RECURSIVE r(class, other) AS (
+    SELECT class, class FROM classes
+    UNION
+    SELECT r.class, b FROM r JOIN linked ON r.other = a)
+  SELECT r.class, min(first_id) AS component_id FROM r JOIN classes c ON r.other = c.class GROUP BY r.class
+)
+SELECT t.doc_id, CAST(len(t.s) AS BIGINT) AS n_shingles,
+       CASE WHEN len(t.s) = 0 THEN t.doc_id ELSE component_id END AS component_id
+FROM sets t LEFT JOIN classes c ON t.s = c.s LEFT JOIN reached USING (class)
+"""
+
+
+def _op12() -> str:
+    """Six rounds and a last assignment, each over the codebooks of the round before."""
+    steps = []
+    for n in range(7):
+        steps.append(f"""away{n} AS MATERIALIZED (
+  SELECT id, p, min({{'distance': list_sum(list_transform(range(1, len(v) + 1),
+           lambda i: (v[i] - c[i]) * (v[i] - c[i]))), 'e': e}}) AS best
+  FROM parts JOIN book{n} USING (p) GROUP BY id, p
+)""")
+        if n < 6:
+            steps.append(f"""sums{n} AS (
+  SELECT p, e, d, sum(x) AS total, count(*) AS n
+  FROM (SELECT p, best.e AS e, unnest(v) AS x, generate_subscripts(v, 1) AS d
+        FROM away{n} JOIN parts USING (id, p)) GROUP BY ALL
+), means{n} AS (
+  SELECT p, e, list(CAST((total - ((total % n) + n) % n) // n AS BIGINT) ORDER BY d) AS c
+  FROM sums{n} GROUP BY p, e
+), book{n + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m.c, b.c) AS c FROM book{n} b LEFT JOIN means{n} m USING (p, e)
+)""")
+    return (
+        """
+WITH whole AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS numbers
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT id, p, numbers[p * len(numbers) // 8 + 1:(p + 1) * len(numbers) // 8] AS v
+  FROM whole, (SELECT unnest(range(8)) AS p)
+), book0 AS MATERIALIZED (
+  SELECT p, id - 1 AS e, v AS c FROM parts WHERE id <= 16
+), """
+        + ", ".join(steps)
+        + """, coded AS (
+  SELECT id, string_agg(format('{:02x}', best.e), '' ORDER BY p) AS code,
+         CAST(sum(best.distance) AS BIGINT) AS error
+  FROM away6 GROUP BY id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book6) AS codebooks_sha256
+FROM coded JOIN whole USING (id)
+"""
+    )
+
+
+ORACLE = {
+    "op5_suffix_dedup": OP5,
+    "op8_mixing": OP8,
+    "op9_url_filter": OP9,
+    "op10_top_k": OP10,
+    "op11_jaccard_join": OP11,
+    "op12_vector_codes": _op12(),
+}

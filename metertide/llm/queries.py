@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
+from metertide.llm.codes import codebooks_sha256, compress_vectors, with_label_error
+from metertide.llm.conversations import repair_reports
 from metertide.llm.imatch import edited_fingerprints
 from metertide.llm.language import held_out, identify_languages, learn_languages
 from metertide.llm.licenses import scan_licenses
@@ -12,7 +14,9 @@ from metertide.llm.quality import learn_quality, score_quality
 from metertide.llm.simhash import near_duplicates
 from metertide.llm.substrings import repeated_passages
 from metertide.llm.topk import top_k
+from metertide.llm.triejoin import jaccard_join
 from metertide.llm.urls import judge_urls
+from metertide.workspace import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +80,21 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = compress_vectors(table(spark, sf_dir, "embeddings"))
+    return with_label_error(materialize(coded, "vector-codes")).select(
+        "vec_id", "code", "error", "label_error", F.lit(codebooks_sha256(books)).alias("codebooks_sha256")
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_reports(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_language_id": op1_language_id,
@@ -88,4 +107,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_url_filter": op9_url_filter,
     "op10_top_k": op10_top_k,
+    "op11_jaccard_join": op11_jaccard_join,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_conversation_repair": op13_conversation_repair,
 }

@@ -12,7 +12,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(m[1]) for name in QUERIES if (m := re.match(r"op(\d+)_", name)))
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert "pipeline" in QUERIES
     assert set(ORACLE) <= set(QUERIES)
 
@@ -29,6 +29,9 @@ def test_every_operator_has_one_query():
         ("op8_mixing", "doc_id:bigint size:bigint source_size:bigint target:double taken:bigint"),
         ("op9_url_filter", "page_id:bigint host:string path:string rule:string verdict:string"),
         ("op10_top_k", "query_id:bigint rank:int vec_id:bigint score:bigint"),
+        ("op11_jaccard_join", "doc_id:bigint n_shingles:bigint component_id:bigint"),
+        ("op12_vector_codes", "vec_id:bigint code:string error:bigint label_error:bigint codebooks_sha256:string"),
+        ("op13_conversation_repair", "conv_id:bigint gaps:bigint blank:bigint duplicate:bigint truncated:bigint illegal:bigint cost:bigint audit:string repaired_sha256:string"),
     ],
 )
 def test_columns_of_the_contract(spark, name, columns):
