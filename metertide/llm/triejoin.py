@@ -6,9 +6,11 @@ is one shingle, one without words has the empty set, linked with nothing. Two se
 
 *Candidates.* Equal sets are one class. In one order of all shingles (those that stand out as frequent
 last, the others by their hash) two linked sets have their first common shingle in the leading
-``|set| - ceil(percent / 100 * |set|) + 1`` of either. Classes go to these shingles, and a shingle that
-only one class has drops out. The others meet at it with the sizes of their sets, the shingle's place
-and counts of hashes, which rule most pairs out; the pairs left form candidate groups.
+``|set| - ceil(percent / 100 * |set|) + 1`` of either. Classes go to these shingles. A shingle that
+only one class has drops out, and of those with the same classes one is left. There they meet with the
+sizes of their sets and a sketch, a bit for every other shingle or so: it tells whether the number of
+hashes that fall to a bit is odd, so two sets differ in at least as many shingles as their sketches in bits.
+The pairs that this leaves form candidate groups.
 
 *Join.* The sets of a group are put in order by how many of its sets hold a shingle and stored in a
 trie, in which sets share the path of their common beginning. A set walks the trie once: the overlap with a
@@ -36,7 +38,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from metertide.llm.batches import runs, slices, words_of
+from metertide.llm.batches import slices, words_of
 from metertide.llm.components import LINK, components, forest_of_batches
 from metertide.llm.simhash import in_pairs_of_blocks, links_of_groups, whole_groups
 from metertide.workspace import materialize
@@ -47,7 +49,7 @@ COUNTER_BITS = 20
 #: Classes that meet at a shingle, and sets and shingles of a group, that a task holds at most, twice.
 SHARED_ROWS, GROUP_SETS, GROUP_SHINGLES = 1 << 13, 1 << 11, 1 << 21
 #: Rows read before the groups among them are worked on.
-STREAM_ROWS = 1 << 15
+STREAM_ROWS = 1 << 14
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -79,6 +81,51 @@ def prefix_length(size: int, percent: int) -> int:
     return size + (-percent * size) // 100 + 1
 
 
+def sketch_bits(size: int) -> int:
+    """A power of two, at least half the size."""
+    return 1 << max(6, (size - 1).bit_length() - 1)
+
+
+def odd_sketch(hashes: np.ndarray) -> bytes:
+    """Bit ``i`` tells whether an odd number of hashes has ``i`` as its lowest bits."""
+    bits = sketch_bits(len(hashes))
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """Sketches of several sets. Those of sets that may be linked differ at most twofold in length, so each
+    is held at its own length and folded to half of it."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.width = np.array([len(x) // 8 for x in blobs], dtype=np.int64)
+        self.place = np.zeros((2, len(blobs)), dtype=np.int64)
+        self.words = {}
+        for width in np.unique(np.concatenate([self.width, self.width // 2])).tolist():
+            own, twice = np.flatnonzero(self.width == width), np.flatnonzero(self.width == 2 * width)
+            parts = []
+            for held, rows in enumerate((own, twice)):
+                self.place[held, rows] = sum(map(len, parts)) + np.arange(len(rows))
+                if width and len(rows):
+                    words = np.frombuffer(b"".join(blobs[i] for i in rows), dtype=np.uint64)
+                    words = words.reshape(len(rows), held + 1, width)
+                    parts.append(np.bitwise_xor.reduce(words, axis=1))
+            if parts:
+                self.words[width] = np.concatenate(parts)
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches at ``a`` and ``b`` differ; 0 if one is over twice the other."""
+        result = np.zeros(len(a), dtype=np.int64)
+        width = np.minimum(self.width[a], self.width[b])
+        near = np.maximum(self.width[a], self.width[b]) <= 2 * width
+        for w in np.unique(width[near]).tolist():
+            at = np.flatnonzero(near & (width == w))
+            words = self.words[w]
+            x, y = (words[self.place[(self.width[i] > w).astype(np.int64), i]] for i in (a[at], b[at]))
+            result[at] = np.bitwise_count(x ^ y).sum(axis=1)
+        return result
+
+
 def standing_out(documents: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Counters of shingles, and their counts, that lie far above the mean in some task. At most
     ``2**COUNTER_BITS`` of them, whatever the input."""
@@ -99,34 +146,33 @@ def standing_out(documents: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
 
 def described(documents: DataFrame, words: int, percent: int) -> DataFrame:
     """Per row its ``doc_id``, ``key`` (that, or a hash of the text), ``n_shingles``, ``digest`` of the
-    set, its ``prefix`` in the common order and ``counts`` of hashes by their lowest six bits."""
+    set, its ``prefix`` in the common order and its ``sketch``."""
     places, times = standing_out(documents, words)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
         weight[places] = times
         for part in slices(batches):
-            sizes, digests, prefixes, counts = [], [], [], []
+            sizes, digests, prefixes, sketches = [], [], [], []
             for own in shingle_sets(part.column("text"), words):
                 sizes.append(len(own))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 own_weight = weight[(own >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
                 ordered = own[np.argsort(own_weight, kind="stable")] if own_weight.any() else own
                 prefixes.append(ordered[: prefix_length(len(own), percent)].tobytes())
-                low = np.bincount((own & np.uint64(63)).astype(np.int64), minlength=64)
-                counts.append(np.minimum(low, 255).astype(np.uint8).tobytes())
+                sketches.append(odd_sketch(own))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     part.column("key"),
                     pa.array(sizes, pa.int64()),
-                    *(pa.array(x, pa.binary()) for x in (digests, prefixes, counts)),
+                    *(pa.array(x, pa.binary()) for x in (digests, prefixes, sketches)),
                 ],
-                ["doc_id", "key", "n_shingles", "digest", "prefix", "counts"],
+                ["doc_id", "key", "n_shingles", "digest", "prefix", "sketch"],
             )
 
     return _keyed(documents).mapInArrow(
-        describe, "doc_id long, key long, n_shingles long, digest binary, prefix binary, counts binary"
+        describe, "doc_id long, key long, n_shingles long, digest binary, prefix binary, sketch binary"
     )
 
 
@@ -135,8 +181,9 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), key, "text")
 
 
-def candidate_links(classes: DataFrame, percent: int, shared_rows: int = SHARED_ROWS) -> DataFrame:
-    """Pairs ``a``, ``b`` of ``rep`` numbers that connect all linked classes, and some that are not."""
+def classes_at_shingles(classes: DataFrame, shared_rows: int) -> DataFrame:
+    """``members`` of each shingle of a prefix that several classes have, and their ``digest``. More than
+    ``shared_rows`` members come in several rows, without a digest but with the shingle as ``key``."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "prefix"):
@@ -147,54 +194,93 @@ def candidate_links(classes: DataFrame, percent: int, shared_rows: int = SHARED_
                 [
                     pa.array(np.frombuffer(b"".join(prefixes), dtype=np.int64)),
                     part.column("rep").take(again),
-                    pa.array(runs(counts).astype(np.int32)),
                 ],
-                ["key", "rep", "place"],
+                ["key", "rep"],
             )
 
-    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The last row is held back for the next batch; ``met``: it has the key of the row before it.
-        held, met = [], False
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows_of(groups: list[tuple[int, np.ndarray, bool]]) -> pa.RecordBatch:
+            keys = [key if large else None for key, _, large in groups]
+            digests = [None if large else xxhash.xxh3_128_digest(x.tobytes()) for _, x, large in groups]
+            ends = np.cumsum([0, *(len(x) for _, x, _ in groups)]).astype(np.int32)
+            members = pa.array(np.concatenate([x for _, x, _ in groups]))
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(keys, pa.int64()),
+                    pa.array(digests, pa.binary()),
+                    pa.ListArray.from_arrays(ends, members),
+                ],
+                ["key", "digest", "members"],
+            )
+
+        # What was read of the last key, and whether some of its rows have been passed on.
+        last, held, large = None, np.zeros(0, dtype=np.int64), False
         for batch in batches:
-            if not len(batch):
+            keys, reps = (batch.column(c).to_numpy() for c in ("key", "rep"))
+            if not len(keys):
                 continue
-            table = pa.Table.from_batches([*held, batch]).combine_chunks()
-            keys = table["key"].to_numpy()
-            same = keys[1:] == keys[:-1]
-            shared = np.append(same, False) | np.append(met, same)
-            yield from table.slice(0, len(keys) - 1).filter(pa.array(shared[:-1])).to_batches()
-            held, met = table.slice(len(keys) - 1).to_batches(), bool(shared[-1])
-        if met:
-            yield from held
-
-    schema = "key long, rep long, place int"
-    probes = classes.select("rep", "prefix").mapInArrow(spread, schema)
-    shared = materialize(
-        probes.repartition("key").sortWithinPartitions("key").mapInArrow(meeting, schema),
-        "shared-shingles",
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            done = []
+            for begin, end in pairwise(cuts):
+                key, own = int(keys[begin]), reps[begin:end]
+                if key != last:
+                    if large or len(held) > 1:
+                        done.append((last, held, large))
+                    last, held, large = key, own, False
+                else:
+                    held = np.concatenate([held, own])
+                if len(held) > shared_rows:
+                    done.append((last, held, True))
+                    held, large = held[:0], True
+            if done:
+                yield rows_of(done)
+        if large or len(held) > 1:
+            yield rows_of([(last, held, large)])
+
+    probes = classes.select("rep", "prefix").mapInArrow(spread, "key long, rep long")
+    return (
+        probes.repartition("key")
+        .sortWithinPartitions("key", "rep")
+        .mapInArrow(meet, "key long, digest binary, members array<long>")
     )
-    rows = shared.join(classes.select("rep", "n_shingles", "counts"), "rep")
-    large = materialize(
-        shared.groupBy("key").count().filter(F.col("count") > shared_rows), "large-shingles"
+
+
+def candidate_links(classes: DataFrame, percent: int, shared_rows: int = SHARED_ROWS) -> DataFrame:
+    """Pairs ``a``, ``b`` of ``rep`` numbers that connect all linked classes, and some that are not."""
+    shared = materialize(classes_at_shingles(classes, shared_rows), "shared-shingles")
+    # Equal groups, as near copies have at most of their shingles, are compared once.
+    small = materialize(
+        shared.filter("digest IS NOT NULL")
+        .groupBy("digest")
+        .agg(F.any_value("members").alias("members"))
+        .select(F.monotonically_increasing_id().alias("key"), "members"),
+        "classes-that-meet",
     )
-    if large.isEmpty():
-        dealt = rows.withColumn("pair", F.lit(0))
-    else:
-        small = rows.join(large, "key", "left_anti").withColumn("pair", F.lit(0))
-        dealt = small.unionByName(in_pairs_of_blocks(rows, "key", large, shared_rows))
+    known = classes.select("rep", "n_shingles", "sketch")
+    dealt = (
+        small.select("key", F.explode("members").alias("rep"))
+        .join(known, "rep")
+        .withColumn("pair", F.lit(0))
+    )
+    large = shared.filter("digest IS NULL").select("key", F.explode("members").alias("rep"))
+    counts = materialize(large.groupBy("key").count(), "large-shingles")
+    if not counts.isEmpty():
+        pairs = in_pairs_of_blocks(large, "key", counts, shared_rows).withColumn(
+            "pair", F.col("pair") + 1
+        )
+        dealt = dealt.unionByName(pairs.join(known, "rep"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links():
             for table in whole_groups(batches, "key", "pair", STREAM_ROWS):
-                keys, pair, reps, sizes, places = (
-                    table[c].to_numpy() for c in ("key", "pair", "rep", "n_shingles", "place")
+                keys, pair, reps, sizes = (
+                    table[c].to_numpy() for c in ("key", "pair", "rep", "n_shingles")
                 )
                 fresh = np.append(True, (keys[1:] != keys[:-1]) | (pair[1:] != pair[:-1]))
-                blobs = b"".join(table["counts"].to_pylist())
-                counts = np.frombuffer(blobs, dtype=np.uint8).reshape(-1, 64).astype(np.int16)
+                sketches = Sketches(table["sketch"].to_pylist())
 
-                def near(a, b, sizes=sizes, places=places, counts=counts):
-                    return maybe_linked(sizes, places, counts, a, b, percent)
+                def near(a, b, sizes=sizes, sketches=sketches):
+                    return maybe_linked(sizes, sketches, a, b, percent)
 
                 for a, b in links_of_groups(np.cumsum(fresh), near):
                     yield reps[a], reps[b]
@@ -204,14 +290,15 @@ def candidate_links(classes: DataFrame, percent: int, shared_rows: int = SHARED_
     return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(compare, LINK)
 
 
-def maybe_linked(sizes, places, counts, a, b, percent: int) -> np.ndarray:
-    """Which sets ``a`` and ``b`` may be linked if their first common shingle is at ``places``. What they
-    share is at most what follows it in either, and half of what their counts have in common."""
-    both = sizes[a] + sizes[b]
-    rest = np.minimum(sizes[a] - places[a], sizes[b] - places[b])
-    differ = np.abs(counts[a] - counts[b]).sum(axis=-1, dtype=np.int64)
-    share = np.minimum(2 * rest, both - differ)
-    return (100 + percent) * share >= 2 * percent * both
+def maybe_linked(sizes, sketches: Sketches, a, b, percent: int) -> np.ndarray:
+    """Which sets ``a`` and ``b`` may be linked: none that are is left out. Linked ones share
+    ``percent / (100 + percent)`` of their sizes together, so they differ in what is left of twice that."""
+    a, b = np.broadcast_arrays(a, b)
+    result = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
+    at = np.flatnonzero(result)
+    both = sizes[a[at]] + sizes[b[at]]
+    result[at] = (100 + percent) * (both - sketches.differ(a[at], b[at])) >= 2 * percent * both
+    return result
 
 
 class Trie:
@@ -407,7 +494,7 @@ def jaccard_join(
             F.min("key").alias("key"),
             F.any_value("n_shingles").alias("n_shingles"),
             F.any_value("prefix").alias("prefix"),
-            F.any_value("counts").alias("counts"),
+            F.any_value("sketch").alias("sketch"),
         )
         .withColumn("rep", F.monotonically_increasing_id()),
         "classes",

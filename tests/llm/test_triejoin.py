@@ -6,7 +6,16 @@ import pyarrow as pa
 import pytest
 
 from metertide.llm import triejoin
-from metertide.llm.triejoin import Trie, jaccard_join, linked_groups, prefix_length, shingle_sets
+from metertide.llm.triejoin import (
+    Sketches,
+    Trie,
+    jaccard_join,
+    linked_groups,
+    maybe_linked,
+    odd_sketch,
+    prefix_length,
+    shingle_sets,
+)
 from tests.llm import samples
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -75,7 +84,8 @@ def near_copies(rng, count, words=120):
 
 def test_hot_groups_and_frequent_shingles_are_split(spark, monkeypatch):
     """A third near copies of one text, a third with one passage in common, in blocks of 16."""
-    monkeypatch.setattr(triejoin, "SHARED_ROWS", 16)
+    plain = triejoin.candidate_links
+    monkeypatch.setattr(triejoin, "candidate_links", lambda c, p: plain(c, p, shared_rows=16))
     rng = random.Random(3)
     passage = " ".join(f"p{i}" for i in range(60))
     texts = list(near_copies(rng, 150))
@@ -160,6 +170,24 @@ def test_prefixes_hold_a_common_shingle(size):
     assert prefix_length(size, 85) == size - least + 1
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_sketches_rule_out_far_sets_only(seed):
+    rng = np.random.default_rng(seed)
+    base = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (3, 60, 70, 500, 4000, 4400)]
+    sets = []
+    for own in base * 6:
+        gone = rng.random(len(own)) < rng.choice([0.0, 0.05, 0.1, 0.4])
+        kept = np.append(own[~gone], rng.integers(0, 1 << 63, int(len(own) * rng.choice([0, 0.1, 0.5])), dtype=np.uint64))
+        sets.append(np.unique(kept) if len(kept) else own)
+    sizes = np.array([len(s) for s in sets])
+    a, b = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    maybe = maybe_linked(sizes, Sketches([odd_sketch(s) for s in sets]), a, b, 85)
+    shared = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+    union = sizes[a] + sizes[b] - shared
+    assert maybe[100 * shared >= 85 * union].all()
+    assert not maybe[(shared < 0.5 * union) & (np.minimum(sizes[a], sizes[b]) > 20)].any()
+
+
 def test_shingles_of_a_batch_are_those_of_each_text():
     texts = ["A b c d", "a B c d e", None, "", " a b", "a  b", "É x y z w", "é x y z w", "a b c", "a\tb\nc d"]
     sets = shingle_sets(pa.array(texts))
