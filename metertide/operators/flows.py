@@ -12,8 +12,9 @@ from metertide.schemas import FLOW_COLUMNS
 CLIPPED_FLOW = 255
 
 
-def _by_message_day(clean: DataFrame) -> DataFrame:
+def _by_message_day(clean: DataFrame, *keys: str) -> DataFrame:
     return clean.select(
+        *keys,
         "device_id",
         F.to_date("timestamp").alias("day"),
         last_reading_hour(F.col("timestamp")).alias("last_hour"),
@@ -59,12 +60,33 @@ def daily_flows(flows: DataFrame) -> DataFrame:
 
 
 def daily_flows_of_messages(clean: DataFrame) -> DataFrame:
-    """The same table as ``daily_flows(unpack_flows(clean))``, with less work per message.
+    """The same table as ``daily_flows(unpack_flows(clean))``, with less work per message."""
+    return merge_day_parts(_parts_of_messages(clean))
 
-    The eight readings of a message touch at most two dates. Each message gives one partial row
+
+def day_parts(clean: DataFrame, *keys: str) -> DataFrame:
+    """Partial device-days: ``device_id``, ``date``, ``total``, ``least``, ``most``, apart for each value of further
+    ``keys``. Those of different messages are put together by ``merge_day_parts``."""
+    return (
+        _parts_of_messages(clean, *keys)
+        .groupBy(*keys, "device_id", "date")
+        .agg(F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
+    )
+
+
+def merge_day_parts(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("device_id", "date").agg(
+        F.sum("total").alias("total_flow"),
+        F.min("least").alias("min_flow"),
+        (F.max("most") == CLIPPED_FLOW).alias("clipped"),
+    )
+
+
+def _parts_of_messages(clean: DataFrame, *keys: str) -> DataFrame:
+    """The eight readings of a message touch at most two dates. Each message gives one partial row
     per date it touches, instead of eight, to the aggregation.
     """
-    message = _by_message_day(clean).withColumn(
+    message = _by_message_day(clean, *keys).withColumn(
         "before", F.greatest(F.lit(0), F.lit(READINGS_PER_MESSAGE - 1) - F.col("last_hour"))
     )
 
@@ -84,7 +106,8 @@ def daily_flows_of_messages(clean: DataFrame) -> DataFrame:
         )
 
     before, day = F.col("before"), F.col("day")
-    parts = message.select(
+    return message.select(
+        *keys,
         "device_id",
         F.inline(
             F.array(
@@ -93,8 +116,3 @@ def daily_flows_of_messages(clean: DataFrame) -> DataFrame:
             )
         ),
     ).filter("touched")
-    return parts.groupBy("device_id", "date").agg(
-        F.sum("total").alias("total_flow"),
-        F.min("least").alias("min_flow"),
-        (F.max("most") == CLIPPED_FLOW).alias("clipped"),
-    )

@@ -56,8 +56,8 @@ def filter_messages(
     return distinct_messages(in_period(messages, start, end, on_error))
 
 
-def clean_messages(messages: DataFrame, on_error: str = "raise") -> DataFrame:
-    """Full hourly messages only, with stripped ids and typed columns.
+def clean_messages(messages: DataFrame, on_error: str = "raise", *keys: str) -> DataFrame:
+    """Full hourly messages only, with stripped ids and typed columns, and further columns ``keys``.
 
     Messages with fewer readings come only in a device's first day.
     """
@@ -70,6 +70,7 @@ def clean_messages(messages: DataFrame, on_error: str = "raise") -> DataFrame:
         )
 
     return with_sent(messages.filter(hourly), on_error).select(
+        *keys,
         strip_whitespace(F.col("DeviceID")).alias("device_id"),
         F.col(SENT).alias("timestamp"),
         *[whole_number(name) for name in FLOW_COLUMNS],
@@ -83,13 +84,37 @@ def initial_device_count(messages: DataFrame) -> DataFrame:
     )
 
 
+def device_parts(messages: DataFrame, *keys: str) -> DataFrame:
+    """Bounds of ``readings`` and ``xtime`` per device, apart for each value of further ``keys``. Those of
+    different messages are put together by ``merge_device_parts``."""
+    return messages.groupBy(*keys, "DeviceID").agg(
+        F.max("readings").alias("most_readings"),
+        F.min("readings").alias("least_readings"),
+        F.max("xtime").alias("most_xtime"),
+        F.min("xtime").alias("least_xtime"),
+    )
+
+
+def merge_device_parts(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("DeviceID").agg(
+        *[F.max(c).alias(c) for c in ("most_readings", "most_xtime")],
+        *[F.min(c).alias(c) for c in ("least_readings", "least_xtime")],
+    )
+
+
 def dropped_devices(messages: DataFrame) -> DataFrame:
     """Devices that lose some (reduced) or all (dropped) messages in the clean-up."""
-    flags = messages.groupBy("DeviceID").agg(
-        (F.max("readings") == 8).alias("has_8_readings"),
-        (F.min("readings") == 8).alias("has_no_non_8_readings"),
-        (F.max("xtime") == 4).alias("has_4_xtime"),
-        (F.min("xtime") == 4).alias("has_no_non_4_xtime"),
+    return dropped_of_devices(device_parts(messages))
+
+
+def dropped_of_devices(devices: DataFrame) -> DataFrame:
+    """``dropped_devices`` from the bounds of each device."""
+    flags = devices.select(
+        "DeviceID",
+        (F.col("most_readings") == 8).alias("has_8_readings"),
+        (F.col("least_readings") == 8).alias("has_no_non_8_readings"),
+        (F.col("most_xtime") == 4).alias("has_4_xtime"),
+        (F.col("least_xtime") == 4).alias("has_no_non_4_xtime"),
     )
     untouched = (
         F.col("has_8_readings")

@@ -55,7 +55,11 @@ def consecutive_flow_state(day_flows: DataFrame) -> DataFrame:
 
 def number_runs(days: DataFrame) -> DataFrame:
     """``consecutive_flow_state`` of ``stored_runs``."""
-    offsets = _device_offsets(days)
+    offsets = device_offsets(
+        days.filter("last_day").select(
+            "device_id", F.col("run").alias("runs"), F.col("flowing").alias("last_flowing")
+        )
+    )
     # A plain equality join would lose the device without an id, a null-safe one would shuffle the
     # days again. There is at most one such device, so its row comes from a scalar subquery.
     no_id = offsets.filter(F.col("device_id").isNull()).select("before").scalar()
@@ -78,13 +82,13 @@ def number_runs(days: DataFrame) -> DataFrame:
     )
 
 
-def _device_offsets(days: DataFrame) -> DataFrame:
-    """Per device what comes before it: number of runs, last device, state of its last row."""
+def device_offsets(devices: DataFrame) -> DataFrame:
+    """Per device what comes before it: number of runs, last device, state of its last row.
+
+    Takes the number of ``runs`` of each device and the state of its earliest day, ``last_flowing``.
+    """
     order = [F.desc("device_id")]
-    summary = days.filter("last_day").select(
-        "device_id", F.col("run").alias("runs"), F.col("flowing").alias("last_flowing")
-    )
-    devices = in_blocks(summary, order, "device-blocks")
+    devices = in_blocks(devices, order, "device-blocks")
     # The null id sorts last of all, so no block that follows another block's rows needs it here.
     totals = devices.groupBy(BLOCK).agg(
         F.sum("runs").alias("block_runs"),

@@ -1,6 +1,6 @@
 """Usage, leakage and dropped-device reports over one period."""
 
-import hashlib
+import json
 from collections.abc import Callable, Sequence
 from functools import cache
 
@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from metertide.operators.flows import daily_flows_of_messages
 from metertide.operators.messages import (
+    MESSAGE_DATE,
     clean_messages,
     distinct_messages,
     dropped_devices,
@@ -24,7 +25,9 @@ from metertide.sinks.files import write_csv, write_if_any, write_once, write_sca
 from metertide.sinks.jdbc import append_to_table
 from metertide.sources.documents import flatten_decoded
 from metertide.sources.files import read_messages, read_with_repeated_headers
+from metertide.sources.history import FIRST_SENT, Run, period_identity
 from metertide.sources.jdbc import Connection, day_predicates, read_table
+from metertide.versions import read_text
 from metertide.workspace import materialize, temporary_tables
 
 Keep = Callable[[str, Callable[[], DataFrame]], DataFrame]
@@ -126,11 +129,18 @@ def build_reports(
     }
 
 
-def input_identity(messages: DataFrame) -> str:
-    """What a frame of the history is made of: its runs in their versions, one row each."""
-    runs = messages.select("namespace", "run", "version").distinct().collect()
-    text = "\n".join(sorted("|".join(map(str, run)) for run in runs))
-    return hashlib.sha256(text.encode()).hexdigest()[:16]
+def input_identity(messages: DataFrame, start: str, end: str) -> str:
+    """What a frame of the history holds of a period, by the names of its files; nothing is read."""
+    held: dict[str, set[str]] = {}
+    for file in messages.inputFiles():
+        version, day = file.rsplit("/", 2)[:2]
+        held.setdefault(version, set()).add(day.removeprefix(f"{MESSAGE_DATE}="))
+    runs = []
+    for path, days in held.items():
+        firsts = json.loads(read_text(messages.sparkSession, f"{path}/{FIRST_SENT}"))
+        names = dict(part.split("=", 1) for part in path.split("/")[-3:])
+        runs.append(Run(**names, path=path, dates={d: t for d, t in firsts.items() if d in days}))
+    return period_identity(runs, start, end)
 
 
 def write_reports(
@@ -145,8 +155,8 @@ def write_reports(
 ) -> dict[str, DataFrame]:
     """Write all tables of a period under ``root`` and return them.
 
-    The folder names the namespace, the period, ``on_error`` and what the input is made of, so tables of
-    different inputs never meet. Finished tables of the same input are not computed again, unless
+    The folder names the namespace, the period, ``on_error`` and what the input holds of the period, so
+    tables of different inputs never meet, and messages of other periods change nothing. Finished tables of the same input are not computed again, unless
     ``rebuild`` asks for it, and a run that was cut short goes on where it stopped. For a frame that is
     not from ``read_history``, ``identity`` says what it is made of.
     """
@@ -154,7 +164,7 @@ def write_reports(
     if identity is None:
         if "version" not in messages.columns:
             raise ValueError("say by identity what messages from outside the history are made of")
-        identity = input_identity(messages)
+        identity = input_identity(messages, start, end)
     folder = f"{root}/{namespace}_{start}_{end}/{on_error}-{identity}"
 
     def keep(name: str, build: Callable[[], DataFrame]) -> DataFrame:

@@ -1,12 +1,25 @@
+import json
 import re
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from metertide.operators.messages import MESSAGE_DATE, SENT, with_sent
 from metertide.schemas import MESSAGES
 from metertide.sources.files import CSV_FORMAT
+from metertide.sources.history import FIRST_SENT
+from metertide.versions import (
+    POINTER,
+    current_version,
+    exists,
+    matching,
+    modified,
+    publish,
+    replace_text,
+)
+from metertide.workspace import delete
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "errorifexists") -> None:
@@ -22,9 +35,7 @@ def write_scalar(row: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 def is_written(spark: SparkSession, path: str) -> bool:
     """Whether a write to ``path`` has finished, not merely begun."""
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+    return exists(spark, f"{path}/_SUCCESS")
 
 
 def write_once(
@@ -40,13 +51,6 @@ def write_once(
     return spark.read.parquet(path)
 
 
-def write_outputs(
-    spark: SparkSession, outputs: Mapping[str, Callable[[], DataFrame]], root: str
-) -> dict[str, DataFrame]:
-    """Several named tables under one folder, each written once."""
-    return {name: write_once(spark, build, f"{root}/{name}") for name, build in outputs.items()}
-
-
 def write_if_any(df: DataFrame, path: str, mode: str = "errorifexists") -> bool:
     """Write CSV only if there are rows. ``df`` is read twice, so pass a written table."""
     if df.isEmpty():
@@ -61,19 +65,43 @@ def append_history(
     """Add one collection run to the history, in folders by namespace, run, version and message date.
 
     Times are parsed here, once: a malformed one raises, or is null with ``on_error="null"`` and belongs
-    to no period. Repeating a run replaces just that run, under a new version, by which results tell
-    what they were made from. The rebalance gathers a date's rows into few files and splits a date that
-    is larger than the others.
+    to no period. Repeating a run writes a new version beside the old one, which stays current until the
+    new one is complete; ``remove_old_versions`` removes what is current no more. The rebalance gathers
+    a date's rows into few files and splits a date that is larger than the others.
     """
     for name in (namespace, run):
         if not re.fullmatch(r"[\w.-]+", name, re.ASCII):
             raise ValueError(f"not fit for a folder name: {name!r}")
+    spark, version = messages.sparkSession, uuid.uuid4().hex
+    folder = f"{root}/namespace={namespace}/run={run}"
+    path = f"{folder}/version={version}"
     (
         with_sent(messages, on_error)
         .select(*MESSAGES.fieldNames(), SENT, F.col(SENT).cast("date").alias(MESSAGE_DATE))
-        .withColumn("version", F.lit(uuid.uuid4().hex))
         .hint("rebalance", MESSAGE_DATE)
-        .write.mode("overwrite")
-        .partitionBy("version", MESSAGE_DATE)
-        .parquet(f"{root}/namespace={namespace}/run={run}")
+        .write.partitionBy(MESSAGE_DATE)
+        .parquet(path)
     )
+    replace_text(spark, f"{path}/{FIRST_SENT}", json.dumps(_first_sent(spark, path)))
+    publish(spark, folder, version)
+
+
+def _first_sent(spark: SparkSession, path: str) -> dict[str, str]:
+    """The first time of each date in a written version, one row a date. Rows without a time are left out."""
+    written = spark.read.schema(StructType().add(SENT, "timestamp_ntz")).parquet(path)
+    firsts = written.filter(F.col(SENT).isNotNull()).groupBy(F.to_date(SENT).alias("date"))
+    return {str(row["date"]): str(row["first"]) for row in firsts.agg(F.min(SENT).alias("first")).collect()}
+
+
+def remove_old_versions(spark: SparkSession, root: str, namespace: str) -> list[str]:
+    """Remove versions of runs that are not current and lie there since before the current one became so,
+    also broken-off ones. Returns their paths. Readers that still use such a version lose it."""
+    removed = []
+    for pointer in matching(spark, f"{root}/namespace={namespace}/run=*/{POINTER}"):
+        folder = pointer.removesuffix(f"/{POINTER}")
+        current = f"version={current_version(spark, folder)}"
+        for path in matching(spark, f"{folder}/version=*"):
+            if not path.endswith(f"/{current}") and modified(spark, path) <= modified(spark, pointer):
+                delete(spark, path)
+                removed.append(path)
+    return removed

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from metertide.functions.strict import read_every_column
-from metertide.operators.messages import MESSAGE_DATE, SENT
 from metertide.schemas import MESSAGES
 
 # Quotes inside quoted fields are doubled, and spaces belong to the value: an id with a trailing
@@ -88,17 +87,3 @@ def read_with_repeated_headers(
         ]
     )
     return read_every_column(typed) if strict else typed
-
-
-def read_history(spark: SparkSession, root: str, namespace: str | None = None) -> DataFrame:
-    """Accumulated messages with their time as ``sent`` and the ``namespace``, ``run``, ``version`` and
-    ``message_date`` folders they lie in.
-
-    Pass it to ``filter_messages``, which skips the folders outside its period.
-    """
-    schema = StructType(list(MESSAGES.fields)).add(SENT, "timestamp_ntz")
-    for name in ("namespace", "run", "version"):
-        schema = schema.add(name, "string")
-    schema = schema.add(MESSAGE_DATE, "date")
-    history = spark.read.schema(schema).parquet(root)
-    return history if namespace is None else history.filter(F.col("namespace") == namespace)

@@ -7,8 +7,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths written within ``temporary_tables`` blocks, the innermost block's last.
+#: Paths written, and tables named, within ``temporary_tables`` blocks, the innermost block's last.
 _written: list[list[str]] = []
+_named: list[list[str]] = []
 
 
 def is_one_machine(spark: SparkSession) -> bool:
@@ -62,6 +63,8 @@ def materialize_by_key(df: DataFrame, key: str, order: str, name: str) -> DataFr
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = new_path(spark, name)
     table = f"metertide_{uuid.uuid4().hex}"
+    if _named:
+        _named[-1].append(table)
     df.write.bucketBy(buckets, key).sortBy(key, order).saveAsTable(table, format="parquet", path=path)
     return spark.table(table)
 
@@ -74,13 +77,17 @@ def delete(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
-    """Intermediate tables written in the block are removed at its end, also after an error.
+    """Intermediate tables written in the block are removed at its end, also after an error, and with
+    them their names in the catalog.
 
     Results must be written elsewhere, or collected, before the block is left.
     """
     _written.append([])
+    _named.append([])
     try:
         yield
     finally:
+        for table in _named.pop():
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         for path in _written.pop():
             delete(spark, path)

@@ -22,7 +22,7 @@ from metertide.plans.reports import (
     write_reports,
 )
 from metertide.sinks.files import append_history
-from metertide.sources.files import read_history
+from metertide.sources.history import read_history
 from metertide.sources.jdbc import Connection
 
 

@@ -21,10 +21,10 @@ from metertide.sinks.files import (
     write_csv,
     write_if_any,
     write_once,
-    write_outputs,
     write_scalar,
 )
-from metertide.sources.files import read_csv, read_history
+from metertide.sources.files import read_csv
+from metertide.sources.history import read_history
 from metertide.workspace import materialize, shared_folder, temporary_tables
 from tests.builders import message, messages
 
@@ -264,8 +264,6 @@ def test_small_sinks(spark, tmp_path):
     assert write_if_any(two, str(tmp_path / "some")) and (tmp_path / "some").exists()
     assert not write_if_any(two.limit(0), str(tmp_path / "none"))
     assert not (tmp_path / "none").exists()
-    written = write_outputs(spark, {"a": lambda: two, "b": lambda: two.limit(1)}, str(tmp_path / "many"))
-    assert written["a"].count() == 2 and written["b"].count() == 1
     write_scalar(two.agg(F.count("id")), str(tmp_path / "count"))
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         write_csv(two, str(tmp_path / "bare"))
