@@ -127,3 +127,36 @@ DROPPED_DEVICES = _struct(
         "dropped": FLAG,
     }
 )
+
+# What is kept of a date and of a month between reports.
+DAY_PARTS = _struct({"device_id": TEXT, "date": DAY, "total": LONG, "least": LONG, "most": LONG})
+DEVICE_PARTS = _struct(
+    {
+        "DeviceID": TEXT,
+        "most_readings": INT,
+        "least_readings": INT,
+        "most_xtime": INT,
+        "least_xtime": INT,
+    }
+)
+STRETCH_DAYS = _struct(
+    {
+        **{field.name: field.dataType for field in DAY_FLOWS},
+        "flowing": FLAG,
+        "prev_flowing": FLAG,
+        "run": LONG,
+        "position": INT,
+    }
+)
+STRETCH_RUNS = _struct(
+    {
+        "device_id": TEXT,
+        "run": LONG,
+        "flowing": FLAG,
+        "start": DAY,
+        "latest": DAY,
+        "days": LONG,
+        "amount": LONG,
+        "runs": LONG,
+    }
+)

@@ -15,14 +15,13 @@ import os
 from pyspark.sql import SparkSession, functions as F
 
 from metertide.functions.time import previous_day, run_name
+from metertide.plans.incremental import write_history_reports
 from metertide.plans.reports import (
     collect_from_database,
     collect_from_exports,
     export_reports,
-    write_reports,
 )
 from metertide.sinks.files import append_history
-from metertide.sources.history import read_history
 from metertide.sources.jdbc import Connection
 
 
@@ -81,8 +80,9 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
         messages = collected(spark, options)
         append_history(messages, options.history, options.namespace, name, options.on_error)
         return
-    reports = write_reports(
-        read_history(spark, options.history, options.namespace),
+    reports = write_history_reports(
+        spark,
+        options.history,
         options.output,
         options.namespace,
         options.start_date,
