@@ -252,3 +252,8 @@ ORACLE: dict[str, str] = {
         'meters_' || strftime(ts, '%Y-%m-%d') || '_' || strftime(CAST(ts AS DATE) + 1, '%Y-%m-%d') AS run
         FROM events""",
 }
+
+# The same results by other ways.
+ORACLE["stretch_flow_state"] = ORACLE["consecutive_flow_state"]
+ORACLE["stretch_leaks"] = ORACLE["leaks"]
+ORACLE["history_reports"] = ORACLE["reports_all"]

@@ -30,6 +30,12 @@ from metertide.operators.messages import (
 from metertide.operators.ordering import with_row_index
 from metertide.operators.runs import consecutive_flow_state, find_leaks, flow_runs
 from metertide.operators.stats import dropped_device_stats, leak_stats, usage_stats
+from metertide.operators.stretches import (
+    leaks_of_stretches,
+    number_stretches,
+    stretch_days,
+    stretch_runs,
+)
 from metertide.operators.tables import (
     append_indexed_rows,
     append_rows,
@@ -38,12 +44,13 @@ from metertide.operators.tables import (
     update_where,
 )
 from metertide.operators.usage import device_usage
+from metertide.plans.incremental import write_history_reports
 from metertide.plans.reports import (
     build_reports,
     collect_from_exports,
 )
 from metertide.schemas import DEVICE, FLOW_COLUMNS
-from metertide.sinks.files import write_csv
+from metertide.sinks.files import append_history, write_csv
 from metertide.sources.documents import flatten_decoded, organisation_names
 from metertide.sources.files import read_messages, read_with_repeated_headers
 from metertide.workspace import materialize, new_path
@@ -79,12 +86,20 @@ def messages_scan(spark, sf_dir):
     return read_messages(spark, path)
 
 
+def exports(spark, sf_dir):
+    """All messages as two parts that overlap."""
+    everything = messages(spark, sf_dir)
+    return (
+        everything.filter(F.col("Timestamp") < FIRST_EXPORT_END),
+        everything.filter(F.col("Timestamp") >= SECOND_EXPORT_START),
+    )
+
+
 def messages_union_distinct(spark, sf_dir):
     """Two overlapping exports, collected to one table without duplicates."""
-    everything = messages(spark, sf_dir)
     paths = [new_path(spark, "first-export"), new_path(spark, "second-export")]
-    write_csv(everything.filter(F.col("Timestamp") < FIRST_EXPORT_END), paths[0])
-    write_csv(everything.filter(F.col("Timestamp") >= SECOND_EXPORT_START), paths[1])
+    for part, path in zip(exports(spark, sf_dir), paths, strict=True):
+        write_csv(part, path)
     return collect_from_exports(spark, paths)
 
 
@@ -115,9 +130,30 @@ def dropped_summary(spark, sf_dir):
     return dropped_device_stats(dropped_devices(kept), used, initial_device_count(kept))
 
 
+def by_week(spark, sf_dir):
+    """The device-days cut into weeks, and the runs of each."""
+    week = F.trunc(F.col("date"), "week").cast("string")
+    cut = materialize(stretch_days(days(spark, sf_dir), week), "stretch-days")
+    return cut, materialize(stretch_runs(cut), "stretch-runs")
+
+
+def history_reports(spark, sf_dir):
+    """As ``reports_all``, from a history of two overlapping runs, of which the second came late: the
+    reports are made before and after it, so the second time only its dates are read."""
+    root = new_path(spark, "history")
+    first, second = exports(spark, sf_dir)
+    append_history(first, f"{root}/messages", "ns", "first")
+    write_history_reports(spark, f"{root}/messages", f"{root}/reports", "ns", START, END)
+    append_history(second, f"{root}/messages", "ns", "second")
+    return contents(write_history_reports(spark, f"{root}/messages", f"{root}/reports", "ns", START, END))
+
+
 def reports_all(spark, sf_dir):
     """How many rows each report has, and a sum over its contents."""
-    reports = build_reports(messages(spark, sf_dir), START, END)
+    return contents(build_reports(messages(spark, sf_dir), START, END))
+
+
+def contents(reports):
     sums = [
         df.agg(
             F.count(F.lit(1)).alias("row_count"),
@@ -194,7 +230,10 @@ QUERIES: dict[str, Query] = {
     "usage_stats": usage_summary,
     "dropped_devices": lambda s, d: dropped_devices(filtered(s, d)),
     "dropped_device_stats": dropped_summary,
+    "stretch_flow_state": lambda s, d: number_stretches(*by_week(s, d)),
+    "stretch_leaks": lambda s, d: leaks_of_stretches(by_week(s, d)[1]),
     "reports_all": reports_all,
+    "history_reports": history_reports,
     "device_select": device_select,
     "device_update": device_update,
     "device_delete": device_delete,
