@@ -205,10 +205,10 @@ def _extra_words(block_words: int) -> str:
     return f"{before('first + size')} - {before('first')}"
 
 
-def is_extra(place: Column, block_words: int = 32) -> Column:
+def is_extra(place: Column, block_words: int = 32, of=F.col) -> Column:
     """Whether the word at ``place`` of its shard's stream lies in a further block."""
-    block, blocks = F.floor(place / block_words), F.greatest("blocks", F.lit(1))
-    taken = [F.floor(((block + i) * F.col("extra") + F.col("start")) / blocks) for i in (0, 1)]
+    block, blocks = F.floor(place / block_words), F.greatest(of("blocks"), F.lit(1))
+    taken = [F.floor(((block + i) * of("extra") + of("start")) / blocks) for i in (0, 1)]
     return taken[1] > taken[0]
 
 
@@ -216,32 +216,40 @@ def mixed_documents(documents: DataFrame, block_words: int = 32, **options) -> D
     """The mix as rows of ``documents``: each whole copy, then the words of further blocks.
 
     A further part holds its words joined by single spaces; ``n_chars`` follows the text where the
-    input has that column. Rows that share a ``doc_id`` share their copies' rows.
+    input has that column. Rows that share a ``doc_id``, source and size share the first of their places,
+    so reruns agree. Columns may have any names.
     """
+    # Names that no column has, for what the mix says of a row and for the number of a copy.
+    mix_name, part_name = "_mix", "_part"
+    while {mix_name, part_name} & {c.lower() for c in documents.columns}:
+        mix_name, part_name = "_" + mix_name, "_" + part_name
+
+    def of(name: str) -> Column:
+        return F.col(f"{mix_name}.{name}")
+
+    numbers = ("first", "taken", "copies", "blocks", "extra", "start")
     mix = mix_to_targets(documents, block_words=block_words, **options).filter("taken > 0")
-    parts = mix.select(
-        F.col("doc_id").alias("_id"),
-        F.col("source").alias("_source"),
-        F.col("size").alias("_size"),
-        *[F.col(c) for c in ("taken", "copies", "first", "blocks", "extra", "start")],
-    ).dropDuplicates(["_id", "_source", "_size"])
+    parts = (
+        mix.groupBy("doc_id", "source", "size")
+        .agg(F.min(F.struct(*numbers)).alias("place"))
+        .select(F.struct("doc_id", "source", "size", "place.*").alias(mix_name))
+    )
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
     chosen = F.array_join(
-        F.filter(words, lambda _, i: is_extra(F.col("first") + i, block_words)), " "
+        F.filter(words, lambda _, i: is_extra(of("first") + i, block_words, of)), " "
     )
-    joined = documents.withColumn("_words", word_count(F.col("text"))).join(
+    joined = documents.join(
         parts,
-        F.col("doc_id").eqNullSafe(F.col("_id"))
-        & F.col("source").eqNullSafe(F.col("_source"))
-        & (F.col("_words") == F.col("_size")),
+        F.col("doc_id").eqNullSafe(of("doc_id"))
+        & F.col("source").eqNullSafe(of("source"))
+        & (word_count(F.col("text")) == of("size")),
     )
-    part = F.col("taken") > F.col("copies") * F.col("_size")
+    whole, part = F.col(part_name) < of("copies"), of("taken") > of("copies") * of("size")
     rows = joined.withColumn(
-        "_part", F.explode(F.expr("sequence(0, cast(copies as int))"))
-    ).filter((F.col("_part") < F.col("copies")) | part)
-    text = F.when(F.col("_part") < F.col("copies"), F.col("text")).otherwise(chosen)
-    rows = rows.withColumn("text", text)
+        part_name, F.explode(F.sequence(F.lit(0), of("copies").cast("int")))
+    ).filter(whole | part)
+    rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(chosen))
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
         rows = rows.withColumn("n_chars", F.length("text").cast(kind))
-    return rows.select(*documents.columns)
+    return rows.select(*[F.col(f"`{c}`") for c in documents.columns])

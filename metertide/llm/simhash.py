@@ -488,9 +488,9 @@ def shingle_times(texts: DataFrame, words: int, count: int, most: int = COUNTED_
         yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(times[place])], ["place", "n"])
 
     sums = texts.mapInArrow(add_up, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
-    sums = sums.toPandas()
+    sums = sums.toArrow()
     times = np.zeros(COUNTERS, dtype=np.int64)
-    times[sums["place"].to_numpy(dtype=np.int64)] = sums["n"].to_numpy(dtype=np.int64)
+    times[sums["place"].to_numpy()] = sums["n"].to_numpy()
     return times
 
 
@@ -700,3 +700,40 @@ def without_near_duplicates(
         .dropDuplicates(["doc_id"])
         .unionByName(documents.filter("doc_id IS NULL"))
     )
+
+
+def one_of_each_group(
+    documents: DataFrame, words: int = 3, bits: int = 64, limit: int = 3
+) -> DataFrame:
+    """``documents`` with one row of each group that ``near_duplicates`` links by its bits: that with the
+    smallest ``doc_id`` (null last; of several with it, that with the least hash of all its columns).
+
+    Rows stand for themselves: a repeated ``doc_id`` does not link texts, and a row goes only if another
+    one of its group stays. Rows that are equal in all columns are one. Columns may have any names.
+    """
+    row = "_row"
+    while row in {c.lower() for c in documents.columns}:
+        row = "_" + row
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    keyed = documents.withColumn(row, F.xxhash64(*columns))
+    places = materialize(
+        keyed.groupBy(row).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times")),
+        "rows",
+    )
+    groups = materialize(
+        near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"), words, bits, limit)
+        .select(F.col("doc_id").alias(row), "component")
+        .distinct()
+        .join(places, row),
+        "groups-of-rows",
+    )
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    first = groups.groupBy("component").agg(F.min(order).alias("first"))
+    gone = groups.join(first, "component").filter(F.col(row) != F.col(f"first.{row}")).select(row)
+    kept = keyed.join(materialize(gone, "later-rows"), row, "left_anti")
+    several = materialize(places.filter("times > 1").select(row), "equal-rows")
+    if not several.isEmpty():
+        kept = kept.join(several, row, "left_anti").unionByName(
+            kept.join(several, row, "left_semi").dropDuplicates([row])
+        )
+    return kept.select(*columns)

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from metertide.llm.mixing import mix_to_targets
-from metertide.llm.simhash import fingerprint, shingle_hashes, similarity_limit
+from metertide.llm.mixing import mix_to_targets, mixed_documents
+from metertide.llm.simhash import fingerprint, one_of_each_group, shingle_hashes
 from tests.llm import samples
 from tests.llm.test_packing import expected_ids
 from tests.llm.test_substrings import MATCH
@@ -65,17 +65,47 @@ def spread(linked):
     return group
 
 
+def all_rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
 def test_one_document_of_each_group_stays(steps):
-    named = [r for r in pairs(steps[1]) if r[0] is not None]
-    sets = [set(shingle_hashes(t, 5).tolist()) for _, t in named]
-    words = np.array([fingerprint(shingle_hashes(t, 5), 128, distinct=True) for _, t in named], np.uint64)
-    bits = np.array([np.bitwise_count(words ^ w).sum(axis=1) for w in words])
-    candidates = spread(bits <= similarity_limit(0.8, 128))
-    similar = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
-    group = spread((bits == 0) | similar & (candidates[:, None] == candidates))
-    kept = sorted({named[g][0] for g in group})
-    assert [r[0] for r in pairs(steps[2]) if r[0] is not None] == kept
-    assert 0 < len(kept) < len({r[0] for r in named})
+    """All pairs of rows, by the bits of their fingerprints."""
+    rows = sorted(set(all_rows(steps[1])), key=str)
+    words = np.array([fingerprint(shingle_hashes(r[1], 3)) for r in rows], np.uint64)
+    group = spread(np.array([np.bitwise_count(words ^ w).sum(axis=1) for w in words]) <= 3)
+    kept = all_rows(steps[2])
+    assert set(kept) <= set(rows)
+    places = {r: i for i, r in enumerate(rows)}
+    assert sorted(int(group[places[r]]) for r in kept) == sorted(set(group.tolist()))
+    least = {}
+    for r, g in zip(rows, group.tolist(), strict=True):
+        least.setdefault(g, []).append((r[0] is None, r[0] or 0))
+    assert all((r[0] is None, r[0] or 0) == min(least[group[places[r]]]) for r in kept)
+    assert 0 < len(kept) < len(rows)
+
+
+def test_rows_of_one_id_stand_for_themselves(spark):
+    schema = "doc_id long, text string, first string, _row string, _mix string"
+    rows = [
+        (1, "alpha beta gamma delta", "a", "b", "c"), (1, "completely other words than these", "a", "b", "c"),
+        (1, "completely other words than these", "a", "b", "c"), (2, "completely other words than these", "a", "b", "c"),
+        (None, "no id but words of its own", "a", "b", "c"), (None, "alpha beta gamma delta", "a", "b", "c"),
+    ]
+    found = [all_rows(one_of_each_group(spark.createDataFrame(rows, schema))) for _ in range(2)]
+    assert found[0] == found[1] == sorted([rows[0], rows[1], rows[4]], key=str)
+
+
+def test_mixing_with_columns_of_any_name(spark):
+    names = ["first", "start", "copies", "blocks", "extra", "taken", "_size", "_mix", "_part", "place"]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names)
+    rows = [(i % 30, f"some words of text {i} " * (1 + i % 4), f"s{i % 3}", *"x" * len(names)) for i in range(60)]
+    rows += [(None, "a row without an id", None, *"x" * len(names)), (99, None, "s0", *"x" * len(names))]
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    mixed = mixed_documents(df)
+    assert mixed.columns == df.columns
+    assert all_rows(mixed) == all_rows(mixed_documents(df.repartition(3)))
+    assert 0 < mixed.count() and mixed.select(*names).distinct().count() == 1
 
 
 def test_later_copies_of_passages_go(steps):
