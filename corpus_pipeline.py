@@ -2,7 +2,8 @@
 
 A stage takes the session, the rows of the stage before and the folder of the tables. Its result is
 written to the shared folder and read again, so a stage starts from files and outlives lost
-executors. All stages but the last return the columns of ``documents``.
+executors. Tables that a stage needs on the way are removed when it is written. All stages but the last
+return the columns of ``documents``, whatever further ones there are. An empty table gives no rows.
 """
 
 from collections.abc import Callable
@@ -12,24 +13,30 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from metertide.llm.language import learn_languages, of_known_language
 from metertide.llm.mixing import mixed_documents
 from metertide.llm.packing import pack
-from metertide.llm.simhash import without_near_duplicates
+from metertide.llm.simhash import one_of_each_group
 from metertide.llm.substrings import repeated_passages
-from metertide.workspace import materialize
+from metertide.workspace import new_path, temporary_tables
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without a letter go. Learns from the given labels."""
+    """Documents whose language is told; those without a letter go, so also null and empty texts. Learns
+    from the given labels. Each row is judged by itself, whatever its ``doc_id``."""
     langs, model = learn_languages(docs.filter(F.col("doc_id").isNotNull()))
     return of_known_language(docs, langs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest ``doc_id``."""
-    return without_near_duplicates(docs, words=5, similarity=0.8)
+    """One row of each group of near-duplicates, that with the smallest ``doc_id``.
+
+    Texts are linked whose fingerprints, of all runs of three words, differ in at most 3 of 64 bits. Rows
+    stand for themselves, also with a null or repeated ``doc_id``; null and empty texts are one group.
+    """
+    return one_of_each_group(docs, words=3, bits=64, limit=3)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that a document with a smaller id has; emptied ones go."""
+    """Documents without passages that a document with a smaller id has; emptied ones go. Rows with a
+    null ``doc_id`` come before no other and stay uncut."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     cut = repeated_passages(docs, tuple(others)).filter("n_removed < n_bytes OR n_bytes = 0")
     id_type = docs.schema["doc_id"].dataType
@@ -42,12 +49,13 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents as often as they are taken, and the parts that further blocks take."""
+    """The mix: documents as often as they are taken, and the parts that further blocks take. A null source
+    is a source; texts without words are never taken."""
     return mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Which ids of a document lie where in which sequence."""
+    """Which ids of a document lie where in which sequence. Every row is packed, copies too."""
     return pack(docs)
 
 
@@ -67,5 +75,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = new_path(spark, name.replace(" ", "-"))
+        with temporary_tables(spark):
+            rows = stage(spark, docs, sf_dir)
+            rows.write.parquet(path)
+        docs = spark.read.schema(rows.schema).parquet(path)
     return docs
