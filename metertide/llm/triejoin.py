@@ -50,6 +50,8 @@ COUNTER_BITS = 20
 SHARED_ROWS, GROUP_SETS, GROUP_SHINGLES = 1 << 13, 1 << 11, 1 << 21
 #: Rows read before the groups among them are worked on.
 STREAM_ROWS = 1 << 14
+#: Bits of the filter of members' keys, in words of 64.
+FILTER_BITS = 1 << 24
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -409,6 +411,24 @@ def linked_groups(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     return first
 
 
+def texts_of(documents: DataFrame, known: DataFrame) -> DataFrame:
+    """``known`` (rep, component, key, digest) with the texts of its keys.
+
+    A filter of at most ``FILTER_BITS / 64`` words goes to all tasks, so that few texts of other keys are
+    shuffled. If very many are known it lets all pass; the join itself is exact.
+    """
+    place = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+    bit = F.col("bit").cast("int")
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumn("bit", place % 64).withColumn("word", F.floor(place / 64))
+
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    words = placed(known).groupBy("word").agg(F.bit_or(mask).alias("mask"))
+    maybe = placed(_keyed(documents)).join(F.broadcast(words), "word").filter(F.getbit("mask", bit) == 1)
+    return maybe.select("key", "text").join(known, "key")
+
+
 def join_groups(
     documents: DataFrame, classes: DataFrame, members: DataFrame, words: int, percent: int,
     group_sets: int = GROUP_SETS,
@@ -437,7 +457,7 @@ def join_groups(
             )
             yield rows.filter(pa.array(same, pa.bool_()))
 
-    texts = _keyed(documents).join(known.select("component", "rep", "key", "digest"), "key")
+    texts = texts_of(documents, known.select("component", "rep", "key", "digest"))
     rows = texts.select("component", "rep", "digest", "text").mapInArrow(
         gather, "component long, rep long, shingles binary"
     )
