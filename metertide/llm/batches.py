@@ -1,5 +1,6 @@
 """Arrow batches inside tasks: bounded slices, and words as numbers."""
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,11 +12,20 @@ import pyarrow.compute as pc
 SLICE_BYTES = 4 << 20
 
 
+def release_memory() -> None:
+    """Give memory that is free back to the machine, as workers live on for tasks of other kinds."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
     """The batches cut to at most ``limit`` bytes of ``column``; a row is never cut."""
     for batch in batches:
+        release_memory()
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         begin, total = 0, 0
         for row, size in enumerate(sizes.tolist()):
@@ -25,6 +35,7 @@ def slices(
             total += size
         if len(sizes) > begin:
             yield batch.slice(begin)
+    release_memory()
 
 
 @dataclass
