@@ -26,7 +26,7 @@ def leak_stats(leaks: DataFrame) -> DataFrame:
 def usage_stats(usage: DataFrame) -> DataFrame:
     """Summary of the usage report; ``avg_daily_flow`` is the mean of the device averages.
 
-    ``usage`` is read twice, as the median needs a pass of its own, so pass a written table.
+    ``usage`` is read twice, as the median writes its own column first, so pass a written table.
     """
     row = usage.agg(
         F.count_if("clipped").alias("clipped_devices"),

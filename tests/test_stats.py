@@ -1,5 +1,6 @@
 """Usage, summaries, row index, median."""
 
+from math import isnan
 from statistics import median
 
 import pytest
@@ -121,6 +122,69 @@ def test_median_between_two_blocks(spark, many_blocks):
         assert exact_median(df, "v").first().median == expected
 
 
+def test_median_of_signs_zeros_infinities_and_neighbours(spark):
+    infinity, small = float("inf"), 5e-324
+    for values in (
+        [-infinity, -1.5, infinity],
+        [-0.0, 0.0, -small, small],
+        [-1e308, -2.0, -2.0000000000000004, -2.0000000000000004, 1.0],
+        [1.0, 1.0000000000000002],
+        [-infinity, infinity, infinity],
+        [7.0],
+    ):
+        df = spark.createDataFrame([(value,) for value in [*values, None]], "v double")
+        assert exact_median(df, "v").first().median == median(values)
+    nan = spark.createDataFrame([(1.0,), (float("nan"),), (float("nan"),)], "v double")
+    assert isnan(exact_median(nan, "v").first().median)
+
+
+def test_median_sorts_nothing_and_counts_few_groups(spark, monkeypatch):
+    from metertide.operators import ordering
+
+    frames, count = [], ordering.digit_counts
+    monkeypatch.setattr(
+        ordering, "digit_counts", lambda *args: frames.append(count(*args)) or frames[-1]
+    )
+    df = spark.range(300_000).select((F.col("id") * 1.25 - 1e5).alias("v"))
+    assert exact_median(df, "v").first().median == (299_999 * 1.25) / 2 - 1e5
+    assert len(frames) == 4
+    for frame in frames:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan and "partial_count" in plan
+        assert frame.count() <= 2 * 2**16
+
+
+def test_row_index_of_rows_that_repeat_very_often(spark, many_blocks):
+    hot = spark.range(0, 1_000_000, 1, 4).select(F.lit("hot").alias("k"), F.lit(None).cast("int").alias("v"))
+    rest = spark.createDataFrame([("a", 1), ("z", 2), ("hot", 7), ("z", 2), (None, None)], "k string, v int")
+    df = hot.union(rest)
+    numbered = with_row_index(df, [F.col("k"), F.col("v")], "n")
+    totals = numbered.agg(F.count("*"), F.count_distinct("n"), F.min("n"), F.max("n")).first()
+    assert tuple(totals) == (1_000_005, 1_000_005, 0, 1_000_004)
+    by_row = {
+        (row.k, row.v): (row.least, row.most)
+        for row in numbered.groupBy("k", "v").agg(F.min("n").alias("least"), F.max("n").alias("most")).collect()
+    }
+    assert by_row == {
+        (None, None): (0, 0), ("a", 1): (1, 1), ("hot", None): (2, 1_000_001),
+        ("hot", 7): (1_000_002, 1_000_002), ("z", 2): (1_000_003, 1_000_004),
+    }
+    most_in_a_task = numbered.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most_in_a_task < 600_000
+    again = with_row_index(df.repartition(3), [F.col("k"), F.col("v")], "n")
+    assert again.exceptAll(numbered).isEmpty() and numbered.exceptAll(again).isEmpty()
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 3), st.one_of(st.none(), st.integers(0, 2))), max_size=40))
+def test_row_index_in_parts(spark, many_blocks, rows):
+    df = spark.createDataFrame(rows, "k int, v int").repartition(3)
+    order = [F.col("k"), F.col("v")]
+    found = sorted(tuple(row) for row in with_row_index(df, order, "n", part_rows=2).collect())
+    expected = sorted(rows, key=lambda row: (row[0], row[1] is not None, row[1] or 0))
+    assert found == [(n, *row) for n, row in enumerate(expected)]
+
+
 def test_row_index(spark, many_blocks):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(5)
     rows = with_row_index(df, [F.desc("k")], "n").collect()
