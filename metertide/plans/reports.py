@@ -26,7 +26,7 @@ from metertide.sinks.jdbc import append_to_table
 from metertide.sources.documents import flatten_decoded
 from metertide.sources.files import read_messages, read_with_repeated_headers
 from metertide.sources.history import FIRST_SENT, Run, period_identity
-from metertide.sources.jdbc import Connection, day_predicates, read_table
+from metertide.sources.jdbc import Connection, day_predicates, read_period, read_table
 from metertide.versions import read_text
 from metertide.workspace import materialize, temporary_tables
 
@@ -41,12 +41,19 @@ def collect_from_database(
     start: str,
     end: str,
     on_error: str = "raise",
+    slices: int | None = None,
+    sample: str = "",
 ) -> DataFrame:
     """Messages of a period from a database table of decoded JSON documents, one day per connection.
 
-    ``table`` holds ``payload`` and the time, which is called ``ts`` from here on.
+    ``table`` holds ``payload`` and the time, which is called ``ts`` from here on. With ``slices`` the
+    period, be it a single day, is read over so many connections of near equal numbers of rows instead;
+    ``sample`` is as in ``histogram_sql``.
     """
-    rows = read_table(spark, connection, table, day_predicates(time_column, start, end))
+    if slices is None:
+        rows = read_table(spark, connection, table, day_predicates(time_column, start, end))
+    else:
+        rows = read_period(spark, connection, table, time_column, start, end, slices, sample)
     return flatten_decoded(rows.withColumnRenamed(time_column, "ts"), on_error)
 
 

@@ -1,6 +1,7 @@
 """Files, documents and database options."""
 
 import json
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,9 +15,12 @@ from metertide.sources.files import read_csv, read_messages, read_with_repeated_
 from metertide.sources.jdbc import (
     Connection,
     day_predicates,
+    histogram_sql,
     read_query,
     read_table,
     read_table_by_range,
+    slice_cuts,
+    slice_predicates,
 )
 from metertide.sinks.jdbc import append_to_table
 from tests.builders import message, messages
@@ -246,6 +250,86 @@ def test_day_predicates_cover_the_period_once(spark):
     assert total.filter(f"hits <> CAST({inside} AS INT)").count() == 0
 
 
+def test_histogram_sql_counts_the_rows_of_the_period():
+    import duckdb
+
+    database = duckdb.connect()
+    database.execute(
+        "CREATE TABLE t AS SELECT TIMESTAMP '2024-01-04 23:59:00' + INTERVAL 1 SECOND * s AS ts"
+        " FROM range(0, 87000, 7) AS r(s)"
+    )
+    sql = histogram_sql("t", "ts", "2024-01-05", "2024-01-06", bins=24)
+    found = dict(database.execute(sql).fetchall())
+    hours = dict(
+        database.execute(
+            "SELECT hour(ts), COUNT(*) FROM t WHERE CAST(ts AS DATE) = DATE '2024-01-05' GROUP BY 1"
+        ).fetchall()
+    )
+    assert found == hours and len(found) == 24
+    assert "FROM t TABLESAMPLE SYSTEM (1) WHERE" in histogram_sql(
+        "t", "ts", "2024-01-05", "2024-01-06", "TABLESAMPLE SYSTEM (1)"
+    )
+
+
+@pytest.mark.parametrize(
+    "times",
+    [{}, {5: 1000}, {0: 1, 4095: 1}, {n: n % 7 for n in range(4096)}, {n: 10**9 if n == 2000 else 1 for n in range(4096)}],
+)
+@pytest.mark.parametrize("slices", [1, 2, 16, 100])
+def test_slices_of_one_day_cover_every_instant_once(spark, times, slices):
+    start, end = "2024-02-29", "2024-03-01"
+    cuts = slice_cuts(times, start, end, slices)
+    predicates = slice_predicates("ts", start, end, cuts)
+    assert len(predicates) == slices
+    near = [cut + timedelta(microseconds=step) for cut in cuts for step in (-1, 0, 1)]
+    day_start, day_end = datetime(2024, 2, 29), datetime(2024, 3, 1)
+    edges = [t + timedelta(microseconds=step) for t in (day_start, day_end) for step in (-1, 0, 1)]
+    instants = [(t,) for t in {*near, *edges, *(day_start + timedelta(minutes=17 * n) for n in range(84))}]
+    df = spark.createDataFrame(instants, "ts timestamp_ntz")
+    hits = sum((F.expr(p).cast("int") for p in predicates), F.lit(0))
+    inside = (F.col("ts") >= F.lit(day_start).cast("timestamp_ntz")) & (F.col("ts") <= F.lit(day_end).cast("timestamp_ntz"))
+    assert df.filter(hits != inside.cast("int")).isEmpty()
+
+
+def test_slices_follow_the_rows():
+    start, end, bins = "2024-01-05", "2024-01-08", 4096
+    times = {n: (100 if n < 512 else 1) for n in range(bins)}
+    cuts = slice_cuts(times, start, end, 16)
+    width = timedelta(days=3) / bins
+    edges = [datetime(2024, 1, 5), *cuts, datetime(2024, 1, 8)]
+    rows = [
+        sum(n for b, n in times.items() if low <= datetime(2024, 1, 5) + (b + 0.5) * width < high)
+        for low, high in zip(edges, edges[1:])
+    ]
+    assert len(rows) == 16 and sum(rows) == sum(times.values())
+    assert max(rows) <= sum(times.values()) / 16 + 200
+
+
+def test_a_day_of_a_database_table_in_slices(spark, monkeypatch):
+    asked, queries = [], []
+
+    def jdbc(reader, url, table, predicates=None, properties=None, **_):
+        asked.append((table, predicates, properties))
+        return decoded(spark, document()).withColumnRenamed("ts", "at")
+
+    def query(session, connection, sql):
+        queries.append(sql)
+        return spark.createDataFrame([(0, 30), (4095, 10)], "bin bigint, times bigint")
+
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameReader.jdbc", jdbc)
+    monkeypatch.setattr("metertide.sources.jdbc.read_query", query)
+    found = collect_from_database(
+        spark, CONNECTION, "decoded", "at", "2024-01-05", "2024-01-06", slices=8, sample="TABLESAMPLE SYSTEM (2)"
+    )
+    assert found.schema == MESSAGES and found.first().Timestamp == "2024-01-05T10:00:00"
+    assert queries == [histogram_sql("decoded", "at", "2024-01-05", "2024-01-06", "TABLESAMPLE SYSTEM (2)")]
+    ((table, predicates, properties),) = asked
+    assert table == "decoded" and len(predicates) == 8 and properties == CONNECTION.driver_properties()
+    cuts = slice_cuts({0: 30, 4095: 10}, "2024-01-05", "2024-01-06", 8)
+    assert predicates == slice_predicates("at", "2024-01-05", "2024-01-06", cuts)
+    assert sum(cut < datetime(2024, 1, 5, 0, 1) for cut in cuts) == 6
+
+
 @pytest.fixture
 def written(monkeypatch):
     """Frames that would be written to a database, with the call; none is opened."""
