@@ -38,7 +38,8 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents without passages that a document with a smaller id has; emptied ones go. Rows with a
     null ``doc_id`` come before no other and stay uncut."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cut = repeated_passages(docs, tuple(others)).filter("n_removed < n_bytes OR n_bytes = 0")
+    known = docs.filter("doc_id IS NOT NULL")
+    cut = repeated_passages(known, tuple(others)).filter("n_removed < n_bytes OR n_bytes = 0")
     id_type = docs.schema["doc_id"].dataType
     columns = {"doc_id": F.col("doc_id").cast(id_type), "text": F.col("kept")}
     rows = cut.select(*(columns.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns))
