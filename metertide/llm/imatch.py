@@ -19,6 +19,7 @@ Edges: a null text counts as empty. A text without a kept term uses all its term
 has the fingerprint of none. Equal texts have equal fingerprints, and likeness 1.
 """
 
+from collections.abc import Sequence
 from math import log
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -35,6 +36,8 @@ NOT_A_TERM = r"[^\p{L}\p{N}]+"
 #: Bits of a term's hash: bucket 0-19, part 40-44, level from 45.
 _PART_BIT, _LEVEL_BIT = 40, 45
 _NOTHING = "0" * SIGNATURE
+#: Copies of one row that a task writes at a time.
+COPIES_AT_ONCE = 1 << 16
 
 
 def let(value: Column, use) -> Column:
@@ -181,60 +184,88 @@ def fingerprints(documents: DataFrame, **band) -> DataFrame:
     return documents.select("doc_id", fingerprint(F.col("text"), words).alias("fingerprint"))
 
 
-def next_documents(documents: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_chars`` and ``next_id``, the next smaller id, or the largest after the smallest.
+def next_documents(
+    documents: DataFrame, key: str = "doc_id", order: Sequence[Column] | None = None
+) -> DataFrame:
+    """``documents`` and ``next_id``, the ``key`` of the row that follows, or the first one after the last.
 
-    Ids are sorted in blocks; the first of each block is joined to the block before. One row per block
-    goes through one task.
+    Without ``order`` rows come by descending ``key``, which tells rows apart. They are sorted in
+    blocks; the first of each block is joined to the block before. One row per block goes through one
+    task.
     """
-    ids = documents.select("doc_id", "n_chars")
-    blocks = in_blocks(ids, [F.desc("doc_id")], "descending-ids")
+    blocks = in_blocks(documents, order or [F.desc(key)], "descending-ids")
     inside = Window.partitionBy(BLOCK).orderBy(POSITION)
     firsts = blocks.filter(F.col(POSITION) == 0).select(
-        F.col(BLOCK).alias("_of"), F.col("doc_id").alias("_first")
+        F.col(BLOCK).alias("_of"), F.col(key).alias("_first")
     )
-    order = Window.orderBy("_of")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    by_block = Window.orderBy("_of")
+    whole = by_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = firsts.select(
-        "_of", F.coalesce(F.lead("_first").over(order), F.first("_first").over(whole)).alias("_after")
+        "_of",
+        F.coalesce(F.lead("_first").over(by_block), F.first("_first").over(whole)).alias("_after"),
     )
     return (
-        blocks.withColumn("_next", F.lead("doc_id").over(inside))
+        blocks.withColumn("_next", F.lead(key).over(inside))
         .join(after, F.col(BLOCK) == F.col("_of"))
-        .select("doc_id", "n_chars", F.coalesce("_next", "_after").alias("next_id"))
+        .select(*documents.columns, F.coalesce("_next", "_after").alias("next_id"))
     )
 
 
+def repeated(rows: DataFrame, times: str) -> DataFrame:
+    """Every row as often as ``times`` says, which is dropped; many copies are dealt out in parts."""
+    columns = [c for c in rows.columns if c != times]
+    part = F.lit(COPIES_AT_ONCE).cast("bigint")
+    one = F.lit(1).cast("bigint")
+    parts = rows.withColumn("_begin", F.explode(F.sequence(one, times, part)))
+    last = F.least(F.col("_begin") + part - 1, F.col(times))
+    dealt = parts.repartition("_key", "_begin").withColumn(
+        "_copy", F.explode(F.sequence("_begin", last))
+    )
+    return dealt.select(columns)
+
+
 def edited_fingerprints(documents: DataFrame, **band) -> DataFrame:
     """Fingerprints of every document and of its edit, and how like it the edit and the next one are.
 
     The edit replaces the last third of a text's characters by as many of the next document's first, in
-    descending ``doc_id`` (after the last: the first). Of rows that share a ``doc_id`` the smallest text
-    stands; rows with a null ``doc_id`` are left out.
+    descending ``doc_id`` (after the last: the first). Every row is a document: rows with a null ``doc_id``
+    come last, rows that share an id by the SHA-256 of their texts, and the next of a wholly equal row
+    is its copy, but for the last of them.
 
-    Texts are shuffled once, by id, for both joins; of the next document only its beginning moves on.
+    Equal rows are worked on once and copied at the end. Texts are shuffled once, by a key made of id
+    and SHA-256, for both joins; of the next document only its beginning moves on.
     """
-    texts = documents.select("doc_id", "text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = documents.select("doc_id", text.alias("text"))
     words = lexicon(texts.select("text"), **band)
-    unique = (
-        texts.filter("doc_id IS NOT NULL")
-        .groupBy("doc_id")
-        .agg(F.min("text").alias("text"))
-        .select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # A null id adds nothing to the key, and no id is written like a checksum.
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256))
+    keyed = texts.withColumn("_key", key)
+    unique = keyed.groupBy("_key").agg(F.max("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    ids = (
+        keyed.select("_key", "doc_id", F.length("text").alias("n_chars"))
+        .groupBy("_key")
+        .agg(
+            F.max("doc_id").alias("doc_id"),
+            F.max("n_chars").alias("n_chars"),
+            F.count(F.lit(1)).alias("_copies"),
+        )
     )
-    ids = texts.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.max(F.length("text")).alias("n_chars")
+    pairs = materialize(
+        next_documents(ids, "_key", [F.desc_nulls_last("doc_id"), F.col("_key")]), "next-documents"
     )
-    pairs = materialize(next_documents(ids), "next-documents")
-    # No text of an id is longer than this, so that many characters of the next one are enough.
+    most = F.floor(F.col("n_chars") / 3).cast("int").alias("_most")
+    # What follows the last of equal rows, and what follows each of the others: its copy.
     wanted = pairs.select(
-        F.col("next_id").alias("_from"),
-        F.col("doc_id").alias("_to"),
-        F.floor(F.coalesce("n_chars", F.lit(0)) / 3).cast("int").alias("_most"),
-    )
-    heads = (
-        unique.join(wanted, F.col("doc_id") == F.col("_from"))
-        .select("_to", "_from", F.col("text").substr(F.lit(1), F.col("_most")).alias("_head"))
+        F.col("next_id").alias("_from"), F.col("_key").alias("_to"), most, F.lit(0).alias("_before")
+    ).unionByName(
+        pairs.filter("_copies > 1").select(
+            F.col("_key").alias("_from"), F.col("_key").alias("_to"), most,
+            (F.col("_copies") - 1).alias("_before"),
+        )
+    )
+    heads = unique.join(wanted, F.col("_key") == F.col("_from")).select(
+        "_to", "_from", "_before", F.col("text").substr(F.lit(1), F.col("_most")).alias("_head")
     )
     replaced = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(
@@ -242,11 +273,13 @@ def edited_fingerprints(documents: DataFrame, **band) -> DataFrame:
         F.col("_head").substr(F.lit(1), replaced),
     )
     own = (
-        unique.join(heads, F.col("doc_id") == F.col("_to"))
-        .select("doc_id", F.col("_from").alias("next_id"), "text", edited.alias("edited"))
+        unique.join(heads, F.col("_key") == F.col("_to"))
+        .select("_key", "_from", "_before", "doc_id", "text", edited.alias("edited"))
         .select(
+            "_key",
+            "_from",
+            "_before",
             "doc_id",
-            "next_id",
             F.length("text").cast("long").alias("n_chars"),
             F.sha2("edited", 256).alias("edited_sha256"),
             fingerprint(F.col("text"), words).alias("fingerprint"),
@@ -254,13 +287,21 @@ def edited_fingerprints(documents: DataFrame, **band) -> DataFrame:
         )
     )
     own = materialize(own, "fingerprints")
-    following = own.select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_following"))
-    return own.join(following, F.col("next_id") == F.col("_id")).select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("_following")).alias("near_next"),
-    )
+    last = own.filter("_before = 0")
+    following = last.select(F.col("_key").alias("_id"), F.col("fingerprint").alias("_following"))
+    with_next = last.join(following, F.col("_from") == F.col("_id"))
+
+    def result(rows: DataFrame, next_fingerprint: str) -> DataFrame:
+        own, edit = F.col("fingerprint"), F.col("edited_fingerprint")
+        return rows.select(
+            "doc_id",
+            "n_chars",
+            "edited_sha256",
+            "fingerprint",
+            "edited_fingerprint",
+            likeness(own, edit).alias("near_edited"),
+            likeness(own, F.col(next_fingerprint)).alias("near_next"),
+        )
+
+    copies = repeated(own.filter("_before > 0"), "_before")
+    return result(with_next, "_following").unionByName(result(copies, "fingerprint"))

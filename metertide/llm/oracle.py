@@ -158,33 +158,33 @@ QUALIFY row_number() OVER best <= 5
 # Texts as hexadecimal digits, two a byte, since SQL cuts strings by character.
 OP5 = r"""
 WITH texts AS (
-  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents WHERE doc_id IS NOT NULL
+  SELECT row_number() OVER () AS id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
 ), strings AS (
-  SELECT doc_id, base + i AS p, substr(part, 2 * i + 1, 100) AS s
-  FROM (SELECT doc_id, base, part, unnest(range(least(128, len(part) // 2 - 49))) AS i
-        FROM (SELECT doc_id, 128 * b AS base, substr(h, 256 * b + 1, 354) AS part
-              FROM (SELECT doc_id, h, unnest(range(len(h) // 256 + 1)) AS b FROM texts)))
+  SELECT id, doc_id, base + i AS p, substr(part, 2 * i + 1, 100) AS s
+  FROM (SELECT id, doc_id, base, part, unnest(range(least(128, len(part) // 2 - 49))) AS i
+        FROM (SELECT id, doc_id, 128 * b AS base, substr(h, 256 * b + 1, 354) AS part
+              FROM (SELECT id, doc_id, h, unnest(range(len(h) // 256 + 1)) AS b FROM texts)))
 ), firsts AS (
   SELECT s, min(doc_id) AS first FROM strings GROUP BY s HAVING min(doc_id) < max(doc_id)
 ), repeated AS (
-  SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50, true) AS opens
+  SELECT id, p, coalesce(p > lag(p) OVER (PARTITION BY id ORDER BY p) + 50, true) AS opens
   FROM strings JOIN firsts USING (s) WHERE first < doc_id
 ), numbered AS (
-  SELECT *, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM repeated
+  SELECT *, count(*) FILTER (opens) OVER (PARTITION BY id ORDER BY p) AS span FROM repeated
 ), spans AS (
-  SELECT doc_id, span, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY doc_id, span
+  SELECT id, span, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY id, span
 ), cuts AS (
-  SELECT doc_id, h, span, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY span), 0) AS before
-  FROM spans JOIN texts USING (doc_id)
+  SELECT id, h, span, a, b, coalesce(lag(b) OVER (PARTITION BY id ORDER BY span), 0) AS before
+  FROM spans JOIN texts USING (id)
 ), kept AS (
-  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+  SELECT id, sum(b - a) AS n_removed, count(*) AS n_spans,
          string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY span)
            || substr(any_value(h), 2 * max(b) + 1) AS h
-  FROM cuts GROUP BY doc_id
+  FROM cuts GROUP BY id
 )
 SELECT t.doc_id, CAST(len(t.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
        CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.h, t.h))) AS kept_sha256
-FROM texts t LEFT JOIN kept k USING (doc_id)
+FROM texts t LEFT JOIN kept k USING (id)
 """
 
 OP11 = r"""

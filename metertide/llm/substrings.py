@@ -25,8 +25,8 @@ chunks are both bounded in size, whatever the table's, and the number of message
 them is their product; ``chunk_bytes`` should rise with the memory of executors.
 
 Edges: a null or empty text has no bytes. Texts below ``MATCH`` bytes lose nothing. Rows that share
-a ``doc_id`` don't count as smaller than each other. Rows with a null ``doc_id`` lose nothing and take
-nothing from others. Exact copies lose all but the one with the smallest id (if long enough).
+a ``doc_id`` don't count as smaller than each other. Rows with a null ``doc_id`` lose nothing, take
+nothing from others, and are rows of the result. Exact copies lose all but the one with the smallest id (if long enough).
 """
 
 import hashlib
@@ -349,13 +349,14 @@ def repeated_passages(
     ``spans`` (begin and end of what goes) and ``kept``, the bytes that stay as text.
 
     Spans are bytes and may cut characters; ``kept`` leaves the cut ones out. Columns named in
-    ``carried`` are passed through, in ``carried``. Rows with a null ``doc_id`` are left out.
+    ``carried`` are passed through, in ``carried``. One row for every row, also with a null ``doc_id``.
     """
-    rows = documents.filter("doc_id IS NOT NULL").select(
+    all_rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
         F.struct(*(F.col(c) for c in carried) or [F.lit(0).alias("none")]).alias("carried"),
     )
+    rows = all_rows.filter("doc_id IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(16, -(-total // chunk_bytes))
     ranges = max(1, -(-total // (14 * range_tokens)))
@@ -443,12 +444,24 @@ def repeated_passages(
         .applyInArrow(_repeated_strings, "chunk int, range int, mask binary")
     )
     both = masks.withColumn("step", F.lit(1)).unionByName(strings.withColumn("step", F.lit(2)))
-    return by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(
+    found = by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(
         cut,
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
         "spans array<struct<begin:long,end:long>>, kept string, "
         f"carried {carried_type.simpleString()}",
     )
+    text, none = F.coalesce("text", F.lit("")), F.lit(0).cast("long")
+    whole = all_rows.filter("doc_id IS NULL").select(
+        "doc_id",
+        F.octet_length(text).cast("long").alias("n_bytes"),
+        none.alias("n_removed"),
+        none.alias("n_spans"),
+        F.sha2(text, 256).alias("kept_sha256"),
+        F.array().cast("array<struct<begin:long,end:long>>").alias("spans"),
+        text.alias("kept"),
+        "carried",
+    )
+    return found.unionByName(whole)
 
 
 def _result(chunk: Chunk, removed: np.ndarray) -> pa.Table:

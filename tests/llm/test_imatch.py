@@ -14,30 +14,56 @@ from tests.llm import samples
 
 
 def expected_edits(rows):
-    """doc_id: (n_chars, sha256) of rows (doc_id, text)."""
-    rows = sorted(rows, key=lambda r: -r[0])
-    result = {}
+    """doc_id, n_chars and sha256 of the edit of rows (doc_id, text), in any order."""
+
+    def place(row):
+        key, text = row
+        return key is None, -(key or 0), hashlib.sha256(text.encode()).hexdigest()
+
+    rows = sorted(((key, text or "") for key, text in rows), key=place)
+    result = []
     for i, (key, text) in enumerate(rows):
         cut = len(text) // 3
         edited = text[: len(text) - cut] + rows[(i + 1) % len(rows)][1][:cut]
-        result[key] = len(text), hashlib.sha256(edited.encode()).hexdigest()
-    return result
+        result.append((key, len(text), hashlib.sha256(edited.encode()).hexdigest()))
+    return sorted(result, key=str)
+
+
+def edits(found):
+    return sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in found), key=str)
 
 
 def test_all_documents(spark):
-    rows = {r[0]: r[1] or "" for r in samples.rows(120) if r[0] is not None}
+    rows = [(r[0], r[1]) for r in samples.rows(120)]
     found = edited_fingerprints(samples.documents(spark, 120)).collect()
-    assert len(found) == len(rows)
-    expected = expected_edits(list(rows.items()))
-    prints = {}
+    assert edits(found) == expected_edits(rows)
+    texts, prints = dict(rows), {}
     for r in found:
-        assert (r["n_chars"], r["edited_sha256"]) == expected[r["doc_id"]]
-        assert prints.setdefault(rows[r["doc_id"]], r["fingerprint"]) == r["fingerprint"]
+        if r["doc_id"] is not None:
+            text = texts[r["doc_id"]] or ""
+            assert prints.setdefault(text, r["fingerprint"]) == r["fingerprint"]
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
         if r["fingerprint"] == r["edited_fingerprint"]:
             assert r["near_edited"] == 1
 
 
+def test_null_and_repeated_ids_and_copies_of_rows(spark, monkeypatch):
+    monkeypatch.setattr("metertide.llm.imatch.COPIES_AT_ONCE", 4)
+    rng = random.Random(3)
+    texts = [samples.prose(rng, "en", 30) for _ in range(6)]
+    rows = [(7, texts[0])] * 11 + [(7, texts[1]), (7, texts[2]), (7, texts[2])]
+    rows += [(None, texts[3])] * 3 + [(None, texts[4]), (None, None), (None, ""), (None, "")]
+    rows += [(1, texts[5]), (2, texts[0]), (3, None), (3, ""), (-4, "x")]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = edited_fingerprints(docs).collect()
+    assert len(found) == len(rows) and edits(found) == expected_edits(rows)
+    again = edited_fingerprints(docs.repartition(2)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
+    same = [r for r in found if r["doc_id"] == 7 and r["n_chars"] == len(texts[0])]
+    assert sum(r["near_next"] == 1 for r in same) >= 10
+
+
 def test_an_edit_is_more_like_its_text_than_another_text_is(spark):
     rng = random.Random(2)
     rows = [(i, samples.prose(rng, "en", rng.choice([60, 300, 2000]))) for i in range(60)]

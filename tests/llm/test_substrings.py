@@ -24,29 +24,31 @@ def brute_force(rows):
         data = (text or "").encode()
         for i in range(len(data) - MATCH + 1):
             s = data[i : i + MATCH]
-            smallest[s] = min(smallest.get(s, key), key)
+            if key is not None:
+                smallest[s] = min(smallest.get(s, key), key)
     result = []
     for key, text in rows:
         data = (text or "").encode()
         gone = np.zeros(len(data), dtype=bool)
         for i in range(len(data) - MATCH + 1):
-            if smallest[data[i : i + MATCH]] < key:
+            if key is not None and smallest[data[i : i + MATCH]] < key:
                 gone[i : i + MATCH] = True
         kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
         spans = int(np.sum(np.diff(np.concatenate(([0], gone.astype(int)))) == 1))
         result.append((key, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
-    return sorted(result)
+    return sorted(result, key=str)
 
 
 COLUMNS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 
 def found(docs, **options):
-    return sorted(tuple(r) for r in repeated_passages(docs, **options).select(COLUMNS).collect())
+    rows = repeated_passages(docs, **options).select(COLUMNS).collect()
+    return sorted((tuple(r) for r in rows), key=str)
 
 
 def test_all_documents(spark):
-    rows = [(r[0], r[1]) for r in samples.rows() if r[0] is not None]
+    rows = [(r[0], r[1]) for r in samples.rows()]
     assert found(samples.documents(spark)) == brute_force(rows)
 
 
@@ -80,7 +82,7 @@ def test_spans_and_carried_columns(spark):
 def test_rows_of_one_id_are_not_smaller(spark):
     text = "the same text, of more than fifty bytes, in two rows of one id and more"
     docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "doc_id long, text string")
-    assert [r[:3] for r in found(docs)] == [(1, 71, 0), (1, 71, 0), (2, 71, 71)]
+    assert [r[:3] for r in found(docs)] == [(1, 71, 0), (1, 71, 0), (2, 71, 71), (None, 71, 0)]
 
 
 def test_empty_table(spark):
@@ -136,3 +138,20 @@ def test_chunks_without_a_shared_token(spark):
     rows = [(i, "".join(rng.choices(string.ascii_letters, k=200))) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert all(r["n_removed"] == 0 for r in repeated_passages(docs).collect())
+
+
+def test_sql_gives_one_row_for_every_row(spark):
+    import duckdb
+    import pandas as pd
+
+    from metertide.llm.oracle import OP5
+
+    text = "the same text, of more than fifty bytes, in several rows of one id and more"
+    rows = [(1, text), (1, text), (2, "x" + text), (2, text + "y"), (None, text), (None, None), (3, ""), (4, text[:60])]
+    documents = pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "text": [r[1] for r in rows]})
+    database = duckdb.connect()
+    database.register("documents", documents)
+    columns = ", ".join(COLUMNS)
+    expected = database.execute(f"SELECT {columns} FROM ({OP5})").fetchall()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(docs) == sorted(expected, key=str) == brute_force(rows)
