@@ -37,7 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from metertide.llm.batches import concatenated, runs, slices
+from metertide.llm.batches import concatenated, release_memory, runs, slices
 
 MATCH, GRAM = 50, 24
 CHUNK_BYTES, RANGE_TOKENS = 8 << 20, 1 << 18
@@ -174,6 +174,7 @@ class Chunk:
 
     @staticmethod
     def of(table: pa.Table, frequent: Frequent) -> "Chunk":
+        release_memory()  # what the chunk or range before has left
         # A shuffle's rows come in any order; every step must see the same.
         table = table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")]))
         table = table.combine_chunks()
@@ -259,6 +260,7 @@ def smallest_ids(data: np.ndarray, places: np.ndarray, ids: np.ndarray) -> np.nd
 def _shared_tokens(table: pa.Table) -> pa.Table:
     """Step 1 in a range: per chunk one bit for each token, set if another chunk or several
     documents hold it."""
+    release_memory()
     blobs = [np.frombuffer(x, dtype=np.uint32) for x in table["tokens"].to_pylist()]
     again = [np.frombuffer(x, dtype=np.uint32) for x in table["again"].to_pylist()]
     values, times = np.unique(np.concatenate([*blobs, *again]), return_counts=True)
@@ -274,6 +276,7 @@ def _shared_tokens(table: pa.Table) -> pa.Table:
 def _repeated_strings(table: pa.Table) -> pa.Table:
     """Step 2 in a range: per chunk and run one bit for each suffix, set if a document with a smaller
     id than the run's smallest holds its string."""
+    release_memory()
     counts = [np.frombuffer(x, dtype=np.uint8).astype(np.int64) for x in table["counts"].to_pylist()]
     lowest = [np.frombuffer(x, dtype=np.int64) for x in table["ids"].to_pylist()]
     count, low = np.concatenate(counts), np.concatenate(lowest)
