@@ -257,3 +257,4 @@ ORACLE: dict[str, str] = {
 ORACLE["stretch_flow_state"] = ORACLE["consecutive_flow_state"]
 ORACLE["stretch_leaks"] = ORACLE["leaks"]
 ORACLE["history_reports"] = ORACLE["reports_all"]
+ORACLE["bucketed_distinct"] = ORACLE["filter_dates"]

@@ -21,10 +21,12 @@ from checks.oracle import REPORT_CONTENTS
 from metertide.functions.time import compact_midnight, run_name
 from metertide.operators.flows import daily_flows, daily_flows_of_messages, unpack_flows
 from metertide.operators.messages import (
+    SENT,
     clean_messages,
     distinct_messages,
     dropped_devices,
     filter_messages,
+    in_period,
     initial_device_count,
 )
 from metertide.operators.ordering import with_row_index
@@ -53,8 +55,12 @@ from metertide.schemas import DEVICE, FLOW_COLUMNS
 from metertide.sinks.files import append_history, write_csv
 from metertide.sources.documents import flatten_decoded, organisation_names
 from metertide.sources.files import read_messages, read_with_repeated_headers
+from metertide.sources.history import current_runs, read_distinct, runs_by_date
 from metertide.workspace import materialize, new_path
 
+#: For the size of the given tables; see ``append_history``.
+BUCKETS = 8
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -148,6 +154,15 @@ def history_reports(spark, sf_dir):
     return contents(write_history_reports(spark, f"{root}/messages", f"{root}/reports", "ns", START, END))
 
 
+def bucketed_distinct(spark, sf_dir):
+    """The messages of the period without duplicates, from two overlapping runs in buckets by row."""
+    root = new_path(spark, "history")
+    for run, part in zip(("first", "second"), exports(spark, sf_dir), strict=True):
+        append_history(part, root, "ns", run, buckets=BUCKETS)
+    held = runs_by_date(current_runs(spark, root, "ns"), START, END)
+    return in_period(read_distinct(spark, root, held), START, END).drop(SENT)
+
+
 def reports_all(spark, sf_dir):
     """How many rows each report has, and a sum over its contents."""
     return contents(build_reports(messages(spark, sf_dir), START, END))
@@ -234,6 +249,7 @@ QUERIES: dict[str, Query] = {
     "stretch_leaks": lambda s, d: leaks_of_stretches(by_week(s, d)[1]),
     "reports_all": reports_all,
     "history_reports": history_reports,
+    "bucketed_distinct": bucketed_distinct,
     "device_select": device_select,
     "device_update": device_update,
     "device_delete": device_delete,

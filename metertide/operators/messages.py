@@ -12,6 +12,8 @@ from metertide.schemas import FLOW_COLUMNS, MESSAGES
 MESSAGE_DATE = "message_date"
 # The time of a message as a timestamp, beside its text. Where a frame has it nothing is parsed.
 SENT = "sent"
+# A hash of the 19 message columns, by which a bucketed history is dealt out.
+ROW_HASH = "row_hash"
 
 
 def with_sent(messages: DataFrame, on_error: str = "raise") -> DataFrame:
@@ -43,10 +45,11 @@ def distinct_messages(messages: DataFrame) -> DataFrame:
 
     All 19 columns count: messages that differ only in ``msgSeq`` both stay. ``sent`` stays too, where
     there is one; it follows from the others. Copies are combined
-    within each input partition first, so a heavily repeated row is not sent around.
+    within each input partition first, so a heavily repeated row is not sent around. Rows of a history
+    in buckets lie beside their copies already, by ``row_hash``, and are not sent around at all.
     """
-    sent = [SENT] if SENT in messages.columns else []
-    return messages.select(*MESSAGES.fieldNames(), *sent).distinct()
+    further = [name for name in (SENT, ROW_HASH) if name in messages.columns]
+    return messages.select(*MESSAGES.fieldNames(), *further).distinct().drop(ROW_HASH)
 
 
 def filter_messages(

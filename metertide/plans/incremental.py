@@ -22,7 +22,6 @@ from metertide.operators.messages import (
     SENT,
     clean_messages,
     device_parts,
-    distinct_messages,
     dropped_of_devices,
     filter_messages,
     merge_device_parts,
@@ -53,6 +52,7 @@ from metertide.sources.history import (
     identity_of,
     period_identity,
     read_dates,
+    read_distinct,
     runs_by_date,
 )
 from metertide.workspace import temporary_tables
@@ -108,16 +108,15 @@ class HistoryDays:
         """Bring the kept dates up to date; returns those that were read."""
 
         def make(days: list[str]) -> dict[str, DataFrame]:
-            held = read_dates(self.spark, self.history, {d: self.runs[d] for d in days})
-            messages = distinct_messages(held).withColumn(
-                MESSAGE_DATE, F.col(SENT).cast("date").cast("string")
-            )
+            held = read_distinct(self.spark, self.history, {d: self.runs[d] for d in days})
+            messages = held.withColumn(MESSAGE_DATE, F.col(SENT).cast("date").cast("string"))
             return {
                 "flows": day_parts(clean_messages(messages, self.on_error, MESSAGE_DATE), MESSAGE_DATE),
                 "devices": device_parts(messages, MESSAGE_DATE),
             }
 
-        return self.days.refresh(self.wanted, make, rebuild)
+        with temporary_tables(self.spark):
+            return self.days.refresh(self.wanted, make, rebuild)
 
     def _last_instant(self) -> DataFrame:
         return self.messages(self.instant).filter(F.col(SENT) == midnight(self.end))

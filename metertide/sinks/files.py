@@ -3,13 +3,19 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from metertide.operators.messages import MESSAGE_DATE, SENT, with_sent
+from metertide.operators.messages import (
+    MESSAGE_DATE,
+    ROW_HASH,
+    SENT,
+    distinct_messages,
+    with_sent,
+)
 from metertide.schemas import MESSAGES
 from metertide.sources.files import CSV_FORMAT
-from metertide.sources.history import FIRST_SENT
+from metertide.sources.history import BUCKETS, FIRST_SENT
 from metertide.versions import (
     POINTER,
     current_version,
@@ -17,9 +23,10 @@ from metertide.versions import (
     matching,
     modified,
     publish,
+    qualified,
     replace_text,
 )
-from metertide.workspace import delete
+from metertide.workspace import delete, new_table
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "errorifexists") -> None:
@@ -60,7 +67,12 @@ def write_if_any(df: DataFrame, path: str, mode: str = "errorifexists") -> bool:
 
 
 def append_history(
-    messages: DataFrame, root: str, namespace: str, run: str, on_error: str = "raise"
+    messages: DataFrame,
+    root: str,
+    namespace: str,
+    run: str,
+    on_error: str = "raise",
+    buckets: int | None = None,
 ) -> None:
     """Add one collection run to the history, in folders by namespace, run, version and message date.
 
@@ -68,6 +80,12 @@ def append_history(
     to no period. Repeating a run writes a new version beside the old one, which stays current until the
     new one is complete; ``remove_old_versions`` removes what is current no more. The rebalance gathers
     a date's rows into few files and splits a date that is larger than the others.
+
+    With ``buckets`` whole-row duplicates of the run are stored once, and each date lies in so many buckets
+    by a hash of the row. Runs with the same number of them then meet without a shuffle
+    (``sources.history.read_distinct``), as often as they are read; a row comes at most once per run,
+    so none makes a bucket large. Choose the number so that a bucket of the largest period that is read
+    at once fits a task.
     """
     for name in (namespace, run):
         if not re.fullmatch(r"[\w.-]+", name, re.ASCII):
@@ -75,17 +93,33 @@ def append_history(
     spark, version = messages.sparkSession, uuid.uuid4().hex
     folder = f"{root}/namespace={namespace}/run={run}"
     path = f"{folder}/version={version}"
-    (
-        with_sent(messages, on_error)
-        .select(*MESSAGES.fieldNames(), SENT, F.col(SENT).cast("date").alias(MESSAGE_DATE))
-        .hint("rebalance", MESSAGE_DATE)
-        .write.partitionBy(MESSAGE_DATE)
-        .parquet(path)
-    )
+    columns = [*MESSAGES.fieldNames(), SENT]
+    day = F.col(SENT).cast("date").alias(MESSAGE_DATE)
+    parsed = with_sent(messages, on_error).select(columns)
+    if buckets is None:
+        dated = parsed.select(*columns, day).hint("rebalance", MESSAGE_DATE)
+        dated.write.partitionBy(MESSAGE_DATE).parquet(path)
+    else:
+        _write_buckets(distinct_messages(parsed).select(*columns, row_hash(), day), buckets, path)
+        replace_text(spark, f"{path}/{BUCKETS}", str(buckets))
     replace_text(spark, f"{path}/{FIRST_SENT}", json.dumps(_first_sent(spark, path)))
     publish(spark, folder, version)
 
 
+def row_hash() -> Column:
+    return F.xxhash64(*MESSAGES.fieldNames()).alias(ROW_HASH)
+
+
+def _write_buckets(rows: DataFrame, buckets: int, path: str) -> None:
+    """One file per bucket and date, in folders by date. The catalog names the table while it is written."""
+    spark, table = rows.sparkSession, new_table()
+    dealt = rows.repartition(buckets, ROW_HASH).write.partitionBy(MESSAGE_DATE)
+    try:
+        dealt.bucketBy(buckets, ROW_HASH).saveAsTable(table, format="parquet", path=qualified(spark, path))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def _first_sent(spark: SparkSession, path: str) -> dict[str, str]:
     """The first time of each date in a written version, one row a date. Rows without a time are left out."""
     written = spark.read.schema(StructType().add(SENT, "timestamp_ntz")).parquet(path)

@@ -17,6 +17,12 @@ def _path(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path in full. The catalog takes others as relative to its own folder."""
+    target, files = _path(spark, path)
+    return files.makeQualified(target).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target, files = _path(spark, path)
     return files.exists(target)

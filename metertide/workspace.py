@@ -42,6 +42,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def new_table() -> str:
+    """A name for the catalog, taken back at the end of a ``temporary_tables`` block."""
+    table = f"metertide_{uuid.uuid4().hex}"
+    if _named:
+        _named[-1].append(table)
+    return table
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return the written table.
 
@@ -62,9 +70,7 @@ def materialize_by_key(df: DataFrame, key: str, order: str, name: str) -> DataFr
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = new_path(spark, name)
-    table = f"metertide_{uuid.uuid4().hex}"
-    if _named:
-        _named[-1].append(table)
+    table = new_table()
     df.write.bucketBy(buckets, key).sortBy(key, order).saveAsTable(table, format="parquet", path=path)
     return spark.table(table)
 

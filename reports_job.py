@@ -35,6 +35,7 @@ def parse(arguments: list[str] | None = None) -> argparse.Namespace:
     source.add_argument("--jdbc-url")
     collect.add_argument("--table", help="of decoded JSON documents, with --jdbc-url")
     collect.add_argument("--time-column", default="ts")
+    collect.add_argument("--buckets", type=int, help="store in so many buckets by row, for overlapping runs")
     collect.add_argument("--driver", help="class of the JDBC driver")
     collect.add_argument("--user-variable", default="DATABASE_USER")
     collect.add_argument("--password-variable", default="DATABASE_PASSWORD")
@@ -78,7 +79,9 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
     name = spark.range(1).select(run_name(F.lit(options.namespace), *period)).first()[0]
     if options.command == "collect":
         messages = collected(spark, options)
-        append_history(messages, options.history, options.namespace, name, options.on_error)
+        append_history(
+            messages, options.history, options.namespace, name, options.on_error, options.buckets
+        )
         return
     reports = write_history_reports(
         spark,

@@ -20,8 +20,15 @@ from metertide.plans.reports import build_reports, input_identity, write_reports
 from metertide.schemas import DAY_FLOWS
 from metertide.sinks.files import append_history, remove_old_versions
 from metertide.sinks.parts import PartStore
-from metertide.sources.history import current_runs, period_identity, read_history
+from metertide.sources.history import (
+    current_runs,
+    period_identity,
+    read_distinct,
+    read_history,
+    runs_by_date,
+)
 from metertide.versions import current_version, publish, read_text, replace_text
+from metertide.workspace import temporary_tables
 from tests.builders import message, messages
 
 START, END = "2024-01-25", "2024-02-10"
@@ -50,8 +57,8 @@ def random_messages(seed, count=400):
     return rows + rng.sample(rows, count // 8)
 
 
-def append(spark, root, run, rows, namespace="ns"):
-    append_history(messages(spark, *rows), root, namespace, run)
+def append(spark, root, run, rows, namespace="ns", buckets=None):
+    append_history(messages(spark, *rows), root, namespace, run, buckets=buckets)
 
 
 def same_as_a_full_build(spark, root, output):
@@ -63,17 +70,17 @@ def same_as_a_full_build(spark, root, output):
         assert rows_of(reports[name]) == rows_of(df), name
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_reports_of_random_splits_are_those_of_a_full_build(spark, tmp_path, seed):
+@pytest.mark.parametrize("seed, buckets", [(1, None), (2, None), (1, 5)])
+def test_reports_of_random_splits_are_those_of_a_full_build(spark, tmp_path, seed, buckets):
     rng = random.Random(seed)
     root, output = str(tmp_path / "history"), str(tmp_path / "out")
     rows = random_messages(seed)
     cut = rng.randrange(100, 300)
-    append(spark, root, "one", rows[:cut])
-    append(spark, root, "two", rows[cut - 50 :])  # overlaps
+    append(spark, root, "one", rows[:cut], buckets=buckets)
+    append(spark, root, "two", rows[cut - 50 :], buckets=buckets)  # overlaps
     append(spark, root, "other", rows[:9], "elsewhere")
     same_as_a_full_build(spark, root, output)
-    append(spark, root, "late", random_messages(seed + 10, 30))
+    append(spark, root, "late", random_messages(seed + 10, 30), buckets=buckets)
     same_as_a_full_build(spark, root, output)
 
 
@@ -256,3 +263,57 @@ def test_stretches_give_the_runs_of_the_whole_for_any_cutting(spark, seed):
     numbered, plain = number_stretches(cut_days, runs), consecutive_flow_state(days)
     assert numbered.columns == plain.columns
     assert rows_of(numbered) == rows_of(plain)
+
+
+def distinct_of(spark, root, start=START, end=END):
+    return read_distinct(spark, root, runs_by_date(current_runs(spark, root, "ns"), start, end))
+
+
+def test_overlapping_runs_in_buckets_meet_without_a_shuffle(spark, tmp_path):
+    root, plain = str(tmp_path / "history"), str(tmp_path / "plain")
+    rows = random_messages(8)
+    for run, part in (("one", rows[:300]), ("two", rows[200:]), ("three", rows)):
+        append(spark, root, run, part, buckets=5)
+        append(spark, plain, run, part)
+    tables = {t.name for t in spark.catalog.listTables()}
+    with temporary_tables(spark):
+        found = distinct_of(spark, root)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan
+        expected = distinct_of(spark, plain)
+        assert "Exchange" in expected._jdf.queryExecution().executedPlan().toString()
+        assert found.columns == expected.columns and rows_of(found) == rows_of(expected)
+        assert found.count() == len(set(rows_of(found)))
+        by_day = found.filter(F.col("sent") >= F.lit("2024-02-01").cast("timestamp_ntz"))
+        assert "Exchange" not in by_day._jdf.queryExecution().executedPlan().toString()
+        assert 0 < by_day.count() < found.count()
+    assert {t.name for t in spark.catalog.listTables()} == tables
+    # A replaced run, and one without buckets beside them.
+    append(spark, root, "three", rows[:1], buckets=5)
+    append(spark, root, "two", rows[200:])
+    assert rows_of(distinct_of(spark, root)) == rows_of(distinct_of(spark, plain))
+
+
+def test_a_row_of_most_copies_comes_once_per_run_in_buckets(spark, tmp_path):
+    root, hot = str(tmp_path / "history"), message("A", f"{START}T09:00:00")
+    append(spark, root, "one", [hot] * 500 + random_messages(9, 40), buckets=4)
+    append(spark, root, "two", [hot] * 500, buckets=4)
+    same = F.struct("DeviceID", "Timestamp", "msgSeq")
+    counts = read_history(spark, root).groupBy(same.alias("row"), "run", "rawData", *[f"FLOW{i}" for i in range(1, 9)])
+    hottest = counts.count().filter("row.DeviceID = 'A' AND FLOW1 = 1").agg(F.max("count")).first()[0]
+    assert hottest == 1
+    with temporary_tables(spark):
+        assert distinct_of(spark, root).filter(F.col("FLOW8") == 8).filter("DeviceID = 'A'").count() == 1
+
+
+def test_buckets_of_no_rows_and_of_malformed_times(spark, tmp_path):
+    root = str(tmp_path / "history")
+    append(spark, root, "none", [], buckets=3)
+    assert distinct_of(spark, root).count() == 0
+    bad = messages(spark, message("A", "yesterday"), message("B", f"{START}T01:00:00"))
+    with pytest.raises(Exception):
+        append_history(bad, root, "ns", "one", buckets=3)
+    append_history(bad, root, "ns", "one", "null", buckets=3)
+    assert read_history(spark, root).count() == 2
+    with temporary_tables(spark):
+        assert [row.DeviceID for row in distinct_of(spark, root).collect()] == ["B"]
