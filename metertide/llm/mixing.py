@@ -11,6 +11,10 @@ lies in the stream, and no block is ever a row.
 Edges: a null or blank text has size 0 and gives nothing. A null source is a source of its own, the
 last. Repeated rows are documents of their own. A null ``doc_id`` is allowed. Empty tables give
 empty results. Other columns of the input are ignored.
+
+Rows of the same id, source and size lie side by side in the stream, as one row with their number, so
+a shard has no more rows than words, and of one id (or none) no more than sizes. Rows of size 0 lie in
+no stream.
 """
 
 from heapq import heapify, heapreplace
@@ -23,6 +27,8 @@ from metertide.workspace import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
+#: Copies of one row that a task writes at a time.
+COPIES_AT_ONCE = 1 << 16
 
 
 def sainte_lague(weights: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
@@ -122,7 +128,8 @@ def mix_to_targets(
     """Per document its ``size``, its source's ``source_size`` and ``target``, and what is ``taken``.
 
     ``copies`` says how often the whole text is taken, ``first`` its place in its shard's stream,
-    and ``blocks``, ``extra``, ``start`` which further blocks are (see ``is_extra``).
+    and ``blocks``, ``extra``, ``start`` which further blocks are (see ``is_extra``). All are 0 for
+    size 0.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sizes = materialize(
@@ -135,15 +142,19 @@ def mix_to_targets(
         "sources",
     )
     # Few rows by their nature, but not by proof: the size decides how they are joined.
+    of_source = F.col("source").eqNullSafe(F.col("of"))
+    named = sources.withColumnRenamed("source", "of")
     placed = (
-        sizes.join(
-            sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))
-        )
+        sizes.filter("size > 0")
+        .groupBy("doc_id", "source", "size")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .join(named, of_source)
         .withColumn("digest", digest)
         .withColumn("shard", _number(F.col("digest"), 1) % F.col("shards"))
+        .withColumn("words", F.col("rows") * F.col("size"))
     )
     shard_sizes = materialize(
-        placed.groupBy("place", "shard").agg(F.sum("size").alias("shard_size")), "shards"
+        placed.groupBy("place", "shard").agg(F.sum("words").alias("shard_size")), "shards"
     ).withColumn("blocks", F.ceil(F.col("shard_size") / block_words))
     wanted = sources.groupBy().agg(F.sum("target").alias("words"))
     words = wanted.first()["words"] or 0.0
@@ -171,20 +182,45 @@ def mix_to_targets(
     )
     stream = Window.partitionBy("place", "shard").orderBy("digest", "doc_id", "size")
     in_stream = placed.withColumn(
-        "first", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+        "first", F.sum("words").over(stream.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
     )
     blocks, name = F.greatest("blocks", F.lit(1)), F.concat_ws("|", F.lit(seed), "place", "shard")
-    return (
+    places = (
         in_stream.join(per_shard.drop("cap", "seats"), ["place", "shard"])
         .withColumn("copies", F.expr("quota div greatest(blocks, 1)"))
         .withColumn("extra", F.col("quota") % blocks)
         .withColumn("start", _number(F.md5(name), 1) % blocks)
-        .withColumn("taken", F.col("copies") * F.col("size") + F.expr(_extra_words(block_words)))
-        .select(
-            "doc_id", "source", "size", "source_size", "target", "taken", "copies", "first",
-            "blocks", "extra", "start",
+    )
+    of_document = ("doc_id", "source", "size", "source_size", "target")
+    of_place = ("taken", "copies", "first", "blocks", "extra", "start")
+    taken = F.col("copies") * F.col("size") + F.expr(_extra_words(block_words))
+    with_words = _each_row(
+        materialize(places.select(*of_document, "rows", *of_place[1:]), "places")
+    ).withColumn("taken", taken)
+    nothing = [F.lit(0).cast("long").alias(name) for name in of_place]
+    without = sizes.filter("size = 0").join(named, of_source).select(*of_document, *nothing)
+    return with_words.select(*of_document, *of_place).unionByName(without)
+
+
+def _each_row(places: DataFrame) -> DataFrame:
+    """Each of ``rows`` equal rows with its own ``first``; very many are dealt out in parts."""
+
+    def rows(found: DataFrame, begin: Column, end: Column) -> DataFrame:
+        return found.withColumn("_row", F.explode(F.sequence(begin, end))).withColumn(
+            "first", F.col("first") + F.col("_row") * F.col("size")
         )
-    )
+
+    last, step = F.col("rows") - 1, F.lit(COPIES_AT_ONCE).cast("long")
+    few = rows(places.filter(last < step), F.lit(0).cast("long"), last).drop("_row", "rows")
+    parts = places.filter(last >= step).withColumn(
+        "_begin", F.explode(F.sequence(F.lit(0).cast("long"), last, step))
+    )
+    many = rows(
+        parts.repartition("doc_id", "source", "size", "_begin"),
+        F.col("_begin"),
+        F.least(F.col("_begin") + step - 1, last),
+    ).drop("_row", "_begin", "rows")
+    return few.unionByName(many)
 
 
 def _extra_words(block_words: int) -> str:

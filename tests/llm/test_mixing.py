@@ -121,3 +121,32 @@ def test_empty_table(spark):
     blank = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert [tuple(r) for r in mix_to_targets(blank).select("size", "taken").collect()] == [(0, 0)] * 2
     assert WORD
+
+
+def test_many_equal_and_empty_rows_and_no_ids(spark, monkeypatch):
+    monkeypatch.setattr("metertide.llm.mixing.COPIES_AT_ONCE", 7)
+    rows = [(5, "a b c", "s")] * 50 + [(i, "", "s") for i in range(300)] + [(6, None, None)]
+    rows += [(None, "w " * (1 + i % 4), "t") for i in range(200)] + [(i, "x y", "u") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    found = mix_to_targets(docs, block_words=4, shard_words=60).toPandas()
+    assert len(found) == len(rows)
+    key = ["doc_id", "source", "size"]
+    counts = found.fillna({"doc_id": -1, "source": "-"}).groupby(key).size().to_dict()
+    assert counts[5, "s", 3] == 50 and counts[-1, "t", 2] == 50 and counts[6, "-", 0] == 1
+    assert not found[found["size"] == 0][["taken", "copies"]].to_numpy().any()
+    assert (found["taken"] <= 2 * found["size"]).all()
+    filled = found[found["size"] > 0]
+    equal = filled[(filled["doc_id"] == 5) & (filled["source"] == "s")]["first"].sort_values().tolist()
+    assert equal == [equal[0] + 3 * i for i in range(50)]
+    for source, own in filled.groupby("source"):
+        assert abs(own["taken"].sum() - own["target"].iloc[0]) <= 4 * (len(own) // 20 + 2), source
+    again = mix_to_targets(docs.repartition(2), block_words=4, shard_words=60).toPandas()
+    assert sorted(map(str, again.values.tolist())) == sorted(map(str, found.values.tolist()))
+    assert mixed_documents(docs, block_words=4, shard_words=60).count() > 0
+
+
+def test_no_window_holds_the_empty_texts_of_a_source(spark):
+    docs = spark.range(200_000).selectExpr("id AS doc_id", "'' AS text", "'s' AS source")
+    some = spark.createDataFrame([(-1, "a b", "s")], docs.schema)
+    found = mix_to_targets(docs.unionByName(some))
+    assert found.agg(F.sum("taken"), F.count(F.lit(1))).first()[1] == 200_001
