@@ -11,8 +11,8 @@ the work, not the result.
 
 Edges: vectors that are null or hold null or non-finite components take no part, nor do rows with a
 null ``vec_id``. Rows that share a ``vec_id`` are one vector, the smallest in array order. Shorter
-vectors count as padded with zeros. Components must keep ``|floor(256 x)|`` below 2**31. Ties go to
-the smaller ``vec_id``. Other columns of the input are ignored.
+vectors count as padded with zeros. A score that does not fit 64 bits raises where it is evaluated, which
+those of a query's best always are. Ties go to the smaller ``vec_id``. Other columns of the input are ignored.
 """
 
 import numpy as np
@@ -24,6 +24,8 @@ from metertide.workspace import materialize
 BLOCK_ROWS, SAMPLE_ROWS, PIVOTS, STEP = 4096, 1024, 32, 256
 #: Sums of products below this are exact in doubles.
 EXACT = float(1 << 53)
+#: Scores from here on, of either sign, do not fit 64 bits, or may not by the error of doubles.
+TOO_LARGE = float(1 << 63) * (1 - 1e-9)
 
 
 def whole_numbers(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -111,6 +113,8 @@ def best_of(queries, candidates, k: int):
             full = len(scores) >= k
             if not len(part) or full and bound[part[0]] < scores[-1]:
                 break
+            if not exact and (np.abs(rows[part] @ asked[q]) >= TOO_LARGE).any():
+                raise OverflowError("an inner product does not fit 64 bits")
             evaluated += len(part)
             found = np.concatenate([found, ids[part]])
             scores = np.concatenate([scores, (numbers[part] @ query).astype(np.int64)])

@@ -83,3 +83,10 @@ def test_large_numbers_stay_exact():
     whole = [[int(x) for x in r] for r in rows]
     exact = sorted(((-sum(a * b for a, b in zip(whole[0], r, strict=True)), i) for i, r in enumerate(whole) if i), key=tuple)
     assert list(zip(chosen.tolist(), scores.tolist(), strict=True)) == [(i, -s) for s, i in exact]
+
+
+def test_scores_beyond_64_bits_raise_and_large_ones_are_exact(spark):
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        found(spark, [(50, [3e8, 2.0]), (1, [3e8, 1.0])])
+    rows = [(50, [1e7, 2.0]), (1, [1e7, 1.0]), (2, [-1e7, 3.0]), (3, [1e7 + 1, 1.0])]
+    assert found(spark, rows) == brute_force(rows)
