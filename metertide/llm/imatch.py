@@ -238,10 +238,12 @@ def edited_fingerprints(documents: DataFrame, **band) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = documents.select("doc_id", text.alias("text"))
     words = lexicon(texts.select("text"), **band)
-    # A null id adds nothing to the key, and no id is written like a checksum.
-    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256))
+    # The id, of which a null one adds nothing, and then always 16 bytes of the checksum.
+    written = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
+    key = F.concat(written, F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     keyed = texts.withColumn("_key", key)
-    unique = keyed.groupBy("_key").agg(F.max("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    # Only the text, so that both joins read the same shuffle; the id comes with the pairs.
+    unique = keyed.groupBy("_key").agg(F.min("text").alias("text"))
     ids = (
         keyed.select("_key", "doc_id", F.length("text").alias("n_chars"))
         .groupBy("_key")
@@ -257,15 +259,16 @@ def edited_fingerprints(documents: DataFrame, **band) -> DataFrame:
     most = F.floor(F.col("n_chars") / 3).cast("int").alias("_most")
     # What follows the last of equal rows, and what follows each of the others: its copy.
     wanted = pairs.select(
-        F.col("next_id").alias("_from"), F.col("_key").alias("_to"), most, F.lit(0).alias("_before")
+        F.col("next_id").alias("_from"), F.col("_key").alias("_to"), "doc_id", most,
+        F.lit(0).alias("_before"),
     ).unionByName(
         pairs.filter("_copies > 1").select(
-            F.col("_key").alias("_from"), F.col("_key").alias("_to"), most,
+            F.col("_key").alias("_from"), F.col("_key").alias("_to"), "doc_id", most,
             (F.col("_copies") - 1).alias("_before"),
         )
     )
     heads = unique.join(wanted, F.col("_key") == F.col("_from")).select(
-        "_to", "_from", "_before", F.col("text").substr(F.lit(1), F.col("_most")).alias("_head")
+        "_to", "_from", "_before", "doc_id", F.col("text").substr(F.lit(1), F.col("_most")).alias("_head")
     )
     replaced = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(
@@ -281,9 +284,9 @@ def edited_fingerprints(documents: DataFrame, **band) -> DataFrame:
             "_before",
             "doc_id",
             F.length("text").cast("long").alias("n_chars"),
-            F.sha2("edited", 256).alias("edited_sha256"),
-            fingerprint(F.col("text"), words).alias("fingerprint"),
-            fingerprint(F.col("edited"), words).alias("edited_fingerprint"),
+            F.unhex(F.sha2("edited", 256)).alias("edited_sha256"),
+            F.unhex(fingerprint(F.col("text"), words)).alias("fingerprint"),
+            F.unhex(fingerprint(F.col("edited"), words)).alias("edited_fingerprint"),
         )
     )
     own = materialize(own, "fingerprints")
@@ -291,16 +294,24 @@ def edited_fingerprints(documents: DataFrame, **band) -> DataFrame:
     following = last.select(F.col("_key").alias("_id"), F.col("fingerprint").alias("_following"))
     with_next = last.join(following, F.col("_from") == F.col("_id"))
 
-    def result(rows: DataFrame, next_fingerprint: str) -> DataFrame:
-        own, edit = F.col("fingerprint"), F.col("edited_fingerprint")
+    def digits(name: str) -> Column:
+        """What is kept and shuffled as bytes."""
+        return F.lower(F.hex(name)).alias(name)
+
+    def result(rows: DataFrame, following: str) -> DataFrame:
         return rows.select(
+            "doc_id",
+            "n_chars",
+            *map(digits, ("edited_sha256", "fingerprint", "edited_fingerprint")),
+            digits(following).alias("_following"),
+        ).select(
             "doc_id",
             "n_chars",
             "edited_sha256",
             "fingerprint",
             "edited_fingerprint",
-            likeness(own, edit).alias("near_edited"),
-            likeness(own, F.col(next_fingerprint)).alias("near_next"),
+            likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+            likeness(F.col("fingerprint"), F.col("_following")).alias("near_next"),
         )
 
     copies = repeated(own.filter("_before > 0"), "_before")

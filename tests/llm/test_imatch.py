@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from metertide.llm import imatch
 from metertide.llm.imatch import (
     document_frequencies,
     edited_fingerprints,
@@ -126,3 +127,22 @@ def test_one_document_and_none(spark):
     assert row["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()
     assert row["near_next"] == 1
     assert edited_fingerprints(samples.empty(spark)).count() == 0
+
+
+def test_texts_are_shuffled_once_for_both_joins(spark, monkeypatch):
+    plans = []
+
+    def keep(df, name):
+        if name == "fingerprints":
+            df.write.format("noop").mode("overwrite").save()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    kept = imatch.materialize
+    monkeypatch.setattr("metertide.llm.imatch.materialize", keep)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        edited_fingerprints(samples.documents(spark, 40)).count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "ReusedExchange" in plans[0]
