@@ -16,6 +16,7 @@ null ``doc_id`` is allowed. Empty partitions give nothing. Other columns are ign
 """
 
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -24,8 +25,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from metertide.llm.batches import slices
-from metertide.llm.tokens import default_vocabulary, token_ids
+from metertide.llm.batches import release_memory, slices
+from metertide.llm.tokens import default_vocabulary, forget, token_ids
 
 SIZE = 4096
 LAST = 2
@@ -68,25 +69,31 @@ def best_cuts(
     places: np.ndarray, penalty: np.ndarray, size: int = SIZE, least_power: int = LEAST_POWER
 ) -> np.ndarray:
     """The ends of the windows of the cheapest cutting."""
-    jumps: dict[int, list[int]] = {}
+    to, from_power = [], []
     power = 1
     while power <= size:
         late = 0 if power >= least_power else int(np.searchsorted(places, places[-1] - size))
         ends = places[late:]
         before = np.searchsorted(places, ends - power)
         hit = np.flatnonzero(places[before] == ends - power)
-        for j, i in zip((hit + late).tolist(), before[hit].tolist(), strict=True):
-            jumps.setdefault(j, []).append(i)
+        to.append((hit + late).astype(np.int32))
+        from_power.append(before[hit].astype(np.int32))
         power *= 2
-    at, fee = places.tolist(), penalty.tolist()
-    cost, back = [0] * len(at), [0] * len(at)
+    # Numbers lie in arrays, as a list takes some 40 bytes for each. Jumps to a place are
+    # ``jumps[begins[j]:begins[j + 1]]``, the shortest first.
+    joined = np.concatenate(to)
+    jumps = memoryview(np.concatenate(from_power)[np.argsort(joined, kind="stable")])
+    count = np.bincount(joined, minlength=len(places))
+    begins = memoryview(np.concatenate(([0], np.cumsum(count))))
+    at, fee = memoryview(np.ascontiguousarray(places)), memoryview(np.ascontiguousarray(penalty))
+    cost, back = array("q", [0]) * len(at), array("q", [0]) * len(at)
     queue, values, head = [0], [0], 0  # cuts with rising cost + place
     for j in range(1, len(at)):
         here = at[j]
         while at[queue[head]] < here - size:
             head += 1
         best, from_ = values[head] + size - here, queue[head]
-        for i in jumps.get(j, ()):
+        for i in jumps[begins[j] : begins[j + 1]]:
             if cost[i] < best:
                 best, from_ = cost[i], i
         best += fee[j]
@@ -97,7 +104,7 @@ def best_cuts(
             values.pop()
         queue.append(j)
         values.append(value)
-        if head > 100_000:
+        if head > 10_000:
             del queue[:head], values[:head]
             head = 0
     cuts, j = [], len(at) - 1
@@ -133,21 +140,29 @@ def _streams(batches, vocabulary: str, last: int, stream_tokens: int):
     held, tokens = [], 0
 
     def joined():
-        shift = np.cumsum([0, *(len(x[1]) for x in held[:-1])])
-        return (
-            pa.concat_arrays([x[0] for x in held]),
-            *(np.concatenate([x[1] for x in held]),),
-            *(np.concatenate([x[k] + s for x, s in zip(held, shift, strict=True)]) for k in (2, 3)),
+        """What is held, which is held no longer."""
+        keys, ids, ends, sentences = ([*column] for column in zip(*held, strict=True))
+        held.clear()
+        shift = np.cumsum([0, *map(len, ids[:-1])])
+        ends, sentences = (
+            np.concatenate([x + s for x, s in zip(column, shift, strict=True)])
+            for column in (ends, sentences)
         )
+        return pa.concat_arrays(keys), np.concatenate(ids), ends, sentences
 
     for part in slices(batches):
-        held.append((part.column("doc_id"), *token_ids(vocabulary, part.column("text"), last)))
+        # A slice of the keys would keep its whole batch, with the texts.
+        keys = part.column("doc_id").take(pa.array(np.arange(len(part))))
+        held.append((keys, *token_ids(vocabulary, part.column("text"), last)))
         tokens += len(held[-1][1])
         if tokens >= stream_tokens:
             yield joined()
-            held, tokens = [], 0
+            tokens = 0
+    part = None
     if held:
         yield joined()
+    forget(vocabulary)
+    release_memory()
 
 
 def pack(
@@ -168,6 +183,7 @@ def pack(
         first = TaskContext.get().partitionId() << 32
         for keys, ids, ends, sentences in _streams(batches, vocabulary, last, stream_tokens):
             columns, cuts = _pieces(keys, ids, ends, sentences, first, size)
+            del keys, ids, ends, sentences  # or they would stay while the next stream is read
             lengths = np.diff(np.concatenate(([0], cuts)))
             pads = np.array([padding(x, size) for x in lengths.tolist()], dtype=np.int64)
             window = columns["sequence_id"] - first
@@ -214,6 +230,7 @@ def packed_sequences(
                     }
                 )
                 begin = stop
+            del ids, ends, own, inner  # or they would stay while the next stream is read
             first += len(cuts)
             names = ("sequence_id", "input_ids", "length", "doc_starts")
             kinds = (pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int32()))

@@ -2,7 +2,8 @@
 
 Most words are plain letters, perhaps with punctuation after them. Such a word's ids are those of its
 letters and those of the punctuation, and letters go to the vocabulary's model directly. All other
-words go through the whole tokenizer. Words that were seen lately are looked up.
+words go through the whole tokenizer. Letters and words that were seen lately are looked up, until
+``forget`` is called at a task's end, as the workers live on for tasks of other kinds.
 """
 
 import os
@@ -14,10 +15,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from metertide.llm.batches import Words, runs, words_of
+from metertide.llm.batches import Words, words_of
 
-#: Words whose ids are kept, at about 200 bytes each; beyond it they are forgotten and found again.
-KEPT_WORDS = 500_000
+#: Words whose ids are kept from slice to slice, at about 150 bytes each; beyond it they are forgotten
+#: and found again. Plain words are kept by their letters alone, in lower case, whatever marks follow.
+KEPT_WORDS = 300_000
 #: Ids are kept as unsigned 32-bit numbers in a row.
 ID = "I"
 ID_BYTES = array(ID).itemsize
@@ -47,6 +49,11 @@ def _known(path: str) -> dict[str, bytes]:
     return {}
 
 
+def forget(path: str) -> None:
+    """Keep no word's ids any longer."""
+    _known(path).clear()
+
+
 @cache
 def _byte_names() -> dict[int, str]:
     """How byte-level vocabularies write bytes: visible ones as they are, the others from 256 on."""
@@ -62,7 +69,9 @@ def splits_plainly(path: str) -> bool:
     letters = "".join(chr(c) for c in range(65, 256) if PLAIN.fullmatch(chr(c)))
     words = [f"{a}{b}{m}" for a in letters for b in "eÉ" for m in ("", ".", "!!", ",\"", "|")]
     found = tokenizer.encode_batch(words, add_special_tokens=False)
-    return all(_plain_ids(path, w) == _packed(x.ids) for w, x in zip(words, found, strict=True))
+    same = all(_plain_ids(path, w) == _packed(x.ids) for w, x in zip(words, found, strict=True))
+    forget(path)  # if it does not, these ids are not the words'
+    return same
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -97,16 +106,16 @@ def _plain_ids(path: str, word: str) -> bytes | None:
 def ids_of_words(path: str, words: pa.Array) -> list[bytes]:
     """Ids of each distinct word. No token crosses white space in a vocabulary that drops it."""
     known, words = _known(path), words.to_pylist()
-    if len(known) + len(words) > KEPT_WORDS:
+    plainly, result, others = splits_plainly(path), [], []
+    if len(known) > KEPT_WORDS:
         known.clear()
-    result = list(map(known.get, words))
-    plainly, others = splits_plainly(path), []
-    for place in [i for i, ids in enumerate(result) if ids is None]:
-        ids = _plain_ids(path, words[place]) if plainly else None
+    for place, word in enumerate(words):
+        ids = _plain_ids(path, word) if plainly else None
         if ids is None:
-            others.append(place)
-        else:
-            result[place] = known[words[place]] = ids
+            ids = known.get(word)
+            if ids is None:
+                others.append(place)
+        result.append(ids)
     if others:
         texts = [words[i] for i in others]
         found = _tokenizer(path).encode_batch(texts, add_special_tokens=False)
@@ -119,19 +128,13 @@ def token_ids(path: str, texts: pa.Array, last: int):
     """Ids of all texts in a row, each followed by ``last``; where each text ends; and the places
     after a word that ends a sentence."""
     words: Words = words_of(texts)
-    lists = ids_of_words(path, words.distinct)
+    # The end of a text is one more word, after its last one.
+    lists = [*ids_of_words(path, words.distinct), _packed([last])]
+    index = np.insert(words.index, words.starts[1:], len(lists) - 1)
     lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)) // ID_BYTES
-    flat = np.frombuffer(b"".join(lists), dtype=np.uint32)
-    begins = np.cumsum(lengths) - lengths
-    of_word = lengths[words.index]
-    after = np.cumsum(of_word)
-    text_of_word = np.repeat(np.arange(len(words.counts)), words.counts)
-    ends = np.concatenate(([0], after))[words.starts[1:]] + np.arange(1, len(words.counts) + 1)
-    ids = np.full(int(ends[-1]) if len(ends) else 0, last, dtype=np.uint32)
-    step = runs(of_word)
-    place = np.repeat(after - of_word + text_of_word, of_word)
-    place += step
-    step += np.repeat(begins[words.index], of_word)
-    ids[place] = flat[step]
     closing = pc.match_substring_regex(words.distinct, END).to_numpy(zero_copy_only=False)
-    return ids, ends, (after + text_of_word)[closing[words.index]]
+    closing = np.append(closing, False)
+    words = None
+    ids = np.frombuffer(b"".join(map(lists.__getitem__, memoryview(index))), dtype=np.uint32)
+    after = np.cumsum(lengths[index])
+    return ids, after[index == len(lists) - 1], after[closing[index]]

@@ -131,3 +131,34 @@ def test_short_windows_are_tried_everywhere():
         cuts = best_cuts(places, penalty, size).tolist()
         paid = sum(padding(b - a, size) + fee[b] for a, b in pairwise([0, *cuts]))
         assert paid == brute_force(places.tolist(), penalty.tolist(), size)
+
+
+def test_memory_is_given_back_at_a_tasks_end():
+    import pyarrow as pa
+
+    from metertide.llm.packing import _streams
+    from metertide.llm.tokens import _known
+
+    path = default_vocabulary()
+    texts = [samples.prose(__import__("random").Random(i), "es", 200) for i in range(12)]
+    batch = pa.record_batch({"doc_id": pa.array(range(12)), "text": pa.array(texts)})
+    streams, found = _streams(iter([batch, batch]), path, 2, 1500), []
+    for _, ids, ends, _ in streams:
+        found += [ids[a:b].tolist() for a, b in pairwise([0, *ends.tolist()])]
+        assert _known(path)  # words are looked up from stream to stream
+    assert found == 2 * [expected_ids(t) for t in texts]
+    assert not _known(path)
+
+
+def test_cutting_holds_little_for_each_place():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    ends = np.unique(rng.integers(1, 400_000, 400))
+    places, penalty = possible_cuts(ends, np.unique(rng.integers(1, ends[-1] + 1, 40_000)))
+    best_cuts(places[:9], penalty[:9])
+    tracemalloc.start()
+    best_cuts(places, penalty)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 130 * len(places)
